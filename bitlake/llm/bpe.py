@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAPS, PAIR, FOLD, CACHE, SAMPLE = 8_192, 1 << 17, 64, 400_000, 20_000
+MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 600_000, 40_000
 WORDS_AT_ONCE = 500_000
 NONE = 10_000_000
 #: Unicode's white space, which `\s` means to the tokenizer.
