@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 600_000, 40_000
-WORDS_AT_ONCE = 500_000
+MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 400_000, 40_000
+WORDS_AT_ONCE = 300_000
+#: Texts in an Arrow batch: its words and ids are in memory at once, on both sides.
+BATCH = 1_000
 NONE = 10_000_000
 #: Unicode's white space, which `\s` means to the tokenizer.
 SPACE = r"\u0009-\u000D \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -207,9 +209,11 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cache: int = CACHE, keep_text: bool = False) -> DataFrame:
     """(id, ids), with keep_text (id, ids, text): the token ids of every whole text, without special tokens; one row for each row of docs.
 
-    Null and empty texts have no tokens; ids and repeated rows stay as they are; other columns are not read.
+    Null and empty texts have no tokens; ids and repeated rows stay as they are; other columns are not read. The
+    session's Arrow batches are set to BATCH rows.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     ranks = read_ranks(path)
     fold = Fold(ranks)
     kind = dict(docs.dtypes)[id_col]
