@@ -6,8 +6,8 @@ shingle stops once its arrivals come later than all components' earliest. Two do
 probability Jaccard similarity. ROWS components make a band; documents that share a band are candidates.
 
 Exact copies are one class, whose smallest id stands for it. Within a band's bucket all members are first verified
-against the smallest; then, where members are still apart, all pairs across their components are verified, those of
-the largest component against all others only. So no candidate pair is left unless its members are joined already,
+against the smallest; those still apart from the bucket's largest component meet HUBS of its members; then, where
+members are still apart, all pairs across components are verified. So no candidate pair is left unless its members are joined already,
 and no bucket is spread into all its pairs.
 """
 
@@ -27,6 +27,9 @@ SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 AT_ONCE = 200_000
+#: Bits of the set of candidates that each worker holds; beyond that many ids it only filters less.
+FILTER = 1 << 26
+HUBS = 16
 _U = np.uint64
 
 
@@ -122,16 +125,37 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), batch.column("digest").slice(lo, hi - lo), pa.array(np.diff(np.concatenate([[0], ends])) == 0), bands], names=["id", "digest", "empty", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, words, ends in parts(batch):
-            h, doc = shingles(words, ends)
-            low = (h & _U(0xFFFFFFFF)).astype(np.uint32)
-            low = low[np.lexsort((low, doc))]
-            n = np.bincount(doc, minlength=hi - lo)
-            cuts = np.concatenate([[0], np.cumsum(n)]) * 4
-            raw = low.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "grams"])
+def _sets(bits):
+    """Sorted multisets of 32-bit shingles of the documents whose bit is set."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = bits.value
+        for batch in batches:
+            slot = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+            batch = batch.filter(pa.array((words_of[slot >> 6] >> (slot & 63).astype(_U)) & _U(1) == 1))
+            for lo, hi, words, ends in parts(batch):
+                h, doc = shingles(words, ends)
+                low = (h & _U(0xFFFFFFFF)).astype(np.uint32)
+                low = low[np.lexsort((low, doc))]
+                n = np.bincount(doc, minlength=hi - lo)
+                cuts = np.concatenate([[0], np.cumsum(n)]) * 4
+                raw = low.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["id", "grams"])
+
+    return make
+
+
+def _slot(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(FILTER))
+
+
+def _bits(ids: DataFrame):
+    """The broadcast bit set of the ids: FILTER bits, however many ids there are."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    found = ids.select(_slot(F.col("id")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("word")).toPandas()
+    words = np.zeros(FILTER >> 6, _U)
+    words[found["at"].to_numpy()] = found["word"].to_numpy().astype(np.int64).view(_U)
+    return ids.sparkSession.sparkContext.broadcast(words)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -165,6 +189,21 @@ def _verified(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame
     return both.where(similar("ga", "gb") >= threshold).select("a", "b")
 
 
+def _apart(members: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, component) of buckets that hold several components: of each one's largest, and of the others."""
+    placed = members.select("rep", "key").join(found, members["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    split = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = split.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("apart")).where("apart > 1").select("key", F.col("m.component").alias("largest"))
+    apart = cut(placed.join(largest, "key"), name)
+    return apart.where("component = largest").drop("largest"), apart.where("component <> largest").drop("largest")
+
+
+def _pairs(joined: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """The distinct pairs of columns rep and o that are not in known."""
+    pairs = joined.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).where("a <> b").distinct()
+    return cut(pairs.join(known, ["a", "b"], "left_anti"), name)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, kept): one row for each row of docs; class_id is the smallest id of its group, kept its row.
 
@@ -183,19 +222,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     members = cut(keys.join(shared, "key"), "near-members")
     pairs = cut(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    in_groups = texts.select("id", word_hashes(F.col("text")).alias("words")).mapInArrow(_sets, "id long, grams binary")
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
+    in_groups = texts.where("id is not null").select("id", _slot(F.col("id")).alias("slot"), word_hashes(F.col("text")).alias("words")).mapInArrow(_sets(_bits(wanted)), "id long, grams binary")
     grams = cut(in_groups.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "near-grams")
     links = cut(_verified(pairs, grams, threshold), "near-links")
 
-    first = components(links, "near-first")
-    placed = members.select("rep", "key").join(first, members["rep"] == first["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    split = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = split.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("apart")).where("apart > 1").select("key", F.col("m.component").alias("largest"))
-    apart = cut(placed.join(largest, "key"), "near-apart")
-    small = apart.where("component <> largest").select("key", F.col("rep").alias("o"), F.col("component").alias("oc"))
-    across = apart.join(small, "key").where("component <> oc and (component = largest or rep < o)")
-    more = cut(across.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-across")
+    # Members still apart from their bucket's largest component meet HUBS of its members, then all others.
+    largest, others = _apart(members, components(links, "near-first"), "near-apart")
+    hubs = largest.withColumn("slot", F.pmod(F.xxhash64("rep"), F.lit(HUBS))).groupBy("key", "slot").agg(F.min("rep").alias("o")).select("key", "o")
+    tried = _pairs(others.join(hubs, "key"), pairs, "near-hubs")
+    links = cut(links.unionAll(_verified(tried, grams, threshold)), "near-links")
+    largest, others = _apart(members, components(links, "near-second"), "near-rest")
+    against = largest.unionAll(others).select("key", F.col("rep").alias("o"), F.col("component").alias("oc"))
+    across = others.join(against, "key").where("component <> oc")
+    more = _pairs(across, pairs.unionAll(tried), "near-across")
     links = links.unionAll(_verified(more, grams, threshold))
     group = components(links.unionAll(copies), "near-last")
     out = signed.select("id").join(group, signed["id"] == group["node"], "left").select("id", F.coalesce("component", "id").alias("class_id"))
