@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 400_000, 40_000
+MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 800_000, 40_000
 WORDS_AT_ONCE = 300_000
 #: Texts in an Arrow batch: its words and ids are in memory at once, on both sides.
 BATCH = 1_000
@@ -145,7 +146,8 @@ def _looked_up(table, ranks):
     """Ids of known words; -1 - k stands for the k-th of the text's other words, which are listed."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bound = table.value, ranks.value
+        known, known_ids, known_ends = table.value
+        bound = ranks.value
         for batch in batches:
             lists = batch.column("words")
             offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -153,31 +155,32 @@ def _looked_up(table, ranks):
             while lo < len(lists):
                 hi = min(len(lists), max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + WORDS_AT_ONCE, "right")) - 1))
                 words = lists.values.slice(offsets[lo], offsets[hi] - offsets[lo]).dictionary_encode()
-                codes, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-                runs, missing = [], np.zeros(len(distinct) + 1, bool)
-                for c, word in enumerate(distinct):
-                    run = known.get(word)
-                    if run is None and len(word) * 4 > FOLD and len(raw := word.encode()) > FOLD:
-                        run = np.array(heap_merge(raw, bound), np.uint16 if len(bound) <= 65536 else np.int32).astype(np.int32).tobytes()
-                    if run is None:
-                        missing[c] = True
-                        run = np.int32(-1 - c).tobytes()
-                    runs.append(run)
-                sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-                flat = np.frombuffer(b"".join(runs), np.int32)
-                ids = flat[gathered(np.cumsum(sizes) - sizes, sizes, codes)]
+                codes, distinct = words.indices.to_numpy(), words.dictionary
+                at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=known), -1))
+                sizes = np.where(at >= 0, known_ends[at + 1] - known_ends[at], 1)
+                starts = np.where(at >= 0, known_ends[at], 0)
+                tail, missing = [], {}
+                for c in np.flatnonzero(at < 0).tolist():
+                    word = distinct[c].as_py()
+                    raw = word.encode()
+                    run = heap_merge(raw, bound) if len(raw) > FOLD else [-1 - c]
+                    if len(raw) <= FOLD:
+                        missing[c] = word
+                    sizes[c], starts[c] = len(run), len(known_ids) + len(tail)
+                    tail += run
+                flat = np.concatenate([known_ids, np.array(tail, np.int32)])
+                ids = flat[gathered(starts, sizes, codes)]
                 per_word = np.concatenate([[0], np.cumsum(sizes[codes])])
                 cuts = per_word[offsets[lo : hi + 1] - offsets[lo]]
                 others = [[]] * (hi - lo)
-                if missing.any():
-                    ids = ids.copy()
+                if missing:
                     at = np.flatnonzero(ids < 0)
                     owner = np.searchsorted(cuts, at, "right") - 1
                     edges = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(at)]])
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         own, inverse = np.unique(ids[at[a:b]], return_inverse=True)
                         ids[at[a:b]] = -1 - inverse
-                        others[owner[a]] = [distinct[-1 - c] for c in own]
+                        others[owner[a]] = [missing[-1 - c] for c in own.tolist()]
                 own = {c: batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "words"}
                 yield pa.RecordBatch.from_pydict(own | {"ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), "others": pa.array(others, pa.list_(pa.string()))})
                 lo = hi
@@ -226,8 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     flat = known.column("ids").combine_chunks()
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.chunk(0) if flat.num_chunks else pa.array([], pa.list_(pa.int32()))
-    raw, ends = flat.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (flat.offsets.to_numpy().astype(np.int64) * 4).tolist()
-    table = {w: raw[a:b] for w, a, b in zip(known.column("word").to_pylist(), ends, ends[1:], strict=False)}
+    table = (known.column("word").combine_chunks(), flat.values.to_numpy(zero_copy_only=False).astype(np.int32), flat.offsets.to_numpy().astype(np.int64))
     look = _looked_up(spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(ranks))
     own = {"id": kind} | ({"text": "string"} if keep_text else {})
     schema = ", ".join(f"{k} {v}" for k, v in own.items())
