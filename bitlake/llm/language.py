@@ -83,7 +83,7 @@ class Model:
     def __init__(self, langs: list[str], words: np.ndarray):
         self.langs, self.words = langs, words
         bits = np.array([np.count_nonzero(words & np.uint64(1 << j)) for j in range(len(langs))])
-        self.fpr = (bits / SLOTS) ** K
+        self.fpr = (bits / SLOTS) ** K if langs else np.zeros(1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Languages and scores: the share of the best language's corrected count in the sum over languages."""
