@@ -26,7 +26,8 @@ MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 800_000, 40_000
 WORDS_AT_ONCE = 300_000
 #: Texts in an Arrow batch: its words and ids are in memory at once, on both sides.
 BATCH = 1_000
-NONE = 10_000_000
+#: A rank beyond all ranks, and the bits below a rank: seven of a place in the word above those of an id.
+NONE, PLACE = 1 << 20, 1 << 24
 #: Unicode's white space, which `\s` means to the tokenizer.
 SPACE = r"\u0009-\u000D \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
@@ -44,15 +45,16 @@ def split(text: Column, pattern: str) -> Column:
 
 
 def _let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
+    """use(value), with value computed once; an element of a transform would look up its type anew in each row."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
 class Fold:
     """Column expressions of the merges over one vocabulary.
 
-    The literal map (its parts' keys and ranks) leads from a pair of ids, as one number, to the rank of the two pieces
-    put together, which is its id too. A word's state is its ids and the ranks of its adjacent pairs; a merge looks up the two pairs it makes.
+    The literal map (its parts' keys and ranks; for two bytes, one array) leads from a pair of ids, as one number, to the rank of the two pieces
+    put together, which is its id too. A word's state is one array, of each piece's id, its place and the rank of its pair
+    with the next; its least value is the merge to do, which looks up the two pairs it makes.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -66,7 +68,8 @@ class Fold:
                 if left is not None and right is not None:
                     maps[(left * PAIR + right) % MAPS][left * PAIR + right] = rank
         table = {"keys": [list(m) for m in maps], "ranks": [list(m.values()) for m in maps], "whole": whole, "bytes": [ranks[bytes([i])] for i in range(256)]}
-        self.table = F.from_json(F.lit(json.dumps(table)), "keys array<array<bigint>>, ranks array<array<int>>, whole array<map<string,int>>, bytes array<int>")
+        table["two"] = [ranks.get(bytes([i, j]), NONE) * PLACE for i in range(256) for j in range(256)] + [NONE * PLACE]
+        self.table = F.from_json(F.lit(json.dumps(table)), "keys array<array<bigint>>, ranks array<array<bigint>>, whole array<map<string,int>>, bytes array<int>, two array<bigint>")
 
     def ids(self, word: Column) -> Column:
         """array<int>: the ids of a word; a word that is a piece is its id."""
@@ -84,26 +87,33 @@ class Fold:
         return _let(chars, found)
 
     def rank(self, table: Column, left: Column, right: Column) -> Column:
-        at = lambda key: (key % MAPS + 1).cast("int")
-        pair = lambda key: F.coalesce(F.get(F.element_at(table["ranks"], at(key)), F.array_position(F.element_at(table["keys"], at(key)), key) - 1), F.lit(NONE))
-        return _let(left.cast("long") * PAIR + right, pair)
+        part = lambda name, key: F.get(table[name], key.bitwiseAND(MAPS - 1))
+        found = lambda key: F.get(part("ranks", key), F.array_position(part("keys", key), key) - 1)
+        return F.coalesce(_let(left * PAIR + right, found), F.lit(NONE))
 
     def merged(self, table: Column, word: Column) -> Column:
-        each = F.transform(F.split(word, ""), lambda c: F.element_at(table["bytes"], F.ascii(c) + 1))
-        first = _let(each, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(2), F.length(word)), lambda x, i: self.rank(table, F.get(p, i), x)).alias("r")))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), first, lambda acc, _: self.merge(table, acc))["p"]
+        """The ids of a word by as many merges as it has places for; a state's values are (rank, place, id) in one number."""
+        each = F.transform(F.split(word, ""), lambda c: F.ascii(c))
+        byte = lambda p, x, i: F.get(table["two"], x * 256 + F.coalesce(F.get(p, i + 1), F.lit(256 * 256) - x * 256)) + i * PAIR + F.get(table["bytes"], x)
+        first = _let(each, lambda p: F.transform(p, lambda x, i: byte(p, x, i)))
+        last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), first, lambda v, _: self.merge(table, v))
+        return F.transform(last, lambda x: (x % PAIR).cast("int"))
 
-    def merge(self, table: Column, acc: Column) -> Column:
-        """One merge: the pair's second id goes, its first becomes the new id, and its neighbours' pairs are ranked."""
-        p, r = acc["p"], acc["r"]
+    def merge(self, table: Column, v: Column) -> Column:
+        """One merge: the least value's piece takes in the next one, and the pairs on both sides are ranked anew."""
 
         def joined(best: Column) -> Column:
-            at, new = best % 128, F.shiftright(best, 7)
-            ids = F.transform(F.filter(p, lambda x, i: i != at + 1), lambda x, i: F.when(i == at, new).otherwise(x))
-            near = lambda x, i: F.when(i == at - 1, self.rank(table, F.get(p, at - 1), new)).when(i == at, self.rank(table, new, F.get(p, at + 2))).otherwise(x)
-            return F.when(best >= NONE * 128, acc).otherwise(F.struct(ids.alias("p"), F.transform(F.filter(r, lambda x, i: i != at), near).alias("r")))
+            new = F.shiftright(best, 24)
 
-        return _let(F.coalesce(F.array_min(F.transform(r, lambda x, i: x * 128 + i)), F.lit(NONE * 128)), joined)
+            def put(at: Column) -> Column:
+                here = self.rank(table, new, F.get(v, at + 1).bitwiseAND(PAIR - 1)) * PLACE + (best.bitwiseAND(PLACE - PAIR) + new)
+                before = lambda x: self.rank(table, x.bitwiseAND(PAIR - 1), new) * PLACE + x.bitwiseAND(PLACE - 1)
+                one = lambda left: F.transform(F.array_remove(v, F.get(v, at)), lambda x: F.when(x == best, here).when(x == left, before(x)).otherwise(x))
+                return _let(F.coalesce(F.get(v, at - 2), F.lit(-1).cast("long")), one)
+
+            return F.when(best >= NONE * PLACE, v).otherwise(_let(F.array_position(v, best).cast("int"), put))
+
+        return _let(F.array_min(v), joined)
 
 
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
