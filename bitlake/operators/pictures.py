@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlake.functions.codec import picture_order_count
@@ -52,3 +52,26 @@ def reference_lists(pictures: DataFrame, most: int = 4) -> DataFrame:
     r = r.withColumn("l0", F.concat(past, future)).withColumn("l1", F.concat(future, past)).withColumn("p", down)
     same = (F.size("l1") > 1) & (F.col("l0") == F.col("l1"))
     return r.withColumn("l1", F.when(same, F.concat(F.slice("l1", 2, 1), F.slice("l1", 1, 1), F.slice(F.col("l1"), F.lit(3), F.size("l1")))).otherwise(F.col("l1")))
+
+
+def with_numbers(pictures: DataFrame, period: int) -> DataFrame:
+    """frame_num, the references before a picture of its group modulo period, and number, unwrapped from it again."""
+    by = Window.partitionBy("stream_id", "group_no").orderBy("seq")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    coded = with_groups(pictures).withColumn("frame_num", F.coalesce(F.sum(F.col("ref").cast("long")).over(before), F.lit(0)) % period)
+    wraps = coded.withColumn("wrap", F.coalesce(F.lag("frame_num").over(by) > F.col("frame_num"), F.lit(False)).cast("long"))
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    return wraps.withColumn("number", F.sum("wrap").over(upto) * period + F.col("frame_num")).drop("wrap")
+
+
+def order_count_cycle(number: Column, ref: Column, offsets: list[int], not_ref: int) -> Column:
+    """Picture order counts of type 1: expected steps repeat in a cycle; pictures that are no reference are shifted."""
+    n = F.when(~ref & (number > 0), number - 1).otherwise(number)
+    sums = F.array(*(F.lit(sum(offsets[: i + 1])) for i in range(len(offsets))))
+    expected = F.floor((n - 1) / len(offsets)) * sum(offsets) + F.element_at(sums, (F.greatest(n - 1, F.lit(0)) % len(offsets) + 1).cast("int"))
+    return F.when(n > 0, expected).otherwise(0) + F.when(ref, 0).otherwise(not_ref)
+
+
+def order_count_plain(number: Column, ref: Column) -> Column:
+    """Picture order counts of type 2: coding order, with pictures that are no reference before the number's own place."""
+    return 2 * number - F.when(ref, 0).otherwise(1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitlake.functions import codec
 from bitlake.operators import pictures
+from bitlake.plans import block_queries
 from bitlake.sources import framing
 
 
@@ -126,3 +127,7 @@ SELECT p_partkey, greatest(0, least(255, (s0 - 5 * s1 + 20 * s2 + 20 * s3 - 5 *
     "edge_filter": BYTES + """, e AS (SELECT *, 4 + (abs(s1 - s3) < 40)::INT + (abs(s6 - s4) < 40)::INT tc FROM s)
 SELECT doc_id, abs(s3 - s4) < 60 AND abs(s2 - s3) < 40 AND abs(s5 - s4) < 40 filtered, greatest(0, least(255, s3 + greatest(-tc, least(tc, ((s4 - s3) * 4 + (s2 - s5) + 4) >> 3))))::BIGINT p0 FROM e""",
 }
+
+_queries, _sql = block_queries.queries(of_samples, BYTES, PICS)
+QUERIES |= _queries
+SQL |= _sql
