@@ -3,8 +3,8 @@
 A text is split by the tokenizer's pattern in the JVM. Frequent words, counted on a bounded sample of texts, are
 folded once and their ids kept as a table of at most CACHE words in each Python worker; the table saves time and
 changes no result. The distinct other words of a text are folded in its own row. The fold merges the adjacent pair of
-least rank, leftmost first, until no pair has a rank; ranks come from a literal array of small maps, in which the
-key picks the map. A word's bytes are read as characters of ISO 8859-1. Words of over FOLD bytes, for which
+least rank, leftmost first, until no pair has a rank; ranks come from a literal map, an array in which each pair has a
+slot. A word's bytes are read as characters of ISO 8859-1. Words of over FOLD bytes, for which
 a quadratic fold is slow, are merged with a heap instead.
 """
 
@@ -22,11 +22,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 800_000, 40_000
+MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 400_000, 40_000
+#: The table of pairs: buckets, the modulus that gives a key its slot, and a factor below 2**29, so that no product overflows.
+BUCKETS, SLOTS, MIX = 32_768, 299_993, 478_163_327
 WORDS_AT_ONCE = 300_000
 #: Texts in an Arrow batch: its words and ids are in memory at once, on both sides.
 BATCH = 1_000
-#: A rank beyond all ranks, and the bits below a rank: seven of a place in the word above those of an id.
+PLAN = 50_000
+#: A rank beyond all ranks, and the bits below a rank: seven of a piece's index in the word above those of an id.
 NONE, PLACE = 1 << 20, 1 << 24
 #: Unicode's white space, which `\s` means to the tokenizer.
 SPACE = r"\u0009-\u000D \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -49,16 +52,38 @@ def _let(value: Column, use) -> Column:
     return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, use)
 
 
+def placed(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
+    """(shifts, slots): a table in which each key has a slot of its own, by the shift of the key's bucket.
+
+    A slot holds key * PAIR + rank, or -1. Buckets are placed from the largest to the smallest, each at the least
+    shift that puts all its keys in free slots.
+    """
+    buckets: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for key in pairs:
+        buckets[(key * MIX >> 34) & (BUCKETS - 1)].append(key)
+    shifts, slots = [0] * BUCKETS, [-1] * (2 * SLOTS)
+    for b in sorted(range(BUCKETS), key=lambda b: -len(buckets[b])):
+        at = [key * MIX % SLOTS for key in buckets[b]]
+        if len(set(at)) < len(at):
+            raise ValueError("two pairs of one bucket share a slot: choose another MIX")
+        shift = next(s for s in range(SLOTS) if all(slots[i + s] < 0 for i in at))
+        shifts[b] = shift
+        for key, i in zip(buckets[b], at, strict=True):
+            slots[i + shift] = key * PAIR + pairs[key]
+    return shifts, slots[: SLOTS + max(shifts)]
+
+
 class Fold:
     """Column expressions of the merges over one vocabulary.
 
-    The literal map (its parts' keys and ranks; for two bytes, one array) leads from a pair of ids, as one number, to the rank of the two pieces
-    put together, which is its id too. A word's state is one array, of each piece's id, its place and the rank of its pair
-    with the next; its least value is the merge to do, which looks up the two pairs it makes.
+    The literal map (slots of pairs, found by their bucket's shift; for two bytes, one array) leads from a pair of ids,
+    as one number, to the rank of the two pieces put together, which is its id too. A word's state is one array, of each
+    piece's id, its index and the rank of its pair with the next; its least value is the merge to do, which looks up the
+    two pairs it makes.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
-        maps: list[dict[int, int]] = [{} for _ in range(MAPS)]
+        pairs: dict[int, int] = {}
         whole: list[dict[str, int]] = [{} for _ in range(MAPS)]
         for piece, rank in ranks.items():
             key = piece.decode("latin-1")
@@ -66,10 +91,11 @@ class Fold:
             for i in range(1, len(piece)):
                 left, right = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if left is not None and right is not None:
-                    maps[(left * PAIR + right) % MAPS][left * PAIR + right] = rank
-        table = {"keys": [list(m) for m in maps], "ranks": [list(m.values()) for m in maps], "whole": whole, "bytes": [ranks[bytes([i])] for i in range(256)]}
+                    pairs[left * PAIR + right] = rank
+        shifts, slots = placed(pairs)
+        table = {"shifts": shifts, "slots": slots, "whole": whole, "bytes": [ranks[bytes([i])] for i in range(256)]}
         table["two"] = [ranks.get(bytes([i, j]), NONE) * PLACE for i in range(256) for j in range(256)] + [NONE * PLACE]
-        self.table = F.from_json(F.lit(json.dumps(table)), "keys array<array<bigint>>, ranks array<array<bigint>>, whole array<map<string,int>>, bytes array<int>, two array<bigint>")
+        self.table = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "shifts array<bigint>, slots array<bigint>, whole array<map<string,int>>, bytes array<int>, two array<bigint>")
 
     def ids(self, word: Column) -> Column:
         """array<int>: the ids of a word; a word that is a piece is its id."""
@@ -87,12 +113,14 @@ class Fold:
         return _let(chars, found)
 
     def rank(self, table: Column, left: Column, right: Column) -> Column:
-        part = lambda name, key: F.get(table[name], key.bitwiseAND(MAPS - 1))
-        found = lambda key: F.get(part("ranks", key), F.array_position(part("keys", key), key) - 1)
-        return F.coalesce(_let(left * PAIR + right, found), F.lit(NONE))
+        def slot(key: Column) -> Column:
+            shift = F.get(table["shifts"], F.shiftright(key * MIX, 34).bitwiseAND(BUCKETS - 1))
+            return _let(F.get(table["slots"], key * MIX % SLOTS + shift), lambda s: F.when(F.shiftright(s, 17) == key, s.bitwiseAND(PAIR - 1)).otherwise(NONE))
+
+        return _let(left * PAIR + right, slot)
 
     def merged(self, table: Column, word: Column) -> Column:
-        """The ids of a word by as many merges as it has places for; a state's values are (rank, place, id) in one number."""
+        """The ids of a word by as many merges as it has places for; a state's values are (rank, index, id) in one number."""
         each = F.transform(F.split(word, ""), lambda c: F.ascii(c))
         byte = lambda p, x, i: F.get(table["two"], x * 256 + F.coalesce(F.get(p, i + 1), F.lit(256 * 256) - x * 256)) + i * PAIR + F.get(table["bytes"], x)
         first = _let(each, lambda p: F.transform(p, lambda x, i: byte(p, x, i)))
@@ -106,12 +134,12 @@ class Fold:
             new = F.shiftright(best, 24)
 
             def put(at: Column) -> Column:
-                here = self.rank(table, new, F.get(v, at + 1).bitwiseAND(PAIR - 1)) * PLACE + (best.bitwiseAND(PLACE - PAIR) + new)
+                here = self.rank(table, new, F.get(v, at + 2).bitwiseAND(PAIR - 1)) * PLACE + (best.bitwiseAND(PLACE - PAIR) + new)
                 before = lambda x: self.rank(table, x.bitwiseAND(PAIR - 1), new) * PLACE + x.bitwiseAND(PLACE - 1)
-                one = lambda left: F.transform(F.array_remove(v, F.get(v, at)), lambda x: F.when(x == best, here).when(x == left, before(x)).otherwise(x))
-                return _let(F.coalesce(F.get(v, at - 2), F.lit(-1).cast("long")), one)
+                new_value = lambda x, i: F.when(i < at - 1, x).when(i > at, x - PAIR).when(i == at, here).otherwise(before(x))
+                return F.transform(F.array_remove(v, F.get(v, at + 1)), new_value)
 
-            return F.when(best >= NONE * PLACE, v).otherwise(_let(F.array_position(v, best).cast("int"), put))
+            return F.when(best >= NONE * PLACE, v).otherwise(_let(F.shiftright(best, 17).bitwiseAND(127).cast("int"), put))
 
         return _let(F.array_min(v), joined)
 
@@ -223,10 +251,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(id, ids), with keep_text (id, ids, text): the token ids of every whole text, without special tokens; one row for each row of docs.
 
     Null and empty texts have no tokens; ids and repeated rows stay as they are; other columns are not read. The
-    session's Arrow batches are set to BATCH rows.
+    session's Arrow batches are set to BATCH rows, and its plans' texts to PLAN characters.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN)  # else the driver keeps the literal map's text for each plan
     ranks = read_ranks(path)
     fold = Fold(ranks)
     kind = dict(docs.dtypes)[id_col]
