@@ -128,7 +128,7 @@ def fit(labelled: DataFrame) -> Model:
             for s in slots(pdf["h"].to_numpy().view(np.uint64)):
                 yield pd.DataFrame({"slot": s, "mask": pdf["mask"]})
 
-    filled = rates.select("h", mask.alias("mask")).mapInPandas(put, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()  # SLOTS rows at most
+    filled = rates.select("h", mask.alias("mask")).mapInPandas(put, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most
     words = np.zeros(SLOTS, np.uint64)
     words[filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
     n.unpersist()

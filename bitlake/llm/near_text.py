@@ -177,7 +177,7 @@ def _slot(id_: Column) -> Column:
 def _bits(ids: DataFrame):
     """The broadcast bit set of the ids: FILTER bits, however many ids there are."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
-    found = ids.select(_slot(F.col("id")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("word")).toPandas()
+    found = ids.select(_slot(F.col("id")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
     words = np.zeros(FILTER >> 6, _U)
     words[found["at"].to_numpy()] = found["word"].to_numpy().astype(np.int64).view(_U)
     return ids.sparkSession.sparkContext.broadcast(words)
