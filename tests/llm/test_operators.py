@@ -165,3 +165,34 @@ def test_quality(spark, odd, none):
     out = quality.score(spark.createDataFrame(rows, SCHEMA), labels).toPandas()
     assert (out.predicted == (out.doc_id % 3 != 0)).mean() > 0.97
     assert quality.score(odd, labels.limit(0)).where("score = 0.5").count() == len(ODD) and quality.score(none, labels).count() == 0
+
+
+def test_fine_bands_keep_similar_pairs():
+    """Texts of similarity 0.8 share a fine band; dissimilar ones seldom do."""
+    import numpy as np
+    import pyarrow as pa
+
+    from bitlake.llm import near_text
+
+    rng = np.random.default_rng(5)
+    texts, own = [], 400
+    for _ in range(40):
+        base = rng.choice(1 << 32, own + 200, replace=False).astype(np.uint32)
+        for first in (0, 44, 150):  # similarity to the first: 0.802 and 0.455
+            texts.append(np.sort(base[first : first + own]))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "grams": [t.tobytes() for t in texts]})
+    fine = [set(x) for part in near_text._fine(iter([batch])) for x in part.column("fine").to_pylist()]
+    assert len(fine) == len(texts)
+    assert near_text.similarity(texts[0].tobytes(), texts[1].tobytes()) >= 0.8
+    assert all(fine[i] & fine[i + 1] for i in range(0, len(fine), 3))
+    assert sum(bool(fine[i] & fine[i + 2]) for i in range(0, len(fine), 3)) <= 4
+
+
+def test_pair_table_finds_every_pair():
+    from bitlake.llm import bpe
+
+    pairs = {left * bpe.PAIR + right: left + right for left in range(0, 50_000, 97) for right in range(0, 50_000, 601)}
+    shifts, slots = bpe.placed(pairs)
+    for key, rank in pairs.items():
+        slot = slots[key * bpe.MIX % bpe.SLOTS + shifts[(key * bpe.MIX >> 34) & (bpe.BUCKETS - 1)]]
+        assert (slot >> 17, slot & (bpe.PAIR - 1)) == (key, rank)
