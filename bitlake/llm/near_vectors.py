@@ -2,8 +2,10 @@
 
 Each pass orders the vectors of a label lexicographically by the concatenated bits of random projections and compares
 each block of neighbours with itself and the window before it; links found are joined within the block at once, so
-that a dense block yields one row a vector. Passes are united by components. Then the vectors of a component are
-compared exactly, tile by tile, for the number of links of each; links that no window held are counted there too.
+that a dense block yields one row a vector. Passes are united by components. What no window held is then found
+exactly: vectors are put in blocks by cells of fixed orthonormal directions, large components in blocks of their own,
+and blocks are compared wherever their bounds allow a link between different components, whatever the label's size.
+Last, the vectors of a component are compared, tile by tile, for the number of links of each.
 Exact copies are one vector with a count throughout.
 """
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from bitlake.llm.common import components, cut
 
 PASSES, BITS, WINDOW, BLOCK, TILE = 16, 60, 64, 192, 512
+#: Fixed directions that bound the distance of blocks.
+AXES = 8
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -179,6 +183,92 @@ def _counted(threshold: float):
     return count
 
 
+def axes(dim: int) -> np.ndarray:
+    """(dim, AXES) orthonormal directions; zeros beyond dim."""
+    found = np.linalg.qr(np.random.default_rng([AXES, dim]).standard_normal((dim, min(AXES, dim))))[0]
+    return np.pad(found, ((0, 0), (0, AXES - found.shape[1])))
+
+
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for size, part in pdf.groupby(pdf["raw"].str.len()):
+            x = unit(part["raw"].tolist()) @ axes(size // 8)
+            yield part.assign(size=size, **{f"p{k}": x[:, k] for k in range(AXES)})
+
+
+def _crossing(threshold: float):
+    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, mark = [], None
+
+        def done() -> pd.DataFrame:
+            """Links between components, no more than join them."""
+            rows = pd.concat(held)
+            x, c, blk = unit(rows["raw"].tolist()), rows["component"].to_numpy(), rows["blk"].to_numpy()
+            a, b = blk == mark[2], blk == mark[3]
+            i, j = np.nonzero((x[a] @ x[b].T >= threshold) & (c[a][:, None] != c[b][None, :]))
+            root, kept = {}, []
+            for p, q in np.unique(np.stack([c[a][i], c[b][j]], 1), axis=0).tolist():
+                ends = []
+                for e in (p, q):
+                    while (up := root.get(e, e)) != e:
+                        root[e] = root.get(up, up)
+                        e = up
+                    ends.append(e)
+                if ends[0] != ends[1]:
+                    root[max(ends)] = min(ends)
+                    kept.append((p, q))
+            return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+        for fresh, run in _runs(batches, ["label", "size", "i", "j"]):
+            if fresh and held:
+                yield done()
+                held = []
+            mark = tuple(run.iloc[0][["label", "size", "i", "j"]])
+            held.append(run)
+        if held:
+            yield done()
+
+    return cross
+
+
+def _completed(reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """found, (node, component), with all links of different components, also those that no window held.
+
+    The unit vectors of a link are at most `reach` apart, and so are their projections on orthonormal directions: two
+    blocks with a link have bounds that are no farther apart. A block has TILE vectors or so. It is of one component
+    where that is large, and such blocks of the same component are not compared.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    n = max(8, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    group = ["label", "size"]
+    named = reps.join(found, reps["rep"] == found["node"], "left").select("label", "rep", F.coalesce("component", "rep").alias("component"), "raw")
+    fields = ", ".join(f"p{k} double" for k in range(AXES))
+    rows = cut(named.mapInPandas(_placed, f"label long, rep long, component long, raw binary, size int, {fields}"), "vectors-placed")
+    large = found.groupBy("component").agg(F.count("*").alias("of")).where(F.col("of") > TILE // 2).select("component", F.col("component").alias("large"))
+    used = rows.groupBy(*group).agg(F.floor(F.log2(F.greatest(F.lit(1.0), F.count("*") / TILE)) / 2).cast("int").alias("used"))  # a direction has about four cells with vectors
+    cells = [F.when(F.col("used") > k, F.floor(F.col(f"p{k}") / reach)).otherwise(0) for k in range(AXES)]
+    rows = rows.join(large, "component", "left").join(used, group).withColumn("cell", F.xxhash64("large", *cells))
+    counts = rows.groupBy(*group, "cell").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("blocks"))
+    rows = rows.join(counts, [*group, "cell"]).withColumn("blk", F.xxhash64("cell", F.pmod(F.xxhash64("rep"), F.col("blocks"))))
+    rows = cut(rows.select("label", "size", "blk", "component", "raw", *(f"p{k}" for k in range(AXES))), "vectors-blocks")
+
+    bounds = [f(f"p{k}").alias(f"{name}{k}") for k in range(AXES) for name, f in (("lo", F.min), ("hi", F.max))]
+    blocks = cut(rows.groupBy(*group, "blk").agg(F.min("component").alias("first"), F.max("component").alias("last"), *bounds), "vectors-bounds")
+    i, j = blocks.alias("i"), blocks.alias("j")
+    gaps = [F.greatest(F.lit(0.0), F.col(f"i.lo{k}") - F.col(f"j.hi{k}"), F.col(f"j.lo{k}") - F.col(f"i.hi{k}")) for k in range(AXES)]
+    near = sum((g * g for g in gaps), F.lit(0.0)) <= reach * reach
+    several = F.least("i.first", "j.first") != F.greatest("i.last", "j.last")
+    pairs = i.join(j, group).where((F.col("i.blk") <= F.col("j.blk")) & several & near).select(*group, F.col("i.blk").alias("i"), F.col("j.blk").alias("j"))
+    pairs = cut(pairs, "vectors-tiles")
+    sent = pairs.select(*group, F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"), "i", "j")
+    tiles = rows.select("label", "size", "blk", "component", "raw").join(sent, [*group, "blk"])
+    tiles = tiles.repartition(n, *group, "i", "j").sortWithinPartitions(*group, "i", "j")
+    more = components(tiles.mapInPandas(_crossing(threshold), "a long, b long"), "vectors-rest")
+    joined_up = more.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    old = found.join(joined_up, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return cut(old.unionAll(more.join(found, "node", "left_anti").select("node", "component")), "vectors-found")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = PASSES) -> DataFrame:
     """(id, n_links, component_id, kept): one row for each row of df.
 
@@ -193,7 +283,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     own = good.select("label", "digest", F.col("vec_id").alias("rep"), "raw").dropDuplicates(["label", "digest", "rep"])
     reps = cut(own.join(classes, ["label", "digest", "rep"]).select("label", "digest", "rep", "n", "raw"), "vectors-classes")
 
-    found = components(_links(reps, passes, threshold), "vectors")
+    found = _completed(reps, components(_links(reps, passes, threshold), "vectors"), threshold)
     linked = reps.join(found, reps["rep"] == found["node"])
     sizes = found.groupBy("component").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("blocks"))
     tiled = linked.join(sizes, "component").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

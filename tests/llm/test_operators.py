@@ -196,3 +196,27 @@ def test_pair_table_finds_every_pair():
     for key, rank in pairs.items():
         slot = slots[key * bpe.MIX % bpe.SLOTS + shifts[(key * bpe.MIX >> 34) & (bpe.BUCKETS - 1)]]
         assert (slot >> 17, slot & (bpe.PAIR - 1)) == (key, rank)
+
+
+def star(members: int, dim: int = 64, cosine: float = 0.982) -> np.ndarray:
+    """A base and members at that cosine to it, few of them linked to each other."""
+    rng = np.random.default_rng(8)
+    base = np.eye(dim)[0]
+    away = rng.standard_normal((members, dim))
+    away[:, 0] = 0
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    return np.concatenate([base[None, :], cosine * base + np.sqrt(1 - cosine**2) * away])
+
+
+def test_near_vectors_of_a_large_star(spark):
+    x = star(5_000)
+    far = np.random.default_rng(9).standard_normal((500, 64))
+    x = np.concatenate([x, far / np.linalg.norm(far, axis=1)[:, None]])
+    ids = np.random.default_rng(10).permutation(len(x))
+    rows = [(int(i), [float(c) for c in v], 0) for i, v in zip(ids, x, strict=True)]
+    got = {r.vec_id: r for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links = (x @ x.T >= 0.98).sum(1) - 1
+    assert links[0] == 5_000 and not links[5_001:].any()
+    least = int(ids[:5_001].min())
+    assert [got[int(i)].n_links for i in ids] == links.tolist()
+    assert [got[int(i)].component_id for i in ids] == [least] * 5_001 + ids[5_001:].tolist()
