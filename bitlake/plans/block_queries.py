@@ -9,19 +9,20 @@ from bitlake.functions import blocks
 from bitlake.operators import pictures
 
 
-def queries(of_samples, samples_sql: str, pictures_sql: str) -> tuple[dict, dict]:
-    """The queries and their SQL; of_samples and the SQL's beginnings make the carriers."""
+def queries(of_samples, samples_sql: str, pictures_sql: str, whole: bool = False) -> tuple[dict, dict]:
+    """The queries and their SQL; of_samples and the SQL's beginnings make the carriers. whole: all values of a block."""
+    values, points = (16, [(x, y) for y in range(8) for x in range(8)]) if whole else (8, [(0, 0), (7, 0), (3, 5), (7, 7)])
     longs = lambda prefix, columns: [c.cast("long").alias(f"{prefix}{i}") for i, c in enumerate(columns)]
     named = lambda **columns: [c.cast("long").alias(k) for k, c in columns.items()]
     wide = lambda s: [c.cast("long") for c in s]
     found = {
-        "dequantise": of_samples(lambda *s: longs("d", [blocks.dequantised(v - 128, s[0] % 52, i % 4, i // 4) for i, v in enumerate(wide(s)[:8])])),
+        "dequantise": of_samples(lambda *s: longs("d", [blocks.dequantised(v - 128, s[0] % 52, i % 4, i // 4) for i, v in enumerate(wide(s)[:values])])),
         "dequantise_chroma_dc": of_samples(lambda *s: longs("d", [blocks.dequantised_chroma_dc(v - 128, s[0] % 52) for v in wide(s)[:4]])),
         "inverse_rows": of_samples(lambda *s: longs("r", blocks.by_rows([v - 128 for v in wide(s)], blocks.butterfly))),
         "inverse_columns": of_samples(lambda *s: longs("r", blocks.second_half([64 * v - 8192 for v in wide(s)]))),
-        "hadamard4": of_samples(lambda *s: longs("h", blocks.hadamard4([v - 128 for v in wide(s)])[:8])),
+        "hadamard4": of_samples(lambda *s: longs("h", blocks.hadamard4([v - 128 for v in wide(s)])[:values])),
         "quarter_samples": of_samples(lambda *s: named(quarter=blocks.quarter_sample(list(s[:6])))),
-        "intra_plane": of_samples(lambda *s: longs("v", [blocks.plane(list(s[:8]), list(s[8:16]), s[7], x, y) for x, y in ((0, 0), (7, 0), (3, 5), (7, 7))])),
+        "intra_plane": of_samples(lambda *s: longs("v", [blocks.plane(list(s[:8]), list(s[8:16]), s[7], x, y) for x, y in points])),
         "strong_filter": of_samples(lambda *s: longs("p", blocks.strong_filter(*s[:6], 60, 40))),
         "edge_strength": lambda s, d: neighbours(s, d).select("event_id", blocks.edge_strength(F.col("mode") < 2, F.col("place") % 4 == 0, F.col("n") % 3 == 0, F.col("mode") % 5 == 4, F.col("mode") - F.col("n"), F.col("n") - 9).cast("long").alias("strength")),
         "implicit_weights": lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q")).select("l_orderkey", "l_suppkey", "q", *longs("w", blocks.implicit_weights((F.col("l_suppkey") % 300 - 150).cast("long"), F.col("q").cast("long")))),
@@ -38,14 +39,14 @@ def queries(of_samples, samples_sql: str, pictures_sql: str) -> tuple[dict, dict
     rows = ", ".join(f"({e})::BIGINT r{4 * y + x}" for y in range(4) for x, e in enumerate(fly(*(f"(s{4 * y + i} - 128)" for i in range(1, 5)))))
     cols = ", ".join(f"(({e} + 32) >> 6)::BIGINT r{4 * y + x}" for x in range(4) for y, e in enumerate(fly(*(f"(64 * s{4 * i + x + 1} - 8192)" for i in range(4)))))
     sign = [[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, -1, 1], [1, -1, 1, -1]]
-    had = ", ".join(f"({' + '.join(f'{sign[k // 4][i // 4] * sign[k % 4][i % 4]} * (s{i + 1} - 128)' for i in range(16))})::BIGINT h{k}" for k in range(8))
+    had = ", ".join(f"({' + '.join(f'{sign[k // 4][i // 4] * sign[k % 4][i % 4]} * (s{i + 1} - 128)' for i in range(16))})::BIGINT h{k}" for k in range(values))
     slope = lambda o: f"((34 * ((s{o + 5} - s{o + 3}) + 2 * (s{o + 6} - s{o + 2}) + 3 * (s{o + 7} - s{o + 1}) + 4 * (s{o + 8} - s8)) + 32) >> 6)"
-    plane = ", ".join(f"greatest(0, least(255, (16 * (s8 + s16) + {slope(0)} * {x - 3} + {slope(8)} * {y - 3} + 16) >> 5))::BIGINT v{i}" for i, (x, y) in enumerate(((0, 0), (7, 0), (3, 5), (7, 7))))
+    plane = ", ".join(f"greatest(0, least(255, (16 * (s8 + s16) + {slope(0)} * {x - 3} + {slope(8)} * {y - 3} + 16) >> 5))::BIGINT v{i}" for i, (x, y) in enumerate(points))
     grid = """WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 place, event_id % 9 mode, event_id % 17 n FROM events),
 b AS (SELECT *, CASE WHEN place % 8 > 0 THEN lag(mode) OVER w END left_mode, lag(mode, 8) OVER w up_mode, CASE WHEN place % 8 > 0 THEN lag(n) OVER w END left_n, lag(n, 8) OVER w up_n FROM a WINDOW w AS (PARTITION BY user_id ORDER BY place))"""
     numbers = pictures_sql + ", k AS (SELECT stream_id, seq, ref, coalesce(sum(ref::INT) OVER (PARTITION BY stream_id, group_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT number FROM g)"
     sql = {
-        "dequantise": samples_sql + f" SELECT doc_id, {', '.join(deq(i) for i in range(8))} FROM s",
+        "dequantise": samples_sql + f" SELECT doc_id, {', '.join(deq(i) for i in range(values))} FROM s",
         "dequantise_chroma_dc": samples_sql + " SELECT doc_id, " + ", ".join(f"(((s{i + 1} - 128) * {scale(0, 0)} * 16 * (1 << (s1 % 52 // 6))) >> 5)::BIGINT d{i}" for i in range(4)) + " FROM s",
         "inverse_rows": samples_sql + f" SELECT doc_id, {rows} FROM s",
         "inverse_columns": samples_sql + f" SELECT doc_id, {cols} FROM s",

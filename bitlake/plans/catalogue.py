@@ -33,6 +33,21 @@ def of_samples(make):
     return lambda spark, d: (lambda s: s.select("doc_id", *make(*(F.col(f"s{i}") for i in range(1, 17)))))(samples(spark, d))
 
 
+def groups(spark: SparkSession, d: str, width: int) -> DataFrame:
+    """Each whole text as groups of `width` bytes, numbered from 0: samples s1 to s`width`; the last group is padded like a short text."""
+    padded = F.encode(F.concat(F.col("text"), F.repeat(F.lit("Q"), width)), "UTF-8")
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / width)).cast("int")
+    cut = F.transform(F.array(padded), lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda g: F.substring(b, g * width + 1, F.lit(width))))[0]
+    rows = table("documents")(spark, d).select("doc_id", F.posexplode(cut).alias("group_no", "g"))
+    at = range(0, width, 6)  # as many bytes at once as a long holds
+    rows = rows.select("doc_id", F.col("group_no").cast("long"), *(F.conv(F.hex(F.substring("g", i + 1, 6)), 16, 10).cast("long").alias(f"w{i}") for i in at))
+    return rows.select("doc_id", "group_no", *(F.shiftright(f"w{i}", 8 * (min(6, width - i) - 1 - k)).bitwiseAND(255).cast("int").alias(f"s{i + k + 1}") for i in at for k in range(min(6, width - i))))
+
+
+def of_groups(width: int, make):
+    return lambda spark, d: (lambda s: s.select("doc_id", "group_no", *make(*(F.col(f"s{i}") for i in range(1, width + 1)))))(groups(spark, d, width))
+
+
 def line_ints(spark: SparkSession, d: str) -> DataFrame:
     return table("lineitem")(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
 
@@ -59,6 +74,14 @@ def type_histogram(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(*framing.header(byte("text", 1))).where("forbidden = 0").groupBy("unit_type").agg(F.count("*").alias("n"))
 
 
+SAMPLED = {
+    "weighted_prediction": lambda *s: [codec.weighted_uni(s[0], 5, s[1] - 90, s[2] - 100).cast("long").alias("uni"), codec.weighted_bi(s[0], s[1], 5, s[2] - 64, s[3] - 64, s[4] - s[5]).cast("long").alias("bi"), F.shiftright(s[0] + s[1] + 1, 1).cast("long").alias("mean")],
+    "chroma_bilinear": lambda *s: [codec.bilinear(s[0], s[1], s[2], s[3], s[4] % 8, s[5] % 8).cast("long").alias("value")],
+    "hadamard": lambda *s: [c.cast("long").alias(f"h{i}") for i, c in enumerate(codec.hadamard2(*s[:4]))],
+    "intra_mean": lambda *s: [F.shiftright(sum(s[1:8], s[0]) + 4, 3).cast("long").alias("both"), F.shiftright(s[0] + s[1] + s[2] + s[3] + 2, 2).cast("long").alias("above")],
+    "edge_filter": lambda *s: [codec.should_filter(s[1], s[2], s[3], s[4], 60, 40).alias("filtered"), codec.filtered_p0(s[0], s[1], s[2], s[3], s[4], s[5], 4, 40).cast("long").alias("p0")],
+}
+
 QUERIES = {
     "display_order": of_events(lambda p: pictures.display_order(p).select("stream_id", "seq", "group_no", "poc", "shown")),
     "poc_type0": of_events(lambda p: pictures.with_order_counts(p).select("stream_id", "seq", "poc")),
@@ -74,12 +97,7 @@ QUERIES = {
     "temporal_scale": lambda s, d: line_ints(s, d).select("l_orderkey", "l_suppkey", "q", codec.temporal_scale((F.col("l_suppkey") % 60 - 30).cast("long"), F.col("q").cast("long")).cast("long").alias("scale")),
     "vector_median": lambda s, d: line_ints(s, d).select("l_orderkey", "l_partkey", "l_suppkey", "q", codec.median(F.col("l_partkey") % 64, F.col("l_suppkey") % 64, F.col("q").cast("long")).alias("mid")),
     "half_samples": half_samples,
-    "weighted_prediction": of_samples(lambda *s: [codec.weighted_uni(s[0], 5, s[1] - 90, s[2] - 100).cast("long").alias("uni"), codec.weighted_bi(s[0], s[1], 5, s[2] - 64, s[3] - 64, s[4] - s[5]).cast("long").alias("bi"), F.shiftright(s[0] + s[1] + 1, 1).cast("long").alias("mean")]),
-    "chroma_bilinear": of_samples(lambda *s: [codec.bilinear(s[0], s[1], s[2], s[3], s[4] % 8, s[5] % 8).cast("long").alias("value")]),
-    "hadamard": of_samples(lambda *s: [c.cast("long").alias(f"h{i}") for i, c in enumerate(codec.hadamard2(*s[:4]))]),
-    "intra_mean": of_samples(lambda *s: [F.shiftright(sum(s[1:8], s[0]) + 4, 3).cast("long").alias("both"), F.shiftright(s[0] + s[1] + s[2] + s[3] + 2, 2).cast("long").alias("above")]),
-    "edge_filter": of_samples(lambda *s: [codec.should_filter(s[1], s[2], s[3], s[4], 60, 40).alias("filtered"), codec.filtered_p0(s[0], s[1], s[2], s[3], s[4], s[5], 4, 40).cast("long").alias("p0")]),
-}
+} | {name: of_samples(make) for name, make in SAMPLED.items()}
 
 PICS = """
 WITH a AS (SELECT user_id stream_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 seq FROM events),
@@ -131,3 +149,21 @@ SELECT doc_id, abs(s3 - s4) < 60 AND abs(s2 - s3) < 40 AND abs(s5 - s4) < 40 fil
 _queries, _sql = block_queries.queries(of_samples, BYTES, PICS)
 QUERIES |= _queries
 SQL |= _sql
+
+#: The queries of samples over whole texts: by each name, the bytes that a block takes. The SQL differs in its carrier and, for three, in returning all values.
+WHOLE = {"weighted_prediction": 6, "chroma_bilinear": 6, "hadamard": 4, "intra_mean": 8, "edge_filter": 6, "dequantise": 16, "dequantise_chroma_dc": 4, "inverse_rows": 16, "inverse_columns": 16, "hadamard4": 16, "quarter_samples": 6, "intra_plane": 16, "strong_filter": 6}
+
+
+def groups_sql(width: int) -> str:
+    bytes_ = ", ".join(f"('0x' || hex(b[{width} * group_no + {i}:{width} * group_no + {i}]))::INT s{i}" for i in range(1, width + 1))
+    return f"""
+WITH t AS (SELECT doc_id, encode(text || repeat('Q', {width})) b, unnest(range(greatest(1, (coalesce(strlen(text), 0) + {width - 1}) // {width}))) group_no FROM documents),
+s AS (SELECT doc_id, group_no, {bytes_} FROM t)"""
+
+
+_makers, _sql = block_queries.queries(lambda make: make, "", PICS, whole=True)
+_makers |= SAMPLED
+_sql |= {name: SQL[name].removeprefix(BYTES) for name in SAMPLED}
+for _name, _width in WHOLE.items():
+    QUERIES[f"whole_{_name}"] = of_groups(_width, _makers[_name])
+    SQL[f"whole_{_name}"] = groups_sql(_width) + _sql[_name].replace("SELECT doc_id,", "SELECT doc_id, group_no,")

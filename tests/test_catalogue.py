@@ -38,3 +38,18 @@ def test_entry_imports(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_whole_queries_read_every_byte(spark):
+    """Each of the queries of samples has one over whole texts, in groups that hold all bytes of a text in order."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
+    for width in sorted(set(catalogue.WHOLE.values())):
+        rows = catalogue.groups(spark, DATA, width).toPandas().sort_values(["doc_id", "group_no"])
+        for doc, part in rows.groupby("doc_id"):
+            text = docs[doc].encode()
+            groups = max(1, -(-len(text) // width))
+            assert part.group_no.tolist() == list(range(groups))
+            assert bytes(part.iloc[:, 2:].to_numpy().ravel().tolist()) == text + b"Q" * (groups * width - len(text))
+    assert {f"whole_{name}" for name, sql in catalogue.SQL.items() if sql.startswith(catalogue.BYTES)} <= set(catalogue.QUERIES)
+    values = lambda name: sum(c not in ("doc_id", "group_no") for c in catalogue.QUERIES[name](spark, DATA).columns)
+    assert [values(f"whole_{name}") for name in ("dequantise", "hadamard4", "intra_plane")] == [16, 16, 64]
