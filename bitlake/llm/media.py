@@ -45,10 +45,9 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
 
 
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers and bins of the peaks, in order of time. Short inputs make one zero-padded frame."""
+    """Frame numbers and bins of the peaks, in order of time. The last frame is padded with silence, so that each sample is in one."""
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
+    x = np.concatenate([x, np.full(FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP, 128, np.uint8)])
     window = np.hanning(FRAME).astype(np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     times, bins = [], []

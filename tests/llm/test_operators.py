@@ -220,3 +220,12 @@ def test_near_vectors_of_a_large_star(spark):
     least = int(ids[:5_001].min())
     assert [got[int(i)].n_links for i in ids] == links.tolist()
     assert [got[int(i)].component_id for i in ids] == [least] * 5_001 + ids[5_001:].tolist()
+
+
+@pytest.mark.parametrize("n", [64, 256, 320, 448, 512, 576])
+def test_every_sample_is_in_a_frame(n):
+    """Payloads that differ in their last samples only have different peaks; whole hops have the frames they had."""
+    tone = (128 + 100 * np.sin(np.arange(64) * 2 * np.pi * 30 / media.FRAME)).astype(np.uint8).tobytes()
+    quiet = bytes([128]) * n
+    times, bins = media.peaks(quiet[:-64] + tone)
+    assert len(media.peaks(quiet)[0]) == 0 and len(bins) and times.max() == max(0, -(-(n - media.FRAME) // media.HOP))
