@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlake.llm import mixing, rollups, url_filter
@@ -22,7 +22,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rolled(spark: SparkSession, sf_dir: str) -> tuple[rollups.Rollup, DataFrame, Column, Column]:
     """Batch 1 inserts all documents; batch 2, sent twice, moves a fifth to another tokenizer; batch 3 deletes an eleventh."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = cut(docs.select("doc_id", "source", "lang", *(rollups.tokens(F.col("text"), v).alias(c) for v, c in (("words-1", "a"), ("pieces-2", "b")))), "rollup-counts")
@@ -34,6 +34,20 @@ def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.commit(2, revised)
     deleted = counts.where(gone)
     store.commit(3, rollups.change(deleted.where(~moved), -1, "words-1", "a").unionAll(rollups.change(deleted.where(moved), -1, "pieces-2", "b")))
+    return store, counts, moved, gone
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after the deltas: not all documents, and each under one version; op5_token_totals has the whole table."""
+    return _rolled(spark, sf_dir)[0].totals()
+
+
+def op5_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same deltas; then batch 4 inserts the deleted documents again, and batch 5 counts each document under its other version too."""
+    store, counts, moved, gone = _rolled(spark, sf_dir)
+    back = counts.where(gone)
+    store.commit(4, rollups.change(back.where(~moved), 1, "words-1", "a").unionAll(rollups.change(back.where(moved), 1, "pieces-2", "b")))
+    store.commit(5, rollups.change(counts.where(moved), 1, "words-1", "a").unionAll(rollups.change(counts.where(~moved), 1, "pieces-2", "b")))
     return store.totals()
 
 
@@ -64,5 +78,9 @@ WITH d AS (SELECT source, lang, coalesce(doc_id % 5 = 0, false) moved, coalesce(
   coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]')), 0)::BIGINT b FROM documents)
 SELECT source, lang, CASE WHEN moved THEN 'pieces-2' ELSE 'words-1' END AS version, count(*) docs, sum(CASE WHEN moved THEN b ELSE a END)::BIGINT tokens
 FROM d WHERE NOT gone GROUP BY ALL""",
+    "op5_token_totals": r"""
+WITH d AS (SELECT source, lang, 'words-1' AS version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT n FROM documents
+  UNION ALL SELECT source, lang, 'pieces-2', coalesce(len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\x20\x09-\x0D\p{L}\p{N}]')), 0)::BIGINT FROM documents)
+SELECT source, lang, version, count(*) docs, sum(n)::BIGINT tokens FROM d GROUP BY ALL""",
 }
-QUERIES = {"op3_url_filter": op3_url_filter, "op4_mix_sources": op4_mix_sources, "op5_token_rollup": op5_token_rollup}
+QUERIES = {"op3_url_filter": op3_url_filter, "op4_mix_sources": op4_mix_sources, "op5_token_rollup": op5_token_rollup, "op5_token_totals": op5_token_totals}

@@ -229,3 +229,17 @@ def test_every_sample_is_in_a_frame(n):
     quiet = bytes([128]) * n
     times, bins = media.peaks(quiet[:-64] + tone)
     assert len(media.peaks(quiet)[0]) == 0 and len(bins) and times.max() == max(0, -(-(n - media.FRAME) // media.HOP))
+
+
+def test_token_totals_cover_the_whole_table(spark):
+    import duckdb
+
+    from bitlake.llm import queries_native
+    from tests.conftest import DATA
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    rows = queries_native.QUERIES["op5_token_totals"](spark, DATA).select("source", "lang", "version", "docs", "tokens").collect()
+    assert Counter(map(tuple, rows)) == Counter(con.sql(queries_native.SQL["op5_token_totals"]).fetchall())
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert all(sum(r.docs for r in rows if r.version == v) == n for v in ("words-1", "pieces-2"))
