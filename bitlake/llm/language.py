@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter holds every language: each of its SLOTS words has a bit a language, and an n-gram's
-languages are the AND of its K words. A text's n-grams are looked up, the bits of each language counted, the counts
+One bit-sliced Bloom filter holds every language: each of its SLOTS slots has a bit a language, in as many words of 64
+as the languages need, and an n-gram's languages are the AND of its K slots. A text's n-grams are looked up, the bits of each language counted, the counts
 corrected for that language's false positives, and the largest decides. An n-gram belongs to a language if its
 relative frequency there is at least SHARE of its largest in any language.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLOTS, K, LENGTHS, SHARE, LEAST = 1 << 20, 3, (2, 3, 4), 0.34, 2
@@ -81,33 +81,35 @@ def chunks(texts: list, size: int = 400_000) -> Iterator[tuple[int, list]]:
 
 class Model:
     def __init__(self, langs: list[str], words: np.ndarray):
+        """words: (languages / 64, SLOTS); language j has bit j % 64 of row j // 64."""
         self.langs, self.words = langs, words
-        bits = np.array([np.count_nonzero(words & np.uint64(1 << j)) for j in range(len(langs))])
+        bits = np.array([np.count_nonzero(words[j // 64] & np.uint64(1 << j % 64)) for j in range(len(langs))])
         self.fpr = (bits / SLOTS) ** K if langs else np.zeros(1)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores: the share of the best language's corrected count in the sum over languages."""
-        out, scores = [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores and known shares: the best language's corrected count in the sum over languages, and in the text's n-grams."""
+        out, scores, known = [], [], []
         for _, part in chunks(texts):
             h, doc = ngrams(part)
             at = slots(h)
-            mask = self.words[at[0]]
-            for s in at[1:]:
-                mask &= self.words[s]
+            masks = [row[at[0]] for row in self.words]
+            for mask, row in zip(masks, self.words, strict=True):
+                for s in at[1:]:
+                    mask &= row[s]
             n = np.bincount(doc, minlength=len(part))
-            hits = np.stack([np.bincount(doc, weights=(mask >> np.uint64(j)) & np.uint64(1), minlength=len(part)) for j in range(len(self.langs))], 1) if self.langs else np.zeros((len(part), 1))
+            hits = np.stack([np.bincount(doc, weights=(masks[j // 64] >> np.uint64(j % 64)) & np.uint64(1), minlength=len(part)) for j in range(len(self.langs))], 1) if self.langs else np.zeros((len(part), 1))
             true = np.maximum(0, (hits - n[:, None] * self.fpr) / (1 - self.fpr + 1e-9))
             best, total = true.argmax(1), true.sum(1)
             score = np.where(total > 0, true.max(1) / np.maximum(total, 1e-9), 0.0)
             out += [self.langs[b] if k and self.langs else "und" for b, k in zip(best, n, strict=True)]
             scores.append(np.clip(score, 0, 1))
-        return out, np.concatenate(scores) if scores else np.zeros(0)
+            known.append(np.clip(true.max(1) / np.maximum(n, 1), 0, 1))
+        return out, *(np.concatenate(x) if x else np.zeros(0) for x in (scores, known))
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from (text, lang) rows, a bounded sample. At most 64 languages, those with most rows; none gives `und` for all."""
-    counted = labelled.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    langs = sorted(r["lang"] for r in counted)
+    """A model from (text, lang) rows, a bounded sample. Each language of the rows has a bit; none gives `und` for all."""
+    langs = sorted(r["lang"] for r in labelled.where("lang is not null").select("lang").distinct().collect())
     index = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,16 +123,22 @@ def fit(labelled: DataFrame) -> Model:
     total = {r["lang"]: r["n"] for r in n.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.element_at(F.array(*(F.lit(float(total.get(i, 1))) for i in range(len(langs)))) if langs else F.array(F.lit(1.0)), F.col("lang") + 1)
     rates = n.withColumn("r", rate).groupBy("h").agg(F.collect_list(F.struct("lang", "r")).alias("rs"), F.max("r").alias("top"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    mask = F.aggregate(F.filter("rs", lambda x: x["r"] >= F.col("top") * SHARE), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"])))
+    rows = max(1, -(-len(langs) // 64))
+
+    def mask(row: int) -> Column:
+        own = F.filter("rs", lambda x: (x["r"] >= F.col("top") * SHARE) & (x["lang"] >= 64 * row) & (x["lang"] < 64 * row + 64))
+        bits = F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["lang"] - 64 * row)))
+        return F.struct(F.lit(row).alias("row"), bits.alias("mask"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for s in slots(pdf["h"].to_numpy().view(np.uint64)):
-                yield pd.DataFrame({"slot": s, "mask": pdf["mask"]})
+                yield pd.DataFrame({"row": pdf["row"], "slot": s, "mask": pdf["mask"]})
 
-    filled = rates.select("h", mask.alias("mask")).mapInPandas(put, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most
-    words = np.zeros(SLOTS, np.uint64)
-    words[filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    masks = rates.select("h", F.explode(F.array(*(mask(row) for row in range(rows)))).alias("m")).select("h", "m.row", "m.mask").where("mask <> 0")
+    filled = masks.mapInPandas(put, "row int, slot long, mask long").groupBy("row", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most for each 64 languages
+    words = np.zeros((rows, SLOTS), np.uint64)
+    words[filled["row"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
     n.unpersist()
     return Model(langs, words)
 
@@ -145,13 +153,13 @@ def training_rows(docs: DataFrame, keep, most: int = MAX_LABELLED) -> DataFrame:
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with columns lang_pred and score; `und` and 0 for null texts and those without a letter."""
+    """docs with columns lang_pred, score and known; `und` and 0 for null texts and those without a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang_pred:string,score:double,known:double>")
     def identify(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            langs, scores = shared.value.predict(t.tolist())
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores, known = shared.value.predict(t.tolist())
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "known": known})
 
-    return docs.withColumn("_id", identify(F.col(text_col))).withColumns({"lang_pred": F.col("_id.lang_pred"), "score": F.col("_id.score")}).drop("_id")
+    return docs.withColumn("_id", identify(F.col(text_col))).withColumns({"lang_pred": F.col("_id.lang_pred"), "score": F.col("_id.score"), "known": F.col("_id.known")}).drop("_id")

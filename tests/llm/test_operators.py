@@ -243,3 +243,11 @@ def test_token_totals_cover_the_whole_table(spark):
     assert Counter(map(tuple, rows)) == Counter(con.sql(queries_native.SQL["op5_token_totals"]).fetchall())
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert all(sum(r.docs for r in rows if r.version == v) == n for v in ("words-1", "pieces-2"))
+
+
+def test_more_than_64_languages(spark):
+    """Languages of one word each, whose letters no other has, are all told apart; those of few rows too."""
+    word = lambda i: "".join(chr(0x4E00 + 4 * i + k) for k in range(4))
+    rows = [(" ".join([word(i)] * 5), f"l{i:03}") for i in range(130) for _ in range(1 if i % 2 else 2)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.predict([word(i) for i in range(130)])[0] == [f"l{i:03}" for i in range(130)]
