@@ -251,3 +251,17 @@ def test_more_than_64_languages(spark):
     rows = [(" ".join([word(i)] * 5), f"l{i:03}") for i in range(130) for _ in range(1 if i % 2 else 2)]
     model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert model.predict([word(i) for i in range(130)])[0] == [f"l{i:03}" for i in range(130)]
+
+
+def test_unknown_language_is_rejected(spark, none):
+    """Clean documents stay, repeated rows too; other scripts, junk with a known word, and texts without a letter go."""
+    import corpus_pipeline
+    from tests.conftest import DATA
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    n = docs.count()
+    odd = ["Привет мир, это русский текст", "xqzjk vvwqx zzkqj qwrtpsdfg hjklzxcvb", "Привет мир, это the русский текст", "12 34 !!", "", None]
+    extra = spark.createDataFrame([(-1 - i, t, None, None, 0) for i, t in enumerate(odd)], docs.schema)
+    kept = corpus_pipeline.reject_unknown_language(spark, docs.unionAll(docs.limit(1)).unionAll(extra), DATA)
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() == n + 1
+    assert corpus_pipeline.reject_unknown_language(spark, none, DATA).count() == 0
