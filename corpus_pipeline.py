@@ -71,5 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can express neither the fitted models nor the merges; tests hold the stages against brute-force versions.
+#: SQL can express neither the fitted models nor the merges. Only the language stage has a test of its own; the operators below the others have.
 ORACLE_SQL = None
