@@ -19,10 +19,25 @@ def ue_code(v: Column) -> Column:
     return F.concat(F.repeat(F.lit("0"), F.length(digits) - 1), digits)
 
 
+def read_u(bits: Column, n: int) -> Column:
+    """The number in the first n bits of a bit string, n at most 32; null where there are fewer."""
+    return F.when(F.length(bits) >= n, F.conv(F.substring(bits, 1, n), 2, 10).cast("long"))
+
+
 def read_ue(bits: Column) -> Column:
-    """The unsigned Exp-Golomb value at the start of a bit string."""
+    """The unsigned Exp-Golomb value at the start of a bit string; null without a whole code or with over 31 zeros before its first one."""
     zeros = F.instr(bits, "1") - 1
-    return F.conv(F.substring(bits, zeros + 1, zeros + 1), 2, 10).cast("long") - 1
+    return F.when((zeros >= 0) & (zeros <= 31) & (F.length(bits) > 2 * zeros), F.conv(F.substring(bits, zeros + 1, zeros + 1), 2, 10).cast("long") - 1)
+
+
+def read_te(bits: Column, most: Column) -> Column:
+    """The truncated value: one inverted bit where most is 1, else an unsigned Exp-Golomb value."""
+    return F.when(most > 1, read_ue(bits)).otherwise(1 - read_u(bits, 1))
+
+
+def more_data(bits: Column, at: Column) -> Column:
+    """Whether a bit of data is left at a place of a payload's bit string, counted from 0: its last one is the stop bit."""
+    return at < F.length(F.rtrim(bits, F.lit("0"))) - 1
 
 
 def read_se(bits: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitlake.functions import codec
 from bitlake.operators import pictures
-from bitlake.plans import block_queries
+from bitlake.plans import block_queries, header_queries
 from bitlake.sources import framing
 
 
@@ -64,7 +64,7 @@ def half_samples(spark: SparkSession, d: str) -> DataFrame:
 
 def start_code_units(spark: SparkSession, d: str) -> DataFrame:
     """Texts as streams: each `a` is a start code."""
-    docs = table("documents")(spark, d).select("doc_id", F.unhex(F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "((?:..)*?)61", "$1000001")).alias("data"))
+    docs = table("documents")(spark, d).select("doc_id", F.encode(F.replace("text", F.lit("a"), F.lit("\0\0\1")), "UTF-8").alias("data"))
     u = framing.units(docs, "doc_id", "data")
     return u.groupBy("doc_id").agg(F.count("*").alias("units"), F.sum(F.length("payload") + 1).cast("long").alias("bytes"))
 
@@ -147,8 +147,8 @@ SELECT doc_id, abs(s3 - s4) < 60 AND abs(s2 - s3) < 40 AND abs(s5 - s4) < 40 fil
 }
 
 _queries, _sql = block_queries.queries(of_samples, BYTES, PICS)
-QUERIES |= _queries
-SQL |= _sql
+QUERIES |= _queries | header_queries.QUERIES
+SQL |= _sql | header_queries.sql(PICS)
 
 #: The queries of samples over whole texts: by each name, the bytes that a block takes. The SQL differs in its carrier and, for three, in returning all values.
 WHOLE = {"weighted_prediction": 6, "chroma_bilinear": 6, "hadamard": 4, "intra_mean": 8, "edge_filter": 6, "dequantise": 16, "dequantise_chroma_dc": 4, "inverse_rows": 16, "inverse_columns": 16, "hadamard4": 16, "quarter_samples": 6, "intra_plane": 16, "strong_filter": 6}
