@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,5 +101,30 @@ def logistic(x, y, weight=None, ridge: float = 1e-3, steps: int = 25):
     return w
 
 
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever columns it brings."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def gathered_runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The runs of rows with equal values in sorted batches, each whole: a run must be bounded by its maker."""
+    held, mark = [], None
+    for pdf in batches:
+        marks = list(pdf[by].itertuples(index=False, name=None))
+        at = 0
+        for i in range(1, len(marks) + 1):
+            if i == len(marks) or marks[i] != marks[at]:
+                if held and marks[at] != mark:
+                    yield mark, pd.concat(held)
+                    held = []
+                mark = marks[at]
+                held.append(pdf.iloc[at:i])
+                at = i
+    if held:
+        yield mark, pd.concat(held)

@@ -32,10 +32,8 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id, and of rows that repeat an id one row."""
-    copies = near_text.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each group of near copies, that of the smallest id; documents in no group, empty ones too, all stay."""
+    return near_text.first_of_groups(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
