@@ -146,13 +146,20 @@ def fit(labelled: DataFrame, general: list[str] = LEXICON, least: float = 10.0)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, keep, most: int = MAX_LABELLED) -> DataFrame:
-    """(id, text, y) of at most about `most` labelled documents for which keep(id) holds; their ids are broadcast."""
-    labels = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & keep(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    """(id, text, y) of at most about `most` labelled documents for which keep(id) holds; their ids are broadcast.
+
+    The largest of a document's labels holds; null ids and labels other than 0 and 1 are none; rows that repeat an id are rows each.
+    """
+    labels = labels.where(F.col(label).isin(0, 1) & keep(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(sample_labels(labels, most).select(F.col("doc_id").alias("id"), "y")), "id")
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with column score. Null and empty texts score as texts without a match; any length is read whole."""
+    """docs with column score, which replaces one of that name.
+
+    Null and empty texts score as texts without a match; any length is read whole; equal texts have equal scores, so
+    repeated rows and ties do; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
