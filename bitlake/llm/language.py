@@ -1,9 +1,10 @@
 """Language identification by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter holds every language: each of its SLOTS slots has a bit a language, in as many words of 64
-as the languages need, and an n-gram's languages are the AND of its K slots. A text's n-grams are looked up, the bits of each language counted, the counts
-corrected for that language's false positives, and the largest decides. An n-gram belongs to a language if its
-relative frequency there is at least SHARE of its largest in any language.
+One bit-sliced Bloom filter holds every language: each of its slots has a bit a language, in as many words of 64 as the
+languages need, and an n-gram's languages are the AND of its K slots. There are PER_GRAM slots or more for each n-gram
+of the language that has most. A text's n-grams are looked up, the bits of each language counted, the counts corrected
+for that language's false positives, and the largest decides. An n-gram belongs to a language if its relative
+frequency there is at least SHARE of its largest in any language.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOTS, K, LENGTHS, SHARE, LEAST = 1 << 20, 3, (2, 3, 4), 0.34, 2
+from bitlake.llm.common import fresh
+
+K, LENGTHS, SHARE, LEAST = 3, (2, 3, 4), 0.34, 2
+#: Slots for each n-gram, which keep at least three in four bits of a language clear, and slots at least.
+PER_GRAM, LEAST_SLOTS = 12, 1 << 16
 MAX_LABELLED = 30_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _letters = None
@@ -60,10 +65,11 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def slots(h: np.ndarray) -> list[np.ndarray]:
+def slots(h: np.ndarray, of: int) -> list[np.ndarray]:
+    """The K slots of each n-gram, among this many."""
     second = (h * _M2) >> np.uint64(40)
     first = h >> np.uint64(20)
-    return [((first + np.uint64(i) * (second | np.uint64(1))) % np.uint64(SLOTS)).astype(np.int64) for i in range(K)]
+    return [((first + np.uint64(i) * (second | np.uint64(1))) % np.uint64(of)).astype(np.int64) for i in range(K)]
 
 
 def chunks(texts: list, size: int = 400_000) -> Iterator[tuple[int, list]]:
@@ -81,17 +87,17 @@ def chunks(texts: list, size: int = 400_000) -> Iterator[tuple[int, list]]:
 
 class Model:
     def __init__(self, langs: list[str], words: np.ndarray):
-        """words: (languages / 64, SLOTS); language j has bit j % 64 of row j // 64."""
+        """words: (languages / 64, slots); language j has bit j % 64 of row j // 64."""
         self.langs, self.words = langs, words
         bits = np.array([np.count_nonzero(words[j // 64] & np.uint64(1 << j % 64)) for j in range(len(langs))])
-        self.fpr = (bits / SLOTS) ** K if langs else np.zeros(1)
+        self.fpr = (bits / words.shape[1]) ** K if langs else np.zeros(1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores and known shares: the best language's corrected count in the sum over languages, and in the text's n-grams."""
         out, scores, known = [], [], []
         for _, part in chunks(texts):
             h, doc = ngrams(part)
-            at = slots(h)
+            at = slots(h, self.words.shape[1])
             masks = [row[at[0]] for row in self.words]
             for mask, row in zip(masks, self.words, strict=True):
                 for s in at[1:]:
@@ -132,28 +138,41 @@ def fit(labelled: DataFrame) -> Model:
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for s in slots(pdf["h"].to_numpy().view(np.uint64)):
+            for s in slots(pdf["h"].to_numpy().view(np.uint64), of):
                 yield pd.DataFrame({"row": pdf["row"], "slot": s, "mask": pdf["mask"]})
 
+    own = F.filter("rs", lambda x: x["r"] >= F.col("top") * SHARE)
+    most = rates.select(F.explode(own).alias("x")).groupBy("x.lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    of = max(LEAST_SLOTS, 1 << (PER_GRAM * most - 1).bit_length()) if most else LEAST_SLOTS
     masks = rates.select("h", F.explode(F.array(*(mask(row) for row in range(rows)))).alias("m")).select("h", "m.row", "m.mask").where("mask <> 0")
-    filled = masks.mapInPandas(put, "row int, slot long, mask long").groupBy("row", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # SLOTS rows at most for each 64 languages
-    words = np.zeros((rows, SLOTS), np.uint64)
+    filled = masks.mapInPandas(put, "row int, slot long, mask long").groupBy("row", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # `of` rows at most for each 64 languages
+    words = np.zeros((rows, of), np.uint64)
     words[filled["row"].to_numpy(), filled["slot"].to_numpy()] = filled["mask"].to_numpy().astype(np.int64).view(np.uint64)
     n.unpersist()
     return Model(langs, words)
 
 
 def training_rows(docs: DataFrame, keep, most: int = MAX_LABELLED) -> DataFrame:
-    """(text, lang) of at most about `most` documents with a language for which keep(doc_id) holds, by the id's hash."""
+    """(text, lang) of at most about `most` documents with a language for which keep(doc_id) holds, by the id's hash.
+
+    Each language may give as many, so that a rare one has all its rows. Rows without an id, a text or a language are left out.
+    """
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & keep(F.col("doc_id")))
-    n = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & keep(F.col("doc_id"))).count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * most / n))
-    return rows.select("text", "lang")
+    counts = rows.groupBy("lang").count().collect()  # one row a language
+    each = max(1, most // max(1, len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "_lang string, _share double")
+    chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_003)) / 1_000_003
+    return rows.join(F.broadcast(shares), rows["lang"] == F.col("_lang")).where(chance < F.col("_share")).select("text", "lang")
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with columns lang_pred, score and known; `und` and 0 for null texts and those without a letter."""
+    """docs with columns lang_pred, score and known, which replace those of these names.
+
+    `und` and 0 for null and empty texts and those without a letter. Of languages with equal counts the first by name
+    is chosen; equal texts have equal results, so repeated rows do; texts of any length are read whole; an empty table
+    gives an empty result.
+    """
+    found = fresh(docs, "found")[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double,known:double>")
@@ -162,4 +181,4 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
             langs, scores, known = shared.value.predict(t.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "known": known})
 
-    return docs.withColumn("_id", identify(F.col(text_col))).withColumns({"lang_pred": F.col("_id.lang_pred"), "score": F.col("_id.score"), "known": F.col("_id.known")}).drop("_id")
+    return docs.withColumn(found, identify(F.col(text_col))).withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score", "known")}).drop(found)

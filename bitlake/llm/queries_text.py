@@ -12,7 +12,7 @@ from bitlake.llm.common import remainder
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = lambda c: F.coalesce(remainder(c, 4) == 2, F.lit(False))
-    model = language.fit(language.training_rows(docs, lambda c: ~held_out(c)))
+    model = language.fit(language.training_rows(docs, lambda c: remainder(c, 4) != 2))  # not of rows without an id
     return language.predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
