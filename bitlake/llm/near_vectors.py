@@ -37,8 +37,11 @@ def _clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for v in pdf["vec"]:
             x = None if v is None else np.array([np.nan if c is None else c for c in v], np.float64)
-            with np.errstate(over="ignore"):
-                good = x is not None and x.size and np.isfinite(x).all() and x.any() and np.isfinite((x * x).sum()) and (x * x).sum() > 0
+            good = x is not None and x.size and np.isfinite(x).all() and x.any()
+            if good:
+                with np.errstate(over="ignore", under="ignore"):
+                    if not 1e-200 < (x * x).sum() < 1e200:  # squares that a double cannot hold
+                        x = x / np.abs(x).max()
             out.append(x.tobytes() if good else None)
         yield pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "raw": out})
 
@@ -270,18 +273,18 @@ def _completed(reps: DataFrame, found: DataFrame, threshold: float) -> DataFrame
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, passes: int = PASSES) -> DataFrame:
-    """(id, n_links, component_id, kept): one row for each row of df.
+    """(id, n_links, component_id, kept): one row for each row of df; other columns are not read.
 
     Only vectors of one label and one length are compared. A null id, a null label, and a vector that is null, empty,
     zero, or has null or non-finite components link with nothing; component_id is then the id itself and kept is true.
-    Rows that repeat an id are one node but count as separate links. An empty table gives an empty result.
+    Rows that repeat an id are one node: each shows the sum of the links of all its rows, to each other too, and the
+    component that all of them reach. Exact copies link. An empty table gives an empty result.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     rows = cut(rows.mapInPandas(_clean, "vec_id long, label long, raw binary").withColumn("digest", F.md5("raw")), "vectors-clean")
     good = rows.where("raw is not null and label is not null and vec_id is not null")
-    classes = good.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    own = good.select("label", "digest", F.col("vec_id").alias("rep"), "raw").dropDuplicates(["label", "digest", "rep"])
-    reps = cut(own.join(classes, ["label", "digest", "rep"]).select("label", "digest", "rep", "n", "raw"), "vectors-classes")
+    classes = good.groupBy("label", "digest").agg(F.count("*").alias("n"), F.first("raw").alias("raw"))
+    reps = cut(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors-classes")  # rep numbers the distinct vectors of a label
 
     found = _completed(reps, components(_links(reps, passes, threshold), "vectors"), threshold)
     linked = reps.join(found, reps["rep"] == found["node"])
@@ -292,8 +295,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     tiles = tiles.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
     counts = tiles.mapInPandas(_counted(threshold), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     result = reps.join(found, reps["rep"] == found["node"], "left").join(counts, "rep", "left")
-    result = result.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked_rows = good.select("vec_id", "label", "digest").join(result, ["label", "digest"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("raw is null or label is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked_rows.unionAll(alone)
+    result = result.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    of_rows = good.select("vec_id", "label", "digest").join(result, ["label", "digest"])
+    of_ids = cut(of_rows.groupBy("vec_id").agg(F.sum("links").alias("n_links"), F.min("component").alias("component"), F.max("component").alias("other")), "vectors-ids")
+    if not of_ids.where("component < other").isEmpty():  # ids whose rows lie in several components join them
+        several = of_rows.select("vec_id", F.col("component").alias("a")).join(of_ids.select("vec_id", F.col("component").alias("b")), "vec_id").where("a <> b").select("a", "b")
+        joined_up = components(several, "vectors-repeated").select(F.col("node").alias("component"), F.col("component").alias("least"))
+        of_ids = of_ids.join(joined_up, "component", "left").select("vec_id", "n_links", F.coalesce("least", "component").alias("component"))
+    names = of_ids.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = of_ids.join(names, "component").select("vec_id", "n_links", "component_id")
+    out = rows.select("vec_id").join(named, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
