@@ -96,8 +96,17 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int,
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row a document: id, size, source_size, target, taken (its words in the mix, repeats counted)."""
+    """One row a document: id, size, source_size, target, taken (its words in the mix, repeats counted), pieces, first_slot.
+
+    pieces is in how many pieces the mix takes the document, and first_slot the first slot of the schedule that has one;
+    null without a piece. Null texts have size 0; null ids and sources are kept; repeated rows are documents each, with
+    places of their own; an empty table gives an empty result; other columns are not read.
+    """
     pieces, rows = mix(docs, id_col=id_col, **options)
-    both = rows.select("id", "src", "start", "size", F.lit(1).alias("row"), F.lit(0).cast("long").alias("words"), "source_size", "target").unionAll(pieces.select("id", "src", "start", "size", F.lit(0), "words", F.lit(None).cast("long"), F.lit(None).cast("double")))
-    summed = both.groupBy("src", "start", "id", "size").agg(F.sum("row").cast("int").alias("n"), F.sum("words").alias("taken"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
-    return summed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), "n")).alias("_row")).drop("_row")
+    none = lambda kind: F.lit(None).cast(kind)
+    zero = F.lit(0).cast("long")
+    both = rows.select("id", "src", "start", "size", F.lit(1).alias("row"), zero.alias("words"), zero.alias("piece"), none("long").alias("slot"), "source_size", "target")
+    both = both.unionAll(pieces.select("id", "src", "start", "size", F.lit(0), "words", F.lit(1).cast("long"), "slot", none("long"), none("double")))
+    sums = [F.sum("row").cast("int").alias("n"), F.sum("words").alias("taken"), F.sum("piece").alias("pieces"), F.min("slot").alias("first_slot"), F.max("source_size").alias("source_size"), F.max("target").alias("target")]
+    summed = both.groupBy("src", "start", "id", "size").agg(*sums)
+    return summed.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "pieces", "first_slot", F.explode(F.sequence(F.lit(1), "n")).alias("_row")).drop("_row")

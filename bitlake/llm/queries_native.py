@@ -69,9 +69,20 @@ f AS (SELECT *, cap <= w * ((budget - c) / (all_w - cw)) is_full FROM b),
 t AS (SELECT *, CASE WHEN is_full THEN cap::DOUBLE ELSE w * ((budget - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) / (all_w - coalesce(sum(w) FILTER (is_full) OVER (), 0))) END target FROM f),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT quota,
   coalesce(sum(d.size) OVER (PARTITION BY t.no ORDER BY md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  , t.no, row_number() OVER () k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+every AS (SELECT no, quota, ceil(quota / 512)::BIGINT need, sum(ceil(quota / 512)::BIGINT) OVER ()::BIGINT n, coalesce(sum(quota) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE before, sum(quota) OVER ()::DOUBLE whole
+  FROM (SELECT no, floor(target)::BIGINT quota FROM t)),
+spans AS (SELECT no, need, n, floor(before / whole * 4294967296) lo, floor((before + quota) / whole * 4294967296) hi FROM every WHERE need > 0),
+slots AS (SELECT slot, (slot + 1) % 2147483648 * 2654435769 % 4294967296 x FROM (SELECT unnest(range((SELECT coalesce(max(n), 0) FROM every))) slot)),
+named AS (SELECT no, slot, need, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 rank FROM slots JOIN spans ON lo <= x AND x < hi),
+placed AS (SELECT no, rank, slot FROM named WHERE rank < need UNION ALL
+  SELECT no, rank, n + rank * 1048576 + no FROM (SELECT spans.no, n, unnest(range(coalesce(got, 0), need)) rank FROM spans LEFT JOIN (SELECT no, count(*) got FROM named GROUP BY no) USING (no))),
+parts AS (SELECT k, no, epoch * source_size + start first, least(epoch * source_size + start + size, quota) last FROM q, (VALUES (0), (1)) v(epoch) WHERE size > 0),
+cells AS (SELECT k, no, unnest(range(first // 512, (last - 1) // 512 + 1)) rank FROM parts WHERE first < last),
+firsts AS (SELECT k, count(*) pieces, min(slot) first_slot FROM cells JOIN placed USING (no, rank) GROUP BY k)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, quota) - start) + greatest(0, least(source_size + start + size, quota) - source_size - start))::BIGINT taken FROM q""",
+  (greatest(0, least(start + size, quota) - start) + greatest(0, least(source_size + start + size, quota) - source_size - start))::BIGINT taken,
+  coalesce(pieces, 0)::BIGINT pieces, first_slot::BIGINT first_slot FROM q LEFT JOIN firsts USING (k)""",
     "op5_token_rollup": r"""
 WITH d AS (SELECT source, lang, coalesce(doc_id % 5 = 0, false) moved, coalesce(doc_id % 11 = 0, false) gone,
   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT a,
