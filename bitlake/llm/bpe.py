@@ -1,34 +1,34 @@
-"""Byte-level BPE: distinct words are folded by Spark's higher-order functions; decoding concatenates pieces.
+"""Byte-level BPE: distinct words are folded by Spark's higher-order functions; decoding concatenates binary pieces.
 
 A text is split by the tokenizer's pattern in the JVM. Frequent words, counted on a bounded sample of texts, are
 folded once and their ids kept as a table of at most CACHE words in each Python worker; the table saves time and
 changes no result. The distinct other words of a text are folded in its own row. The fold merges the adjacent pair of
-least rank, leftmost first, until no pair has a rank; ranks come from a literal map, an array in which each pair has a
-slot. A word's bytes are read as characters of ISO 8859-1. Words of over FOLD bytes, for which
-a quadratic fold is slow, are merged with a heap instead.
+least rank, leftmost first, until no pair has a rank; ranks come from a map that is one literal value to the plan: a
+written table of one row, read as a scalar, in whose arrays each pair has a slot. A word's bytes are read as characters
+of ISO 8859-1. Words of over FOLD bytes, for which a quadratic fold is slow, are merged with a heap instead.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitlake.llm.common import cut
+
 MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 400_000, 40_000
 #: The table of pairs: buckets, the modulus that gives a key its slot, and a factor below 2**29, so that no product overflows.
 BUCKETS, SLOTS, MIX = 32_768, 299_993, 478_163_327
 WORDS_AT_ONCE = 300_000
 #: Texts in an Arrow batch: its words and ids are in memory at once, on both sides.
 BATCH = 1_000
-PLAN = 50_000
 #: A rank beyond all ranks, and the bits below a rank: seven of a piece's index in the word above those of an id.
 NONE, PLACE = 1 << 20, 1 << 24
 #: Unicode's white space, which `\s` means to the tokenizer.
@@ -76,13 +76,13 @@ def placed(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
 class Fold:
     """Column expressions of the merges over one vocabulary.
 
-    The literal map (slots of pairs, found by their bucket's shift; for two bytes, one array) leads from a pair of ids,
+    The map (slots of pairs, found by their bucket's shift; for two bytes, one array) leads from a pair of ids,
     as one number, to the rank of the two pieces put together, which is its id too. A word's state is one array, of each
     piece's id, its index and the rank of its pair with the next; its least value is the merge to do, which looks up the
     two pairs it makes.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         pairs: dict[int, int] = {}
         whole: list[dict[str, int]] = [{} for _ in range(MAPS)]
         for piece, rank in ranks.items():
@@ -93,17 +93,26 @@ class Fold:
                 if left is not None and right is not None:
                     pairs[left * PAIR + right] = rank
         shifts, slots = placed(pairs)
-        table = {"shifts": shifts, "slots": slots, "whole": whole, "bytes": [ranks[bytes([i])] for i in range(256)]}
-        table["two"] = [ranks.get(bytes([i, j]), NONE) * PLACE for i in range(256) for j in range(256)] + [NONE * PLACE]
-        self.table = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "shifts array<bigint>, slots array<bigint>, whole array<map<string,int>>, bytes array<int>, two array<bigint>")
-
-    def ids(self, word: Column) -> Column:
-        """array<int>: the ids of a word; a word that is a piece is its id."""
-        return _let(self.table, lambda table: self.of(table, F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")))
-
-    def each(self, words: Column) -> Column:
-        """array<array<int>>: the ids of each word of an array."""
-        return _let(self.table, lambda table: F.transform(words, lambda word: self.of(table, F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))))
+        two = [ranks.get(bytes([i, j]), NONE) * PLACE for i in range(256) for j in range(256)] + [NONE * PLACE]
+        maps = pa.array([list(m.items()) for m in whole], pa.map_(pa.string(), pa.int32()))
+        columns = {"shifts": pa.array(shifts, pa.int64()), "slots": pa.array(slots, pa.int64()), "whole": maps, "bytes": pa.array([ranks[bytes([i])] for i in range(256)], pa.int32()), "two": pa.array(two, pa.int64())}
+        row = pa.table({name: pa.ListArray.from_arrays([0, len(values)], values) for name, values in columns.items()})
+        self.literal = cut(spark.createDataFrame(row), "bpe-ranks").select(F.struct(*columns)).scalar()
+
+    def with_table(self, rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+        """rows with the map as a column of this name, which the optimizer puts where it is used, once."""
+        return rows.withColumn(name, self.literal), F.col(name)
+
+    def ids(self, rows: DataFrame, word: str, out: str) -> DataFrame:
+        """rows (word) and the ids of each word, array<int>; a word that is a piece is its id."""
+        held, table = self.with_table(rows, "table")
+        return held.select(word, _let(table, lambda t: self.of(t, F.decode(F.encode(F.col(word), "UTF-8"), "ISO-8859-1"))).alias(out))
+
+    def each(self, rows: DataFrame, words: str, out: str) -> DataFrame:
+        """rows with the ids of each word of an array, array<array<int>>, instead of the words."""
+        held, table = self.with_table(rows, "table")
+        found = _let(table, lambda t: F.transform(F.col(words), lambda word: self.of(t, F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))))
+        return held.select(*(c for c in rows.columns if c != words), found.alias(out))
 
     def of(self, table: Column, chars: Column) -> Column:
         def found(w: Column) -> Column:
@@ -226,45 +235,70 @@ def _looked_up(table, ranks):
     return look
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts the ids of the listed words in their places."""
-    for batch in batches:
-        lists, other = batch.column("ids"), batch.column("other_ids")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        ids = lists.values.to_numpy(zero_copy_only=False)
-        outer, inner = other.offsets.to_numpy().astype(np.int64), other.values.offsets.to_numpy().astype(np.int64)
-        flat = np.asarray(other.values.values.to_numpy(zero_copy_only=False), np.int32)
-        span = slice(offsets[0], offsets[-1])
-        own = ids[span]
-        at = np.flatnonzero(own < 0)
-        owner = np.searchsorted(offsets - offsets[0], at, "right") - 1
-        run = outer[owner] - 1 - own[at]
-        sizes, starts, values = np.ones(len(own), np.int64), np.arange(len(own)), np.concatenate([own, flat])
-        sizes[at], starts[at] = inner[run + 1] - inner[run], inner[run] + len(own)
-        out = values[gathered(starts, sizes, np.arange(len(own)))]
-        cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
-        kept = {c: batch.column(c) for c in batch.schema.names if c not in ("ids", "other_ids")}
-        yield pa.RecordBatch.from_pydict(kept | {"ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out.astype(np.int32)))})
-
-
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cache: int = CACHE, keep_text: bool = False) -> DataFrame:
-    """(id, ids), with keep_text (id, ids, text): the token ids of every whole text, without special tokens; one row for each row of docs.
-
-    Null and empty texts have no tokens; ids and repeated rows stay as they are; other columns are not read. The
-    session's Arrow batches are set to BATCH rows, and its plans' texts to PLAN characters.
+def _filled(pieces):
+    """Puts the ids of the listed words in their places; with pieces, their starts, sizes and bytes, adds the text they give."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, other = batch.column("ids"), batch.column("other_ids")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ids = lists.values.to_numpy(zero_copy_only=False)
+            outer, inner = other.offsets.to_numpy().astype(np.int64), other.values.offsets.to_numpy().astype(np.int64)
+            flat = np.asarray(other.values.values.to_numpy(zero_copy_only=False), np.int32)
+            own = ids[offsets[0] : offsets[-1]]
+            at = np.flatnonzero(own < 0)
+            owner = np.searchsorted(offsets - offsets[0], at, "right") - 1
+            run = outer[owner] - 1 - own[at]
+            sizes, starts, values = np.ones(len(own), np.int64), np.arange(len(own)), np.concatenate([own, flat])
+            sizes[at], starts[at] = inner[run + 1] - inner[run], inner[run] + len(own)
+            out = values[gathered(starts, sizes, np.arange(len(own)))]
+            cuts = np.concatenate([[0], np.cumsum(sizes)])[offsets - offsets[0]]
+            made = {"ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(out.astype(np.int32)))}
+            if pieces is not None:
+                made["decoded"] = concatenated(out, cuts, *pieces.value)
+            kept = {c: batch.column(c) for c in batch.schema.names if c not in ("ids", "other_ids")}
+            yield pa.RecordBatch.from_pydict(kept | made)
+
+    return fill
+
+
+def table_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each id's piece starts in the bytes of all pieces, its size, and those bytes."""
+    by_id = {rank: piece for piece, rank in ranks.items()}
+    pieces = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(pieces), np.uint8)
+
+
+def concatenated(ids: np.ndarray, cuts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """For each run of ids between two cuts the bytes of its pieces, put together."""
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
+    raw = bytearray(int(ends[-1]))
+    out = np.frombuffer(raw, np.uint8)
+    for lo in range(0, len(ids), WORDS_AT_ONCE):
+        part = ids[lo : lo + WORDS_AT_ONCE]
+        out[ends[lo] : ends[lo + len(part)]] = data[gathered(starts, sizes, part)]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].astype(np.int32)), pa.py_buffer(raw)])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cache: int = CACHE, keep_text: bool = False, back: bool = False) -> DataFrame:
+    """(id, ids), with keep_text text, with back decoded: the token ids of every whole text, without special tokens; one row for each row of docs.
+
+    decoded is what the ids decode to, as binary. Null and empty texts have no tokens; ids and repeated rows stay as
+    they are; other columns are not read; an empty table gives an empty result. The session's Arrow batches are set to
+    BATCH rows.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    spark.conf.set("spark.sql.maxPlanStringLength", PLAN)  # else the driver keeps the literal map's text for each plan
     ranks = read_ranks(path)
-    fold = Fold(ranks)
+    fold = Fold(spark, ranks)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n = docs.select(id_col).count()
     some = rows if n <= sample else rows.where(F.pmod(F.xxhash64(F.lit("words"), "id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
-    counted = some.select(F.explode(split(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.octet_length("word") <= FOLD)
-    top = counted.orderBy(F.desc("n"), "word").limit(cache).repartition(max(8, spark.sparkContext.defaultParallelism * 2), "word")
-    known = top.select("word", fold.ids(F.col("word")).alias("ids")).toArrow()
+    counted = some.select(F.explode(split(F.col("text"), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.octet_length("word") <= FOLD) & (F.col("n") > 1))
+    top = counted.orderBy(F.desc("n"), "word").limit(cache).select("word").repartition(max(8, spark.sparkContext.defaultParallelism * 2), "word")
+    known = fold.ids(top, "word", "ids").toArrow()
     flat = known.column("ids").combine_chunks()
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.chunk(0) if flat.num_chunks else pa.array([], pa.list_(pa.int32()))
@@ -273,16 +307,26 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     own = {"id": kind} | ({"text": "string"} if keep_text else {})
     schema = ", ".join(f"{k} {v}" for k, v in own.items())
     looked = rows.select(*own, split(F.col("text"), pattern).alias("words")).mapInArrow(look, f"{schema}, ids array<int>, others array<string>")
-    folded = looked.select(*own, "ids", fold.each(F.col("others")).alias("other_ids"))
-    out = folded.mapInArrow(_filled, f"{schema}, ids array<int>").select("id", "ids", *list(own)[1:])
-    return out.withColumnsRenamed({"id": id_col, "text": text_col})
+    pieces = spark.sparkContext.broadcast(table_of(ranks)) if back else None
+    last = {"ids": "array<int>"} | ({"decoded": "binary"} if back else {})
+    out = fold.each(looked, "others", "other_ids").mapInArrow(_filled(pieces), ", ".join([schema, *(f"{k} {v}" for k, v in last.items())]))
+    return out.select("id", "ids", *list(own)[1:], *list(last)[1:]).withColumnsRenamed({"id": id_col, "text": text_col})
 
 
-def decode(ids: Column, path: str) -> Column:
-    """binary: the pieces of the ids, put together; null ids give null."""
-    ranks = read_ranks(path)
-    table = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        table[rank] = piece.hex()
-    pieces = F.from_json(F.lit(json.dumps(table)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """rows with column `out`, binary, which replaces one of that name: the pieces of the ids, put together; null ids give null.
+
+    Ids beyond the vocabulary fail; an empty list gives no bytes.
+    """
+    pieces = rows.sparkSession.sparkContext.broadcast(table_of(read_ranks(path)))
+    names = [c for c in rows.columns if c != out]
+    kinds = dict(rows.dtypes)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(ids_col)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            made = concatenated(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]), *pieces.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pc.if_else(lists.is_valid(), made, None)], names=[*names, out])
+
+    return rows.select(*names).mapInArrow(put, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{out}` binary"]))

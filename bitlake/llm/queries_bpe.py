@@ -11,9 +11,9 @@ from bitlake.llm import bpe
 
 def digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, back=True)
     joined = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,8 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_tokens, lossless): token ids, and whether they decode to the text's bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep_text=True)
-    whole = bpe.decode(F.col("ids"), path) == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN, keep_text=True, back=True)
+    whole = F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("lossless"))
 
 

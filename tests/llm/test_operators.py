@@ -39,6 +39,23 @@ def test_mixing(spark, odd, none):
     assert mixing.taken(odd).count() == len(ODD) and mixing.taken(none).count() == 0
 
 
+def test_mix_follows_the_schedule(spark):
+    """The registered query equals its SQL, slots of the golden-ratio sequence included; another sequence gives other slots."""
+    import duckdb
+
+    from bitlake.llm import queries_native
+    from tests.conftest import DATA
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    names = ["doc_id", "size", "source_size", "target", "taken", "pieces", "first_slot"]
+    mine = queries_native.op4_mix_sources(spark, DATA).select(*names).collect()
+    assert Counter(map(tuple, mine)) == Counter(con.sql(queries_native.SQL["op4_mix_sources"]).select(*names).fetchall())
+    assert len({r.first_slot for r in mine}) > len(mine) / 3
+    other = queries_native.SQL["op4_mix_sources"].replace("2654435769", "1234567891")
+    assert Counter(map(tuple, mine)) != Counter(con.sql(other).select(*names).fetchall())
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("bad.com", "/x", "block")], "host string, path string, verdict string")
     urls = [(1, "http://A.bad.COM/xy?q"), (2, "http://nobad.com/xy"), (3, None), (3, None), (4, "nothing"), (None, "http://bad.com"), (6, "ftp://bad.com/x#y")]
@@ -56,6 +73,24 @@ def test_rollup_counts_a_batch_once(spark, tmp_path):
     assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v1", 1, 7), (None, None, "v1", 1, 1)}
 
 
+def test_rollup_compacts_and_stays_idempotent(spark, tmp_path):
+    store = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    assert store.totals().count() == 0
+    rows = spark.createDataFrame([("a", "en", 5, "x"), ("a", "en", 7, "y")], "source string, lang string, n long, docs string")
+    batch = rollups.change(rows, 1, "v1", "n")
+    store.commit(1, batch)
+    store.commit(2, batch.limit(0))
+    store.compact()
+    store.commit(1, batch)  # sent again after its compaction
+    store.commit(3, rollups.change(rows.where("n = 5"), -1, "v1", "n"))
+    assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v1", 1, 7)}
+    store.compact()
+    store.commit(3, batch)
+    assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v1", 1, 7)}
+    batch.write.parquet(f"file://{tmp_path}/r/data/lost")  # a try whose driver was lost before its log row
+    assert {tuple(r) for r in store.totals().collect()} == {("a", "en", "v1", 1, 7)}
+
+
 def test_media_round_trip(odd, none):
     rows = media.with_media(odd).collect()
     assert len(rows) == len(ODD)
@@ -73,7 +108,7 @@ def test_language(spark, odd, none):
     rows = [(" ".join(rng.choice(words[x], 30)), x) for x in words for _ in range(20)]
     model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
     assert model.predict(["bamo babo", "riki", None, "12 !"])[0] == ["aa", "bb", "und", "und"]
-    got = {r.doc_id: r.lang_pred for r in language.predicted(odd.drop("score"), model).collect()}
+    got = {r.doc_id: r.lang_pred for r in language.predicted(odd, model).collect()}
     assert got[1] == got[2] == got[6] == got[7] == "und" and language.predicted(none, model).count() == 0
     assert language.fit(spark.createDataFrame([], "text string, lang string")).predict(["babo"])[0] == ["und"]
 
@@ -86,7 +121,7 @@ def test_toxicity(spark, odd, none):
 
     bad, hidden, mined, clean, excused = model.score(pd.Series(["you idiot grunk", "you 1d10t grunk", "you іdіоt grunk", "a day", "the trash can"]))
     assert min(bad, hidden, mined) >= 0.5 > max(clean, excused)
-    assert toxicity.scored(odd.drop("score"), model).where("score >= 0 and score < 0.5").count() == len(ODD) and toxicity.scored(none, model).count() == 0
+    assert toxicity.scored(odd, model).where("score >= 0 and score < 0.5").count() == len(ODD) and toxicity.scored(none, model).count() == 0
     empty = spark.createDataFrame([], "id long, text string, y int")
     assert toxicity.fit(empty).score(pd.Series(["stupid stupid idiot"]))[0] > 0.5
 
@@ -150,10 +185,13 @@ def test_bpe_equals_tiktoken(spark, odd, none):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = {i: t for i, t, *_ in ODD if i} | {20: "I'll  go\n\n on ½ ² 漢字😀　x\x85y\x1c", 21: "a" * 3000, 22: "zqxjkv unbelievableness"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, cache=3).withColumn("back", bpe.decode(F.col("ids"), path)).collect()
+    rows = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, cache=3, back=True), path, out="again").collect()
+    assert len(rows) == len(texts)
     for r in rows:
         text = texts[r.doc_id] or ""
-        assert r.ids == own.encode_ordinary(text) and bytes(r.back) == text.encode()
+        assert r.ids == own.encode_ordinary(text) and bytes(r.decoded) == bytes(r.again) == text.encode()
+    some = spark.createDataFrame([(1, None), (2, []), (3, own.encode_ordinary("hi there"))], "n int, ids array<int>").withColumn("decoded", F.lit("clash"))
+    assert {r.n: r.decoded and bytes(r.decoded) for r in bpe.decode(some, path).collect()} == {1: None, 2: bytearray(), 3: b"hi there"}
     assert bpe.encode(odd, path, public_tokenizers.PATTERN).count() == len(ODD) and bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
@@ -167,25 +205,51 @@ def test_quality(spark, odd, none):
     assert quality.score(odd, labels.limit(0)).where("score = 0.5").count() == len(ODD) and quality.score(none, labels).count() == 0
 
 
-def test_fine_bands_keep_similar_pairs():
-    """Texts of similarity 0.8 share a fine band; dissimilar ones seldom do."""
-    import numpy as np
-    import pyarrow as pa
-
-    from bitlake.llm import near_text
+def test_tiles_find_every_link_that_joins():
+    """Blocks of texts that share one bucket: the tile's links give the components of all pairs, weights included."""
+    import pandas as pd
 
     rng = np.random.default_rng(5)
-    texts, own = [], 400
-    for _ in range(40):
-        base = rng.choice(1 << 32, own + 200, replace=False).astype(np.uint32)
-        for first in (0, 44, 150):  # similarity to the first: 0.802 and 0.455
-            texts.append(np.sort(base[first : first + own]))
-    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "grams": [t.tobytes() for t in texts]})
-    fine = [set(x) for part in near_text._fine(iter([batch])) for x in part.column("fine").to_pylist()]
-    assert len(fine) == len(texts)
-    assert near_text.similarity(texts[0].tobytes(), texts[1].tobytes()) >= 0.8
-    assert all(fine[i] & fine[i + 1] for i in range(0, len(fine), 3))
-    assert sum(bool(fine[i] & fine[i + 2]) for i in range(0, len(fine), 3)) <= 4
+    grams = []
+    for _ in range(30):
+        base = rng.choice(1 << 32, 250, replace=False).astype(np.uint64)
+        for first in (0, 22, 90):  # similarity to the first: 0.802 and 0.38
+            one = base[first : first + 200]
+            grams.append(np.sort(np.concatenate([one, rng.choice(one, 5)])).tobytes())
+    n = len(grams)
+    exact = np.array([[near_text.similarity(x, y) for y in grams] for x in grams])
+    x, y = near_text.overlaps(grams, grams)
+    with np.errstate(divide="ignore"):
+        assert (exact <= near_text.bound_of_shares(x, y) + 1e-4).all()
+    rows = pd.DataFrame({"blk": np.arange(n) % 2, "no": range(n), "component": range(n), "bands": [np.array([7, 100 + i]) for i in range(n)], "grams": grams})
+    found = [pair for i, j in ((0, 0), (0, 1), (1, 1)) for pair in near_text.joining(rows, 7, i, j, 0.8)]
+    assert all(exact[a, b] >= 0.8 for a, b in found)
+
+    def grouped(links) -> list[int]:
+        group = list(range(n))
+        for a, b in links:
+            low, high = sorted((group[a], group[b]))
+            group = [low if g == high else g for g in group]
+        return group
+
+    assert grouped(found) == grouped([(a, b) for a in range(n) for b in range(a) if exact[a, b] >= 0.8])
+    assert near_text.joining(rows, 8, 0, 1, 0.8) == []  # they share a smaller key
+
+
+def test_near_text_of_ids_with_several_texts(spark):
+    """An id's texts join their groups; copies without an id are found too; one row of each group stays."""
+    rng = np.random.default_rng(6)
+    words = [[f"w{k}" for k in rng.integers(0, 10**6, 100)] for _ in range(3)]
+    near = [" ".join([*w[:-1], "other"]) for w in words]
+    a, b, c = (" ".join(w) for w in words)
+    rows = [(1, a), (1, b), (2, near[0]), (3, near[1]), (None, c), (None, c), (None, near[0]), (1, a), (7, "x " * 60_000), (8, "x " * 60_000 + "y"), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"digest": F.lit("clash"), "group": F.lit("clash")})
+    for shuffled in (docs, docs.orderBy(F.rand(1)), docs.orderBy(F.rand(2))):
+        got = Counter(tuple(r) for r in near_text.near_duplicates(shuffled).collect())
+        assert got == Counter([(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True), (None, None, True), (7, 7, True), (8, 7, False), (9, 9, True), (9, 9, True)])
+    kept = near_text.first_of_groups(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, min((a, b), key=lambda t: __import__("hashlib").md5(t.encode()).hexdigest())), (None, c), (7, "x " * 60_000), (9, ""), (9, ""), (None, None)])
 
 
 def test_pair_table_finds_every_pair():
@@ -198,6 +262,23 @@ def test_pair_table_finds_every_pair():
         assert (slot >> 17, slot & (bpe.PAIR - 1)) == (key, rank)
 
 
+def test_near_vectors_of_repeated_ids(spark):
+    """Rows of one id are one node, of several vectors or of one; its rows show the same result. The SQL says the same."""
+    import duckdb
+
+    from bitlake.llm import queries_near
+
+    e = lambda *hot: [1.0 if i in hot else 0.0 for i in range(6)]
+    rows = [(5, e(0), 1), (5, e(1), 1), (3, e(0), 1), (4, e(1), 1), (7, e(1), 1), (8, e(2), 1), (8, e(2), 1), (9, e(3), 2), (9, e(4), 3), (2, e(4), 3), (10, [1e-200 * c for c in e(5)], 1), (11, [1e200 * c for c in e(5)], 1), (12, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"rep": F.lit("clash"), "n": F.lit("clash"), "component": F.lit("clash")})
+    got = Counter(map(tuple, near_vectors.near_duplicates(df).collect()))
+    assert got == Counter([(5, 3, 3, False)] * 2 + [(3, 1, 3, True), (4, 2, 3, False), (7, 2, 3, False)] + [(8, 2, 8, True)] * 2 + [(9, 1, 2, False)] * 2 + [(2, 1, 2, True), (10, 1, 10, True), (11, 1, 10, False), (12, 0, 12, True)])
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding double[], label int)")
+    con.executemany("insert into embeddings values (?, ?, ?)", [r for r in rows if r[0] not in (10, 11)])
+    assert Counter(con.sql(queries_near.SQL["op2_near_vectors"]).fetchall()) == Counter({r: n for r, n in got.items() if r[0] not in (10, 11)})
+
+
 def star(members: int, dim: int = 64, cosine: float = 0.982) -> np.ndarray:
     """A base and members at that cosine to it, few of them linked to each other."""
     rng = np.random.default_rng(8)
