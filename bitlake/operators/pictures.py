@@ -1,4 +1,4 @@
-"""Coded pictures: groups, display order, reference windows and lists, as windows over one partitioning."""
+"""Coded pictures: groups, display order, reference windows and lists, as windows over groups; a stream may be of any length."""
 
 from __future__ import annotations
 
@@ -17,10 +17,20 @@ def coded_pictures(events: DataFrame) -> DataFrame:
     return n.select("stream_id", "seq", (p == 0).alias("idr"), ((p == 0) | ((p - 1) % 3 == 0)).alias("ref"), (2 * shown % 16).alias("lsb"))
 
 
-def with_groups(pictures: DataFrame) -> DataFrame:
-    """group_no counts the instant-refresh pictures up to each picture."""
-    w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return pictures.withColumn("group_no", F.sum(F.col("idr").cast("long")).over(w))
+def started(rows: DataFrame, part: list[str], by: str, value: Column, out: str) -> DataFrame:
+    """rows with `out`, the sum of value over all rows of the same `part` whose `by` is smaller."""
+    sums = rows.groupBy(*part, by).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*part, by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(out))
+    return rows.join(starts, [*part, by])
+
+
+def with_groups(pictures: DataFrame, run: int = 65_536) -> DataFrame:
+    """group_no counts the instant-refresh pictures up to each picture: those of its run of pictures, and of the runs before."""
+    cut = pictures.withColumn("_run", F.floor(F.col("seq") / run))
+    w = Window.partitionBy("stream_id", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    counted = started(cut, ["stream_id"], "_run", F.col("idr").cast("long"), "_start").withColumn("group_no", F.col("_start") + F.sum(F.col("idr").cast("long")).over(w))
+    return counted.select(*pictures.columns, "group_no")
 
 
 def with_order_counts(pictures: DataFrame) -> DataFrame:
@@ -32,16 +42,22 @@ def with_order_counts(pictures: DataFrame) -> DataFrame:
 
 
 def display_order(pictures: DataFrame) -> DataFrame:
-    w = Window.partitionBy("stream_id").orderBy("group_no", "poc", "seq")
-    return with_order_counts(pictures).withColumn("shown", F.row_number().over(w).cast("long"))
+    """shown is a picture's place in its stream: the pictures of the groups before, and its place in its group by order count."""
+    w = Window.partitionBy("stream_id", "group_no").orderBy("poc", "seq")
+    ordered = with_order_counts(pictures).withColumn("shown", F.row_number().over(w).cast("long"))
+    return started(ordered, ["stream_id"], "group_no", F.lit(1), "_start").withColumn("shown", F.col("_start") + F.col("shown")).drop("_start")
 
 
 def with_references(pictures: DataFrame, most: int = 4) -> DataFrame:
-    """The order counts of the last `most` reference pictures before each picture of its group, newest last."""
-    held = with_order_counts(pictures)
-    before = Window.partitionBy("stream_id", "group_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    refs = F.collect_list(F.when(F.col("ref"), F.col("poc"))).over(before)
-    return held.withColumn("refs", F.when(F.size(refs) > most, F.slice(refs, -most, most)).otherwise(refs))
+    """The order counts of the last `most` reference pictures before each picture of its group, newest last.
+
+    References are numbered, and a picture looks back over the last `most` numbers, not over its whole group.
+    """
+    by = Window.partitionBy("stream_id", "group_no")
+    before = by.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = with_order_counts(pictures).withColumn("_number", F.coalesce(F.sum(F.col("ref").cast("long")).over(before), F.lit(0)))
+    last = by.orderBy("_number").rangeBetween(-most, -1)
+    return held.withColumn("refs", F.collect_list(F.when(F.col("ref"), F.col("poc"))).over(last)).drop("_number")
 
 
 def reference_lists(pictures: DataFrame, most: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitlake.functions import codec
 from bitlake.operators import pictures
-from bitlake.plans import block_queries, header_queries
+from bitlake.plans import block_queries, header_queries, sample_queries, stream_queries
 from bitlake.sources import framing
 
 
@@ -55,7 +55,7 @@ def line_ints(spark: SparkSession, d: str) -> DataFrame:
 def half_samples(spark: SparkSession, d: str) -> DataFrame:
     """Horizontal half samples over the quantities of a supplier's part sizes: rows of p_size by brand."""
     parts = table("part")(spark, d)
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")  # a row of samples; as many tasks as rows
     all_w = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first, last = F.first("p_size").over(all_w), F.last("p_size").over(all_w)
     taps = [F.coalesce(F.lag("p_size", k).over(w), first) if k > 0 else F.col("p_size") if k == 0 else F.coalesce(F.lead("p_size", -k).over(w), last) for k in (2, 1, 0, -1, -2, -3)]
@@ -167,3 +167,7 @@ _sql |= {name: SQL[name].removeprefix(BYTES) for name in SAMPLED}
 for _name, _width in WHOLE.items():
     QUERIES[f"whole_{_name}"] = of_groups(_width, _makers[_name])
     SQL[f"whole_{_name}"] = groups_sql(_width) + _sql[_name].replace("SELECT doc_id,", "SELECT doc_id, group_no,")
+for _name, _make in sample_queries.MAKERS.items():
+    QUERIES[_name] = of_groups(sample_queries.WIDTHS[_name], _make)
+QUERIES |= sample_queries.QUERIES | stream_queries.QUERIES
+SQL |= sample_queries.sql(groups_sql) | stream_queries.sql(PICS)

@@ -1 +1 @@
-
+"""Structured Streaming twins of the picture operators."""
