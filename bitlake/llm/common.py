@@ -15,21 +15,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share; where the session names none, a temporary one, and only if they run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="bitlake-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/bitlake-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again, so that a lost executor costs no earlier stage."""
-    path = f"{shared_dir(df.sparkSession)}/bitlake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_cuts(spark: SparkSession) -> None:
+    """Deletes what this application has written by cut; results that read it must have been used."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def bucketed_prefix(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
     """Adds `out`, the sum of value over the rows that precede a row in its group.
 
