@@ -36,23 +36,37 @@ def by_length(data: bytes, size: int) -> Iterator[bytes]:
         at += size + n
 
 
-def units(streams: DataFrame, id_col: str, data_col: str, length_size: int = 0) -> DataFrame:
+def fault(unit: bytes) -> str | None:
+    return "empty unit" if not unit else "forbidden bit" if unit[0] & 0x80 else None
+
+
+def units(streams: DataFrame, id_col: str, data_col: str, length_size: int = 0, errors: bool = False) -> DataFrame:
     """A row for each unit: the stream's id, its number, reference class, type and unescaped payload.
 
-    length_size 0 means start codes. Empty units and those with the forbidden bit give no row.
+    length_size 0 means start codes. Empty units, those with the forbidden bit, and what is left of a stream behind its
+    last whole unit give no row; with errors they are rows of an `error`, their bytes the payload, without a number.
+    Null and empty streams have no units. A stream is read whole, one at a time.
     """
     kind = dict(streams.dtypes)[id_col]
+    names = [id_col, "unit_no", "ref_idc", "unit_type", "payload"] + ["error"] * errors
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for key, data in zip(pdf[id_col], pdf[data_col], strict=True):
-                found = by_length(data or b"", length_size) if length_size else by_start_codes(data or b"")
-                good = (u for u in found if u and not u[0] & 0x80)
-                rows += [(key, i, (u[0] >> 5) & 3, u[0] & 31, unescape(u[1:])) for i, u in enumerate(good)]
-            yield pd.DataFrame(rows, columns=[id_col, "unit_no", "ref_idc", "unit_type", "payload"])
-
-    return streams.select(id_col, data_col).mapInPandas(scan, f"`{id_col}` {kind}, {SCHEMA}")
+                data, n, used = data or b"", 0, 0
+                for u in by_length(data, length_size) if length_size else by_start_codes(data):
+                    used += length_size + len(u)
+                    if (reason := fault(u)) is None:
+                        rows.append((key, n, (u[0] >> 5) & 3, u[0] & 31, unescape(u[1:]), None)[: len(names)])
+                        n += 1
+                    elif errors:
+                        rows.append((key, None, None, None, u, reason))
+                if errors and length_size and used < len(data):
+                    rows.append((key, None, None, None, data[used:], "truncated unit"))
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[1:4]})
+
+    return streams.select(id_col, data_col).mapInPandas(scan, f"`{id_col}` {kind}, {SCHEMA}" + ", error string" * errors)
 
 
 def header(first_byte: Column) -> list[Column]:

@@ -33,6 +33,9 @@ def test_framing():
 def test_units_table(spark):
     df = spark.createDataFrame([(1, bytearray(b"\x00\x00\x01\x67\x01\x00\x00\x01\x80\x01")), (2, None), (3, bytearray())], "id long, data binary")
     assert [tuple(r)[:4] for r in framing.units(df, "id", "data").collect()] == [(1, 0, 3, 7)]
+    bad = framing.units(df.unionAll(spark.createDataFrame([(4, bytearray(b"\x00\x01\x41\x00\x00\x00\x09a"))], df.schema)), "id", "data", 2, errors=True)
+    got = {(r.id, r.unit_no, r.error) for r in bad.where("id = 4").collect()}
+    assert got == {(4, 0, None), (4, None, "empty unit"), (4, None, "truncated unit")}
 
 
 def test_entry_imports(spark):
