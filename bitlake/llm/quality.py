@@ -144,12 +144,15 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = 2, steps: int = 4, c
 
     labels has doc_id and quality (0 or 1; others and nulls are no labels; the largest of a document's labels holds).
     A quarter of them, by the id's hash, calibrates: at most about calibration_rows, scored by both views, reach the
-    driver. Null texts have the features of empty ones. Null ids carry no label. Without labels of both kinds every
-    score is the share of label 1, or 0.5.
+    driver. Null texts have the features of empty ones; texts of any length are read whole. Null ids carry no label.
+    Repeated rows are rows each, with one score; an empty table gives an empty result; columns other than those of
+    documents are not read. Without labels of both kinds every score is the share of label 1, or 0.5.
     """
     labelled = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
     part = F.coalesce(F.crc32(F.concat(F.lit("part:"), F.col("doc_id").cast("string")).cast("binary")) % 4, F.lit(1))
-    rows = cut(views(docs).join(labelled, "doc_id", "left").withColumn("part", part), "quality-rows")
+    unnamed = views(docs.where("doc_id is null")).withColumn("y", F.lit(None).cast("double"))  # would all meet in one task of the join
+    named = views(docs.where("doc_id is not null")).join(labelled, "doc_id", "left")
+    rows = cut(named.unionByName(unnamed).withColumn("part", part), "quality-rows")
     w = (np.zeros(CONTENT + 1), np.zeros(META + 1))
     for _ in range(steps):
         w = newton(rows, w, None, confident, pseudo_share, ridge)

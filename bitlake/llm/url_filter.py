@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitlake.llm.common import cut
+
 BROADCAST_MB = 32
 KEYS_PER_BLOCK = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,7 +50,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     result. Other columns of pages are not read.
     """
     listed = listed.groupBy(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")).agg(F.max("verdict").alias("listed_verdict"))
-    listed = listed.persist()
+    listed = cut(listed, "url-listed")
     n = listed.count()
     shapes = [(r[0], r[1]) for r in listed.select("labels", "length").distinct().orderBy("labels", "length").collect()]
     bloom, blocks = bloom_filter(listed, n)
