@@ -84,7 +84,8 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, n_bytes, media, samples, rate, times, pairs): one row a document.
 
     n_bytes is the text's length before padding; samples are what reading the media gives back. Null and empty texts
-    give one unit of zero samples; equal texts give equal media; texts of any length are stored whole.
+    give one unit of zero samples; equal texts give equal media, repeated rows too; texts of any length are stored
+    whole. Ids may be null; an empty table gives an empty result; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
 

@@ -326,6 +326,33 @@ def test_token_totals_cover_the_whole_table(spark):
     assert all(sum(r.docs for r in rows if r.version == v) == n for v in ("words-1", "pieces-2"))
 
 
+def test_token_totals_by_the_tokenizer(spark):
+    import tiktoken
+
+    from bitlake.llm import queries_bpe
+    from tests.conftest import DATA
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs, tokens = Counter(), Counter()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        docs[r.source, r.lang] += 1
+        tokens[r.source, r.lang] += len(own.encode_ordinary(r.text or ""))
+    got = queries_bpe.op5_bpe_totals(spark, DATA).collect()
+    assert {(r.source, r.lang): (r.version, r.docs, r.tokens) for r in got} == {k: ("byte-bpe-50k", docs[k], tokens[k]) for k in docs}
+
+
+def test_url_filter_in_odd_cases(spark):
+    """Empty pages, no rules, two verdicts for one key, and columns with the names that the operator uses."""
+    rules = spark.createDataFrame([("a.com", "/", "allow"), ("a.com", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://a.com/", "x"), (1, "http://a.com/", "x"), (None, "://", "x")], "page_id long, url string, host string").withColumns({"key": F.lit("clash"), "block": F.lit(1), "found": F.lit(0)})
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect())
+    assert got == {(1, "a.com", "/", "a.com/", "block"): 2, (None, "", "", None, "allow"): 1}
+    assert {r.verdict for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
 def test_more_than_64_languages(spark):
     """Languages of one word each, whose letters no other has, are all told apart; those of few rows too."""
     word = lambda i: "".join(chr(0x4E00 + 4 * i + k) for k in range(4))
