@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bitlake.functions.blocks import least_reference
 from bitlake.functions.codec import median, temporal_scale
 
 #: For the halves of a block: which neighbour decides alone if it has the block's reference.
@@ -36,6 +37,18 @@ def skipped_vector(a: Column, b: Column, c: Column) -> Column:
     return F.when(rests(a) | rests(b), F.struct(zero.alias("x"), zero.alias("y"))).otherwise(predicted_vector(a, b, c, F.lit(0)))
 
 
+def spatial_vector(a: Column, b: Column, c: Column, rests: Column) -> Column:
+    """struct(x, y, ref) of a spatially direct block: the neighbours' least reference and its predicted vector.
+
+    Without any reference it is the first with no motion; nor does a block move whose reference is the first and whose
+    co-located one rests.
+    """
+    least = least_reference(*(F.coalesce(v["ref"], F.lit(-1).cast("long")) for v in (a, b, c)))
+    moved = predicted_vector(a, b, c, least)
+    still = (least < 0) | ((least == 0) & rests)
+    return F.struct(*(F.when(still, 0).otherwise(moved[k]).cast("long").alias(k) for k in ("x", "y")), F.greatest(least, F.lit(0)).cast("long").alias("ref"))
+
+
 def direct_vectors(v: Column, tb: Column, td: Column) -> list[Column]:
     """One component of both lists' vectors from a co-located one: scaled by the distances, and what is left of it."""
     first = F.when(td == 0, v).otherwise(F.shiftright(temporal_scale(tb, F.when(td == 0, 1).otherwise(td)) * v + 128, 8))

@@ -91,3 +91,8 @@ def order_count_cycle(number: Column, ref: Column, offsets: list[int], not_ref:
 def order_count_plain(number: Column, ref: Column) -> Column:
     """Picture order counts of type 2: coding order, with pictures that are no reference before the number's own place."""
     return 2 * number - F.when(ref, 0).otherwise(1)
+
+
+def order_count(poc_type: Column, by_low_part: Column, number: Column, ref: Column, offsets: list[int], not_ref: int) -> Column:
+    """Picture order counts by the stream's type: 0 from the coded low part, 1 by a cycle of offsets, 2 in coding order."""
+    return F.when(poc_type == 0, by_low_part).when(poc_type == 1, order_count_cycle(number, ref, offsets, not_ref)).otherwise(order_count_plain(number, ref))

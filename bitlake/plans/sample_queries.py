@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bitlake.functions import motion, samples
+from bitlake.functions import blocks, motion, samples
 
 #: By each query over groups of bytes, the bytes that a group has.
 WIDTHS = {"intra4_modes": 13, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4}
@@ -111,7 +111,29 @@ def differs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", motion.motion_differs(p0, p1, q0, q1).alias("differs"))
 
 
-QUERIES = {"vector_rules": vectors, "direct_vectors": direct, "motion_differs": differs}
+def spatial(spark: SparkSession, d: str) -> DataFrame:
+    v = motion.spatial_vector(F.col("a"), F.col("b"), F.col("c"), F.col("event_id") % 2 == 0)
+    return neighbours(spark, d).select("event_id", v["x"].alias("x"), v["y"].alias("y"), v["ref"].alias("ref"))
+
+
+def inverse(n: int, use, groups):
+    """The inverse transform of n x n blocks: the lines, then the columns of what they give, in two projections."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        s = [F.col(f"s{i + 1}").cast("long") - 128 for i in range(n * n)]
+        lines = groups(spark, d, n * n).select("doc_id", "group_no", *(v.alias(f"r{i}") for i, v in enumerate(samples.by_lines(s, n, use))))
+        r = samples.across([F.col(f"r{i}") for i in range(n * n)], n)
+        down = samples.across(samples.by_lines(r, n, use), n)
+        return lines.select("doc_id", "group_no", text([samples.rounded(v, 6) for v in down]).alias("residual"))
+
+    return query
+
+
+def inverses(groups) -> dict:
+    return {"inverse4_both": inverse(4, lambda v: blocks.butterfly(*v), groups), "inverse8_both": inverse(8, samples.line8, groups)}
+
+
+QUERIES = {"spatial_vectors": spatial, "vector_rules": vectors, "direct_vectors": direct, "motion_differs": differs}
 
 
 # The SQL.
@@ -187,7 +209,19 @@ def _quarter_sql() -> str:
     return f", q AS (SELECT doc_id, group_no, {', '.join(f'{e} {k}' for k, e in columns.items())} FROM s) SELECT doc_id, group_no, {_join([e for row in rows for e in row])} places FROM q"
 
 
-def _inverse8_sql() -> str:
+def _four(v: list[str]) -> list[str]:
+    a, b, c, d = v
+    return [f"({a} + {c} + {b} + ({d} >> 1))", f"({a} - {c} + ({b} >> 1) - {d})", f"({a} - {c} - ({b} >> 1) + {d})", f"({a} + {c} - {b} - ({d} >> 1))"]
+
+
+def _both_sql(n: int, one) -> str:
+    rows = [e for y in range(n) for e in one([f"(s{n * y + x + 1} - 128)" for x in range(n)])]
+    down = [one([f"r{n * y + x}" for y in range(n)]) for x in range(n)]
+    values = _join([f"({down[x][y]} + 32) >> 6" for y in range(n) for x in range(n)])
+    return f", h AS (SELECT doc_id, group_no, {', '.join(f'{e} r{i}' for i, e in enumerate(rows))} FROM s) SELECT doc_id, group_no, {values} residual FROM h"
+
+
+def _eight() -> object:
     def one(v: list[str]) -> list[str]:
         a = {0: f"({v[0]} + {v[4]})", 2: f"({v[0]} - {v[4]})", 4: f"(({v[2]} >> 1) - {v[6]})", 6: f"(({v[6]} >> 1) + {v[2]})"}
         a |= {1: f"({v[5]} - {v[3]} - {v[7]} - ({v[7]} >> 1))", 3: f"({v[1]} + {v[7]} - {v[3]} - ({v[3]} >> 1))", 5: f"({v[7]} - {v[1]} + {v[5]} + ({v[5]} >> 1))", 7: f"({v[3]} + {v[5]} + {v[1]} + ({v[1]} >> 1))"}
@@ -195,6 +229,11 @@ def _inverse8_sql() -> str:
         b |= {1: f"(({a[7]} >> 2) + {a[1]})", 3: f"({a[3]} + ({a[5]} >> 2))", 5: f"(({a[3]} >> 2) - {a[5]})", 7: f"({a[7]} - ({a[1]} >> 2))"}
         return [f"({b[i]} {sign} {b[j]})" for i, sign, j in ((0, "+", 7), (2, "+", 5), (4, "+", 3), (6, "+", 1), (6, "-", 1), (4, "-", 3), (2, "-", 5), (0, "-", 7))]
 
+    return one
+
+
+def _inverse8_sql() -> str:
+    one = _eight()
     rows = [e for y in range(8) for e in one([f"(s{8 * y + x + 1} - 128)" for x in range(8)])]
     down = [one([f"(64 * s{8 * y + x + 1} - 8192)" for y in range(8)]) for x in range(8)]
     return f" SELECT doc_id, group_no, {_join(rows)} AS rows, {_join([f'({down[x][y]} + 32) >> 6' for y in range(8) for x in range(8)])} AS columns FROM s"
@@ -264,6 +303,11 @@ def sql(groups_sql) -> dict[str, str]:
     found = {name: groups_sql(WIDTHS[name]) + text for name, text in body.items()}
     shapes = {"whole": "", "upper": "b", "lower": "a", "left": "a", "right": "c"}
     found["vector_rules"] = _VECTORS + " SELECT event_id, " + ", ".join(f"{_vector_sql('r', k)} \"{n}\"" for n, k in shapes.items()) + f", CASE WHEN {rests('a')} OR {rests('b')} THEN '0,0' ELSE {_vector_sql('0')} END skipped FROM m"
+    found |= {"inverse4_both": groups_sql(16) + _both_sql(4, _four), "inverse8_both": groups_sql(64) + _both_sql(8, _eight())}
+    used = _vector_sql("least")
+    found["spatial_vectors"] = _VECTORS + f""", l AS (SELECT *, coalesce(list_min(list_filter([a.ref, b.ref, c.ref], lambda v: v >= 0)), -1) least FROM m),
+z AS (SELECT event_id, least, CASE WHEN least < 0 OR (least = 0 AND event_id % 2 = 0) THEN '0,0' ELSE {used} END v FROM l)
+SELECT event_id, split_part(v, ',', 1)::BIGINT x, split_part(v, ',', 2)::BIGINT y, greatest(least, 0)::BIGINT AS ref FROM z"""
     found["direct_vectors"] = """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_suppkey k, l_quantity::BIGINT q, l_suppkey % 200 - 100 v, l_suppkey % 60 - 30 tb, l_quantity::BIGINT % 16 * 3 - 9 td FROM lineitem),
 u AS (SELECT *, CASE WHEN td > 0 THEN (16384 + td // 2) // td WHEN td < 0 THEN -((16384 + (-td) // 2) // (-td)) END tx FROM t), s AS (SELECT *, greatest(-1024, least(1023, (tb * tx + 32) >> 6)) scale FROM u),
 f AS (SELECT *, CASE WHEN td = 0 THEN v ELSE (scale * v + 128) >> 8 END first FROM s)

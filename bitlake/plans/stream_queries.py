@@ -71,7 +71,15 @@ def field_order(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select(k, F.array_join(F.transform(out, lambda x: F.concat(x["frame_num"].cast("string"), F.when(x["bottom"], "b").otherwise("t"))), " ").alias("fields"))
 
 
-QUERIES = {"stream_display_order": stream_display_order, "marked_references": marked_references, "changed_lists": changed_lists, "field_order": field_order}
+def order_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Order counts of all users' pictures, each user's stream of one of the three types."""
+    pics = pictures.coded_pictures(events(spark, d))
+    low = pictures.with_order_counts(pics).select("stream_id", "seq", "poc")
+    rows = pictures.with_numbers(pics, 4).join(low, ["stream_id", "seq"])
+    return rows.select("stream_id", "seq", pictures.order_count(F.col("stream_id") % 3, F.col("poc"), F.col("number"), F.col("ref"), [2, 4], -2).cast("long").alias("poc"))
+
+
+QUERIES = {"poc_by_type": order_counts, "stream_display_order": stream_display_order, "marked_references": marked_references, "changed_lists": changed_lists, "field_order": field_order}
 
 
 def sql(pictures_sql: str) -> dict[str, str]:
@@ -79,6 +87,10 @@ def sql(pictures_sql: str) -> dict[str, str]:
     field = lambda n, bottom: f"(k + {n}) || CASE WHEN {bottom} THEN 'b' ELSE 't' END"
     pair = lambda n, a, b: f"CASE WHEN ({a}) = (k % 5 < 2) THEN {field(n, a)} || ' ' || {field(n, b)} ELSE {field(n, b)} || ' ' || {field(n, a)} END"
     return {
+        "poc_by_type": pictures_sql + """, k AS (SELECT stream_id, seq, ref, poc, coalesce(sum(ref::INT) OVER (PARTITION BY stream_id, group_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT number FROM o),
+z AS (SELECT *, CASE WHEN number > 0 AND NOT ref THEN number - 1 ELSE number END m FROM k)
+SELECT stream_id, seq, (CASE stream_id % 3 WHEN 0 THEN poc WHEN 1 THEN CASE WHEN m > 0 THEN (m - 1) // 2 * 6 + CASE WHEN (m - 1) % 2 = 0 THEN 2 ELSE 6 END ELSE 0 END - CASE WHEN ref THEN 0 ELSE 2 END
+  ELSE 2 * number - CASE WHEN ref THEN 0 ELSE 1 END END)::BIGINT poc FROM z""",
         "stream_display_order": pictures_sql + " SELECT stream_id, seq, group_no, poc, 'p' || seq meta, row_number() OVER (PARTITION BY stream_id ORDER BY group_no, poc, seq) shown FROM o",
         # a number is held if it is lower than the picture's, but for even ones whose odd successor, which unmarks them, is lower too
         "marked_references": numbers + """, h AS (SELECT stream_id, seq, [n FOR n IN range(frame_num) IF n % 2 = 1 OR n + 1 >= frame_num] held FROM k),
