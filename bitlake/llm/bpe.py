@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from bitlake.llm.common import cut
 
-MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 400_000, 40_000
+MAPS, PAIR, FOLD, CACHE, SAMPLE = 32_768, 1 << 17, 64, 250_000, 40_000
 #: The table of pairs: buckets, the modulus that gives a key its slot, and a factor below 2**29, so that no product overflows.
 BUCKETS, SLOTS, MIX = 32_768, 299_993, 478_163_327
-WORDS_AT_ONCE = 300_000
+WORDS_AT_ONCE, IDS_AT_ONCE = 300_000, 50_000
 #: Texts in an Arrow batch: its words and ids are in memory at once, on both sides.
-BATCH = 1_000
+BATCH = 300
 #: A rank beyond all ranks, and the bits below a rank: seven of a piece's index in the word above those of an id.
 NONE, PLACE = 1 << 20, 1 << 24
 #: Unicode's white space, which `\s` means to the tokenizer.
@@ -275,8 +275,8 @@ def concatenated(ids: np.ndarray, cuts: np.ndarray, starts: np.ndarray, sizes: n
     ends = np.concatenate([[0], np.cumsum(sizes[ids])])
     raw = bytearray(int(ends[-1]))
     out = np.frombuffer(raw, np.uint8)
-    for lo in range(0, len(ids), WORDS_AT_ONCE):
-        part = ids[lo : lo + WORDS_AT_ONCE]
+    for lo in range(0, len(ids), IDS_AT_ONCE):
+        part = ids[lo : lo + IDS_AT_ONCE]
         out[ends[lo] : ends[lo + len(part)]] = data[gathered(starts, sizes, part)]
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends[cuts].astype(np.int32)), pa.py_buffer(raw)])
 

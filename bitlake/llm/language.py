@@ -72,7 +72,7 @@ def slots(h: np.ndarray, of: int) -> list[np.ndarray]:
     return [((first + np.uint64(i) * (second | np.uint64(1))) % np.uint64(of)).astype(np.int64) for i in range(K)]
 
 
-def chunks(texts: list, size: int = 400_000) -> Iterator[tuple[int, list]]:
+def chunks(texts: list, size: int = 100_000) -> Iterator[tuple[int, list]]:
     """Runs of texts of about `size` characters and where each begins; memory does not follow the batch."""
     at, n, part = 0, 0, []
     for i, t in enumerate(texts):
