@@ -36,6 +36,12 @@ changes_l1 array<array<long>>, luma_denom int, chroma_denom int, weights_l0 arra
 long_term boolean, marking array<array<long>>, cabac_init long, qp_delta long, filter_off long, alpha_offset long, beta_offset long, data_bit long"""
 
 
+USED = {
+    "sps": ("frame_num_bits", "frames_only", "mbaff", "poc_type", "poc_lsb_bits", "poc_no_deltas"),
+    "pps": ("bottom_deltas", "refs_l0", "refs_l1", "weighted", "weighted_bi", "arithmetic", "filter_control"),
+}
+
+
 def unit_type_name(unit_type: Column) -> Column:
     """The name of a unit type; others are Other(n)."""
     return F.coalesce(F.get(F.array(*map(F.lit, UNIT_TYPES)), (unit_type - 1).cast("int")), F.concat(F.lit("Other("), unit_type.cast("string"), F.lit(")")))
@@ -160,11 +166,13 @@ def slice_headers(units: DataFrame, id_col: str = "stream_id") -> DataFrame:
     started = read_with(slices, keys, ["payload"], lambda data: headers.slice_start(data or b""), f"struct<{START}>", "start")
     held = bound(started, pairs, F.col("start.pps_id"), "sets", id_col)
     held = held.select(*keys, F.col("error").alias("start_error"), F.col("sets.pps").alias("pps"), F.col("sets.sps").alias("sps"))
+    for name, used in USED.items():  # what a header's syntax depends on; whole sets would be made dictionaries of in each row
+        held = held.withColumn(f"_{name}", F.when(F.col(name).isNotNull(), F.struct(*(F.col(f"{name}.{n}").alias(n) for n in used))))
 
     def read(data: bytes, sps: dict | None, pps: dict | None, unit_type: int, ref_idc: int, reason: str | None) -> dict:
         if reason or not sps or not pps:
             raise ValueError(reason or "no parameter sets")
         return headers.slice_header(data or b"", sps, pps, unit_type, ref_idc)
 
-    out = read_with(held, [id_col, "unit_no", "ref_idc", "unit_type", "sps", "pps"], ["payload", "sps", "pps", "unit_type", "ref_idc", "start_error"], read, f"struct<{SLICE}>", "header")
+    out = read_with(held, [id_col, "unit_no", "ref_idc", "unit_type", "sps", "pps"], ["payload", "_sps", "_pps", "unit_type", "ref_idc", "start_error"], read, f"struct<{SLICE}>", "header")
     return out.withColumn("qp", F.col("pps.init_qp") + F.col("header.qp_delta"))
