@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitlake.llm import decontaminate
+from bitlake.llm import decontaminate, merkle
+from bitlake.llm.common import remainder
 
 
 def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,23 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    head = ["doc_id", "source", "lang", "n_chars"]
+    altered = merkle.leaf_digest(*map(F.col, head), F.replace("text", F.lit("\n"), F.lit("")))
+    tampered = F.when(remainder(F.col("doc_id"), 2) == 0, altered)
+    rows = merkle.manifest(docs, [*head, "text"], also={"tampered": tampered})
+    rows = rows.withColumn("folded", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    proof = F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256")
+    return rows.select("doc_id", text("leaf"), text("subroot"), text("root"), proof, text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+#: The unsigned crc32 of an ASCII text, by its polynomial.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+  list_reduce(list_concat([xor(c, b)], range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"""
+_FRAME = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+_HEAD = " || ".join(_FRAME.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = {
     "op11_decontaminate": "WITH b AS (SELECT coalesce(item_id::VARCHAR, '') item, " + _WORDS.format("text") + """ w FROM benchmark WHERE text IS NOT NULL),
@@ -27,5 +45,20 @@ x AS (SELECT k, count(DISTINCT p) n_hit FROM (SELECT k, unnest(range(i, i + size
 y AS (SELECT k, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN x USING (k) LEFT JOIN y USING (k)""",
+    "op12_merkle_manifest": "WITH RECURSIVE d AS (SELECT row_number() OVER () k, doc_id, coalesce('=' || source, '-') g, sha256(" + _HEAD + " || " + _FRAME.format("text") + ") leaf, CASE WHEN " + _CRC.format("doc_id::VARCHAR") + " % 2 = 0 THEN sha256(" + _HEAD + " || " + _FRAME.format("replace(text, chr(10), '')") + """) END bad FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 r, count(*) OVER (PARTITION BY g) n FROM d),
+t(g, lvl, r, n, x) AS (SELECT g, 0, r, n, leaf FROM l UNION ALL SELECT g, lvl + 1, r // 3, (n + 2) // 3, sha256(string_agg(x, '' ORDER BY r)) FROM t WHERE n > 1 GROUP BY g, lvl + 1, r // 3, (n + 2) // 3),
+s AS (SELECT g, x, row_number() OVER (ORDER BY g) - 1 r, count(*) OVER () n FROM t WHERE n = 1),
+u(lvl, r, n, x) AS (SELECT 0, r, n, x FROM s UNION ALL SELECT lvl + 1, r // 3, (n + 2) // 3, sha256(string_agg(x, '' ORDER BY r)) FROM u WHERE n > 1 GROUP BY lvl + 1, r // 3, (n + 2) // 3),
+path AS (SELECT l.k, t.lvl lvl, string_agg(o.x, '' ORDER BY o.r) FILTER (o.r < t.r) a, string_agg(o.x, '' ORDER BY o.r) FILTER (o.r > t.r) b
+  FROM l JOIN t ON t.g = l.g AND t.r = l.r // (3 ** t.lvl)::BIGINT AND t.n > 1 JOIN t o ON o.g = t.g AND o.lvl = t.lvl AND o.r // 3 = t.r // 3 GROUP BY l.k, t.lvl
+  UNION ALL SELECT l.k, 100 + u.lvl, string_agg(o.x, '' ORDER BY o.r) FILTER (o.r < u.r), string_agg(o.x, '' ORDER BY o.r) FILTER (o.r > u.r)
+  FROM l JOIN s ON s.g = l.g JOIN u ON u.r = s.r // (3 ** u.lvl)::BIGINT AND u.n > 1 JOIN u o ON o.lvl = u.lvl AND o.r // 3 = u.r // 3 GROUP BY l.k, u.lvl),
+steps AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY lvl) no, coalesce(a, '') a, coalesce(b, '') b FROM path),
+proof AS (SELECT k, string_agg(a || b, '' ORDER BY no) p FROM steps GROUP BY k),
+f(k, no, x) AS (SELECT k, 0, coalesce(bad, leaf) FROM l UNION ALL SELECT f.k, f.no + 1, sha256(a || f.x || b) FROM f JOIN steps ON steps.k = f.k AND steps.no = f.no + 1),
+e AS (SELECT k, arg_max(x, no) folded FROM f GROUP BY k)
+SELECT doc_id, leaf, s.x subroot, top.x root, sha256(coalesce(p, '')) proof_sha256, folded folded_root, folded = top.x verified
+FROM l JOIN (SELECT x FROM u WHERE n = 1) top ON true JOIN s ON s.g = l.g LEFT JOIN proof USING (k) JOIN e USING (k)""",
 }
-QUERIES = {"op11_decontaminate": op11_decontaminate}
+QUERIES = {"op11_decontaminate": op11_decontaminate, "op12_merkle_manifest": op12_merkle_manifest}
