@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlake.llm.common import cut
@@ -175,9 +176,8 @@ def siblings(proof: Column) -> Column:
     return F.lower(F.array_join(F.transform(F.flatten(F.transform(proof, lambda s: s["others"])), F.hex), ""))
 
 
-def store(spark: SparkSession, tree: Tree, path: str) -> None:
-    """Writes the records of all levels as one table of (digest, children), each digest once."""
-    rows = spark.createDataFrame([], "digest binary, children array<binary>")
-    for level in tree.records:
-        rows = rows.unionAll(level)
-    rows.dropDuplicates(["digest"]).write.parquet(path)
+def store(trees: list[Tree], path: str) -> None:
+    """Writes the records of the trees' levels as one table of (digest, children), each digest once; trees without a level write nothing."""
+    levels = [level for tree in trees for level in tree.records]
+    if levels:
+        reduce(DataFrame.unionAll, levels).dropDuplicates(["digest"]).write.parquet(path)
