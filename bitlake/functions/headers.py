@@ -31,12 +31,15 @@ class Bits:
         return self.u(1) == 1
 
     def ue(self) -> int:
-        zeros = 0
-        while not self.u(1):
-            zeros += 1
-            if zeros > 31:
-                raise ValueError("exp-golomb overflow")
-        return (1 << zeros) - 1 + self.u(zeros)
+        """Leading zeros, a one and as many bits again: all within the next 63 bits, which are taken at once."""
+        lo = self.at >> 3
+        ahead = (int.from_bytes(self.data[lo : lo + 9].ljust(9, b"\0"), "big") >> (8 - (self.at & 7))) & ((1 << 64) - 1)
+        zeros = 64 - ahead.bit_length()
+        if zeros > 31:
+            self.u(32)
+            raise ValueError("exp-golomb overflow")
+        self.u(2 * zeros + 1)
+        return (ahead >> (63 - 2 * zeros)) - 1
 
     def se(self) -> int:
         k = self.ue()
@@ -140,7 +143,7 @@ def picture_set(data: bytes) -> dict:
     b = Bits(data)
     p = {"pps_id": b.ue(), "sps_id": b.ue(), "arithmetic": b.flag(), "bottom_deltas": b.flag()}
     if b.ue():
-        raise ValueError("slice groups not yet supported")
+        raise ValueError("slice groups cannot be read")
     p |= {"refs_l0": b.ue() + 1, "refs_l1": b.ue() + 1, "weighted": b.flag(), "weighted_bi": b.u(2)}
     p |= {"init_qp": 26 + b.se(), "init_qs": 26 + b.se(), "chroma_offset": b.se(), "filter_control": b.flag(), "constrained_intra": b.flag(), "redundant": b.flag()}
     p |= {"transform_8x8": False, "scaling": None, "second_chroma_offset": p["chroma_offset"]}
@@ -227,6 +230,7 @@ def slice_header(data: bytes, sps: dict, pps: dict, unit_type: int, ref_idc: int
     return s
 
 
+# The sentences of faults in side messages and configuration records, which results are compared by.
 def messages(data: bytes) -> list[tuple[int, bytes | None, bytes]]:
     """(type, uuid, data) of each supplemental message; only type 5, user data, has a uuid."""
     out, at = [], 0

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitlake.operators import pictures
+
 #: (number, order count, long-term index or -1), oldest first.
 Held = list[tuple[int, int, int]]
 
@@ -83,12 +85,17 @@ def with_marked_references(pictures: DataFrame, most: int = 4, period: int = 16)
 
 
 def lists(short: Column, long: Column, poc: Column, kind: str) -> Column:
-    """array<bigint>: frame numbers of list p, l0 or l1: short-term ones by order count, then long-term ones by index."""
+    """array<bigint>: frame numbers of list p, l0 or l1: short-term ones by order count, then long-term ones by index.
+
+    A list l1 of two or more that equals l0 has its first two changed over.
+    """
     number = lambda v: F.transform(v, lambda x: x["frame_num"])
-    ordered = F.transform(F.array_sort(F.transform(short, lambda x: F.struct(x["poc"].alias("poc"), x["frame_num"].alias("frame_num")))), lambda x: x)
-    past, future = F.filter(ordered, lambda x: x["poc"] <= poc), F.filter(ordered, lambda x: x["poc"] > poc)
-    first = {"p": F.reverse(ordered), "l0": F.concat(F.reverse(past), future), "l1": F.concat(future, F.reverse(past))}[kind]
-    return F.concat(number(first), number(long))
+    ordered = F.array_sort(F.transform(short, lambda x: F.struct(x["poc"].alias("poc"), x["frame_num"].alias("frame_num"))))
+    past, future = F.reverse(F.filter(ordered, lambda x: x["poc"] <= poc)), F.filter(ordered, lambda x: x["poc"] > poc)
+    l0 = F.concat(number(past), number(future), number(long))
+    if kind == "l1":
+        return pictures.swapped_if_equal(F.concat(number(future), number(past), number(long)), l0)
+    return l0 if kind == "l0" else F.concat(number(F.reverse(ordered)), number(long))
 
 
 def changed(numbers: Column, operations: Column, frame_num: Column, period: int) -> Column:
@@ -111,17 +118,10 @@ def changed(numbers: Column, operations: Column, frame_num: Column, period: int)
 
 
 def same_parity_first(fields: Column, bottom: Column) -> Column:
-    """Fields of a list, structs of frame_num and bottom: of two neighbours with one number that of the picture's own parity comes first."""
-    at = lambda i: F.get(fields, i)
-    n = F.size(fields)
-
-    def run_start(i: Column) -> Column:
-        """Whether place i begins a pair: an even number of places after its run's begin, and the next one has its number."""
-        before = F.size(F.filter(F.sequence(F.lit(0), i), lambda j: at(j)["frame_num"] != at(i)["frame_num"]))
-        return ((i - before) % 2 == 0) & (i + 1 < n) & (at(i + 1)["frame_num"] == at(i)["frame_num"])
-
-    def put(x: Column, i: Column) -> Column:
-        swap = lambda j: run_start(j) & (at(j)["bottom"] != bottom) & (at(j + 1)["bottom"] == bottom)
-        return F.when(swap(i), at(i + 1)).when((i > 0) & swap(F.greatest(i - 1, F.lit(0))), at(i - 1)).otherwise(x)
-
+    """Fields of a list, structs of frame_num and bottom: where just two neighbours share a number, that of the picture's own parity comes first."""
+    numbers = F.transform(fields, lambda x: x["frame_num"])
+    same = lambda i, k: F.coalesce(F.get(numbers, i) == F.get(numbers, i + k), F.lit(False))
+    pair = lambda i: same(i, 1) & ~same(i, 2) & ((i == 0) | ~same(i, -1))
+    turned = lambda i: pair(i) & (F.get(fields, i)["bottom"] != bottom) & (F.get(fields, i + 1)["bottom"] == bottom)
+    put = lambda x, i: F.when(turned(i), F.get(fields, i + 1)).when((i > 0) & turned(F.greatest(i - 1, F.lit(0))), F.get(fields, i - 1)).otherwise(x)
     return F.transform(fields, put)

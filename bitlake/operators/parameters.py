@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from bitlake.functions import headers
+from bitlake.functions.codec import read_ue
+from bitlake.operators import runs
 
 #: More than the largest slice header: 64 weights of six numbers and 132 list and marking operations take under 4 KB.
 HEADER_BYTES = 16_384
@@ -29,7 +31,6 @@ primaries int, transfer int, matrix int, chroma_location long, num_units_in_tick
 PICTURE = """pps_id long, sps_id long, arithmetic boolean, bottom_deltas boolean, refs_l0 long, refs_l1 long, weighted boolean, weighted_bi int,
 init_qp long, init_qs long, chroma_offset long, filter_control boolean, constrained_intra boolean, redundant boolean, transform_8x8 boolean,
 scaling array<array<int>>, second_chroma_offset long"""
-START = "first_mb long, slice_type string, pps_id long"
 SLICE = """first_mb long, slice_type string, pps_id long, frame_num long, field boolean, bottom boolean, mbaff boolean, idr_pic_id long, poc_lsb long,
 delta_bottom long, delta_0 long, delta_1 long, direct_spatial boolean, refs_l0 long, refs_l1 long, changes_l0 array<array<long>>,
 changes_l1 array<array<long>>, luma_denom int, chroma_denom int, weights_l0 array<array<int>>, weights_l1 array<array<int>>, no_output boolean,
@@ -111,23 +112,6 @@ def information(sps: str = "sps") -> dict[str, Column]:
     return found | {name: c(name) for name in ("profile", "chroma_format", "depth_luma", "depth_chroma", "max_refs", "full_range", "primaries", "transfer", "matrix", "chroma_location", "max_reorder")}
 
 
-def versions(sets: DataFrame, struct: str, number: str, id_col: str = "stream_id") -> DataFrame:
-    """(stream id, number, versions): the changes of each set of a stream, in order, as (unit_no, set); repeats of a set are none."""
-    good = sets.where(F.col(struct).isNotNull()).withColumn("_number", F.col(f"{struct}.{number}"))
-    before = F.lag(struct).over(Window.partitionBy(id_col, "_number").orderBy("unit_no"))
-    changes = good.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col(struct)))
-    made = changes.groupBy(id_col, "_number").agg(F.sort_array(F.collect_list(F.struct("unit_no", struct))).alias("versions"))
-    return made.withColumnRenamed("_number", "number")
-
-
-def bound(rows: DataFrame, sets: DataFrame, number: Column, struct: str, id_col: str = "stream_id") -> DataFrame:
-    """rows with the version of set `number` that holds at their unit_no; null where the stream has had none."""
-    held = sets.select(F.col(id_col).alias("_stream"), F.col("number").alias("_number"), "versions")
-    both = rows.join(held, (rows[id_col] == held["_stream"]) & (number == held["_number"]), "left")
-    last = F.element_at(F.filter("versions", lambda v: v["unit_no"] < F.col("unit_no")), -1)
-    return both.withColumn(struct, F.when(F.exists("versions", lambda v: v["unit_no"] < F.col("unit_no")), last[struct])).drop("_stream", "_number", "versions")
-
-
 def with_scaling(pps: DataFrame, flat: int = 16) -> DataFrame:
     """Adds `matrices`, the eight lists that hold for a picture set with its sequence set: its own, else the sequence's, else the rule's.
 
@@ -153,26 +137,38 @@ def with_scaling(pps: DataFrame, flat: int = 16) -> DataFrame:
 DEFAULT_4X4 = ([6, 13, 13, 20, 20, 20, 28, 28, 28, 28, 32, 32, 32, 37, 37, 42], [10, 14, 14, 20, 20, 20, 24, 24, 24, 24, 27, 27, 27, 30, 30, 34])
 
 
+def slice_head(payload: Column) -> tuple[Column, Column, Column]:
+    """First block, slice type and picture set number of a slice's payload, as far as they can be read."""
+    digits = F.rpad(F.hex(F.substring(payload, 1, 24)), 48, "0")
+    bits = F.concat(*(F.lpad(F.conv(F.substring(digits, at, 16), 16, 2), 64, "0") for at in (1, 17, 33)))
+    behind = lambda b: F.substring(b, 2 * F.instr(b, "1"), F.lit(192))
+    return read_ue(bits), read_ue(behind(bits)), read_ue(behind(behind(bits)))
+
+
 def slice_headers(units: DataFrame, id_col: str = "stream_id") -> DataFrame:
     """(stream id, unit_no, ref_idc, unit_type, sps, pps, header, qp, error) of the units of types 1 and 5.
 
-    A slice's picture set is the last one of its number before the slice, and that set's sequence set the last one before the set.
+    A slice's picture set is the last one of its number before the slice, and its sequence set the last one of that set's number
+    before the slice. Both are bound by as-of joins, so that a set may change any number of times. A header that does not end within
+    HEADER_BYTES is an error of its own.
     """
-    sps = versions(sequence_sets(units, id_col), "sps", "sps_id", id_col)
-    pps = bound(picture_sets(units, id_col).drop("error"), sps, F.col("pps.sps_id"), "sps", id_col)
-    pairs = versions(pps.select(id_col, "unit_no", F.struct("pps", "sps", F.col("pps.pps_id").alias("pps_id")).alias("sets")), "sets", "pps_id", id_col)
-    slices = units.where("unit_type in (1, 5)").select(id_col, "unit_no", "ref_idc", "unit_type", F.substring("payload", 1, HEADER_BYTES).alias("payload"))
-    keys = [id_col, "unit_no", "ref_idc", "unit_type", "payload"]
-    started = read_with(slices, keys, ["payload"], lambda data: headers.slice_start(data or b""), f"struct<{START}>", "start")
-    held = bound(started, pairs, F.col("start.pps_id"), "sets", id_col)
-    held = held.select(*keys, F.col("error").alias("start_error"), F.col("sets.pps").alias("pps"), F.col("sets.sps").alias("sps"))
+    sps = sequence_sets(units, id_col).select(id_col, "unit_no", F.col("sps.sps_id").alias("_sps_id"), "sps").where("sps is not null")
+    pps = picture_sets(units, id_col).select(id_col, "unit_no", F.col("pps.pps_id").alias("_pps_id"), "pps").where("pps is not null")
+    payload = F.coalesce(F.col("payload"), F.lit(b""))
+    slices = units.where("unit_type in (1, 5)").select(id_col, "unit_no", "ref_idc", "unit_type", F.substring(payload, 1, HEADER_BYTES).alias("payload"), (F.octet_length(payload) > HEADER_BYTES).alias("_cut"))
+    bound_slices = runs.held(slices.withColumn("_pps_id", slice_head(F.col("payload"))[2]), pps, [id_col, "_pps_id"], "unit_no", "pps")
+    held = runs.held(bound_slices.withColumn("_sps_id", F.col("pps.sps_id")), sps, [id_col, "_sps_id"], "unit_no", "sps")
     for name, used in USED.items():  # what a header's syntax depends on; whole sets would be made dictionaries of in each row
         held = held.withColumn(f"_{name}", F.when(F.col(name).isNotNull(), F.struct(*(F.col(f"{name}.{n}").alias(n) for n in used))))
 
-    def read(data: bytes, sps: dict | None, pps: dict | None, unit_type: int, ref_idc: int, reason: str | None) -> dict:
-        if reason or not sps or not pps:
-            raise ValueError(reason or "no parameter sets")
-        return headers.slice_header(data or b"", sps, pps, unit_type, ref_idc)
+    def read(data: bytes, cut: bool, sps: dict | None, pps: dict | None, unit_type: int, ref_idc: int) -> dict:
+        headers.slice_start(data)
+        if not sps or not pps:
+            raise ValueError("no parameter sets")
+        try:
+            return headers.slice_header(data, sps, pps, unit_type, ref_idc)
+        except ValueError as e:
+            raise ValueError(f"header of over {HEADER_BYTES} bytes" if cut and str(e) == "end of bitstream" else str(e)) from e
 
-    out = read_with(held, [id_col, "unit_no", "ref_idc", "unit_type", "sps", "pps"], ["payload", "_sps", "_pps", "unit_type", "ref_idc", "start_error"], read, f"struct<{SLICE}>", "header")
+    out = read_with(held, [id_col, "unit_no", "ref_idc", "unit_type", "sps", "pps"], ["payload", "_cut", "_sps", "_pps", "unit_type", "ref_idc"], read, f"struct<{SLICE}>", "header")
     return out.withColumn("qp", F.col("pps.init_qp") + F.col("header.qp_delta"))

@@ -19,10 +19,11 @@ def coded_pictures(events: DataFrame) -> DataFrame:
 
 def started(rows: DataFrame, part: list[str], by: str, value: Column, out: str) -> DataFrame:
     """rows with `out`, the sum of value over all rows of the same `part` whose `by` is smaller."""
-    sums = rows.groupBy(*part, by).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*part, by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(out))
-    return rows.join(starts, [*part, by])
+    keyed = rows.withColumn("_place", F.struct(*part, by))  # equal where parts are null, too
+    sums = keyed.groupBy("_place").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*(f"_place.{p}" for p in part)).orderBy(f"_place.{by}").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_place", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(out))
+    return keyed.join(starts, "_place").drop("_place")
 
 
 def with_groups(pictures: DataFrame, run: int = 65_536) -> DataFrame:
@@ -66,8 +67,13 @@ def reference_lists(pictures: DataFrame, most: int = 4) -> DataFrame:
     up, down = F.array_sort("refs"), F.reverse(F.array_sort("refs"))
     past, future = F.filter(down, lambda x: x <= F.col("poc")), F.filter(up, lambda x: x > F.col("poc"))
     r = r.withColumn("l0", F.concat(past, future)).withColumn("l1", F.concat(future, past)).withColumn("p", down)
-    same = (F.size("l1") > 1) & (F.col("l0") == F.col("l1"))
-    return r.withColumn("l1", F.when(same, F.concat(F.slice("l1", 2, 1), F.slice("l1", 1, 1), F.slice(F.col("l1"), F.lit(3), F.size("l1")))).otherwise(F.col("l1")))
+    return r.withColumn("l1", swapped_if_equal(F.col("l1"), F.col("l0")))
+
+
+def swapped_if_equal(l1: Column, l0: Column) -> Column:
+    """List l1 with its first two changed over where it has two and equals l0."""
+    turned = F.concat(F.slice(l1, 2, 1), F.slice(l1, 1, 1), F.slice(l1, F.lit(3), F.size(l1)))
+    return F.when((F.size(l1) > 1) & (l0 == l1), turned).otherwise(l1)
 
 
 def with_numbers(pictures: DataFrame, period: int) -> DataFrame:

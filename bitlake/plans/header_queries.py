@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlake.functions.codec import more_data, read_te, read_u, ue_code
-from bitlake.operators import parameters, pictures
+from bitlake.operators import parameters, pictures, runs
 from bitlake.sources import framing
 
 
@@ -18,12 +18,18 @@ def se_code(value: Column) -> Column:
     return ue_code(F.when(value > 0, 2 * value - 1).otherwise(-2 * value))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bits(*parts: Column | str) -> Column:
     """The parts as bytes, with the stop bit and zeros up to a whole byte."""
     text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("1"))
-    padded = F.rpad(text, F.ceil(F.length(text) / 8).cast("int") * 8, "0")
-    at = F.sequence(F.lit(1), F.length(padded) - 7, F.lit(8))
-    return F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.conv(F.substring(padded, i, F.lit(8)), 2, 16), 2, "0")), ""))
+    padded = lambda t: F.rpad(t, F.ceil(F.length(t) / 8).cast("int") * 8, "0")
+    digit = lambda t: lambda i: F.lpad(F.conv(F.substring(t, i, F.lit(8)), 2, 16), 2, "0")
+    packed = lambda t: F.array_join(F.transform(F.sequence(F.lit(1), F.length(t) - 7, F.lit(8)), digit(t)), "")
+    return F.unhex(let(let(text, padded), packed))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -103,8 +109,9 @@ def picture_units(spark: SparkSession, d: str) -> DataFrame:
 
 def picture_sets(spark: SparkSession, d: str) -> DataFrame:
     units = picture_units(spark, d)
-    sps = parameters.versions(parameters.sequence_sets(units), "sps", "sps_id")
-    pps = parameters.with_scaling(parameters.bound(parameters.picture_sets(units), sps, F.col("pps.sps_id"), "sps"))
+    sps = parameters.sequence_sets(units).withColumn("_sps_id", F.col("sps.sps_id"))
+    pps = parameters.picture_sets(units).withColumn("_sps_id", F.col("pps.sps_id"))
+    pps = parameters.with_scaling(runs.held(pps, sps, ["stream_id", "_sps_id"], "unit_no", "sps"))
     own = [F.col(f"pps.{n}").cast("long").alias(n) for n in ("pps_id", "sps_id", "arithmetic", "refs_l0", "refs_l1", "weighted_bi", "init_qp", "chroma_offset", "transform_8x8", "second_chroma_offset")]
     return pps.select(F.col("stream_id").alias("s_suppkey"), *own, F.array_join(F.transform("matrices", lambda m: F.concat(F.element_at(m, 1).cast("string"), F.lit("/"), F.element_at(m, -1).cast("string"))), " ").alias("matrices"))
 

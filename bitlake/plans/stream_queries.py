@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlake.operators import marking, pictures
+from bitlake.operators.shared import new_folder
 from bitlake.streaming import reorder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where all executors can read and write; a local one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="bitlake-")
-    return f"{found.rstrip('/')}/bitlake-stream-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet")
 
 
 def stream_display_order(spark: SparkSession, d: str) -> DataFrame:
     """The coded pictures of all users, written as files, read as a stream and put in display order by a streaming query."""
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "stream")
     pics = pictures.with_order_counts(pictures.coded_pictures(events(spark, d))).select("stream_id", "seq", "idr", "poc", F.lit(False).alias("last"), F.concat(F.lit("p"), F.col("seq").cast("string")).alias("meta"))
     ends = pics.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).select("stream_id", "seq", F.lit(False).alias("idr"), F.lit(0).cast("long").alias("poc"), F.lit(True).alias("last"), F.lit(None).cast("string").alias("meta"))
     rows = pics.unionByName(ends)
