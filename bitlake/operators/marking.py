@@ -47,6 +47,8 @@ def slid(held: Held, most: int) -> Held:
 def marked(held: Held, frame_num: int, poc: int, marking: list, most: int, period: int) -> Held:
     """What is held after a reference picture: by its operations if it has some, else by the window."""
     own = -1
+    if any(op == 5 for op, _, _ in marking):  # the picture is then the first of a new numbering
+        frame_num = poc = 0
     for op, first, second in marking:
         if op == 6:
             own, held = first, without_index(held, first)
@@ -56,11 +58,12 @@ def marked(held: Held, frame_num: int, poc: int, marking: list, most: int, perio
     return [*held, (frame_num, poc, own)]
 
 
-def with_marked_references(pictures: DataFrame, most: int = 4, period: int = 16) -> DataFrame:
+def with_marked_references(pictures: DataFrame, most: int | None = 4, period: int | None = 16) -> DataFrame:
     """(stream_id, seq, group_no, frame_num, poc, short, long): before each picture the short-term references, oldest first, and the long-term ones by index.
 
     short and long are arrays of (frame_num, poc) and (frame_num, poc, index). Pictures that are no references change
-    nothing; a refresh picture empties its group's references first.
+    nothing; a refresh picture empties its group's references first. most and period may be null, and columns max_refs and
+    period of each picture then hold. A picture with operation 5 is kept as number 0 of order count 0; its group goes on.
     """
     pair = "array<struct<frame_num long, poc long>>"
     schema = f"stream_id long, seq long, group_no long, frame_num long, poc long, short {pair}, long array<struct<frame_num long, poc long, index long>>"
@@ -77,10 +80,11 @@ def with_marked_references(pictures: DataFrame, most: int = 4, period: int = 16)
                 rows.append((r.stream_id, r.seq, r.group_no, r.frame_num, r.poc, short, long))
                 if r.ref:
                     operations = [tuple(m) for m in r.marking] if r.marking is not None else []
-                    held = [(r.frame_num, r.poc, 0 if r.long_term else -1)] if r.idr else marked(held, r.frame_num, r.poc, operations, most, period)
+                    held = [(r.frame_num, r.poc, 0 if r.long_term else -1)] if r.idr else marked(held, r.frame_num, r.poc, operations, r.most, r.period)
             yield pd.DataFrame(rows, columns=["stream_id", "seq", "group_no", "frame_num", "poc", "short", "long"])
 
-    own = pictures.select("stream_id", "group_no", "seq", "idr", "ref", "frame_num", "poc", "marking", "long_term")
+    limits = [(F.col("max_refs") if most is None else F.lit(most)).cast("long").alias("most"), (F.col("period") if period is None else F.lit(period)).cast("long").alias("period")]
+    own = pictures.select("stream_id", "group_no", "seq", "idr", "ref", "frame_num", "poc", "marking", "long_term", *limits)
     return own.repartition("stream_id", "group_no").sortWithinPartitions("stream_id", "group_no", "seq").mapInPandas(fold, schema)
 
 
@@ -117,6 +121,66 @@ def changed(numbers: Column, operations: Column, frame_num: Column, period: int)
     return F.aggregate(operations, state, step, lambda s: s["list"])
 
 
+def modified(entries: Column, operations: Column, current: Column, period: Column) -> Column:
+    """A list of structs (number, long) after its changes, of its own length.
+
+    Operations 0 and 1 count back and forward, modulo period, from the number of the one before, first from current, and
+    name a short-term entry; 2 names a long-term one by its own number. Each puts its entry at the next place and takes it out
+    behind; one whose entry is not in the list only takes a place. Numbers of field lists are those of field_number.
+    """
+    n = F.size(entries)
+    state = F.struct(entries.alias("list"), current.cast("long").alias("last"), F.lit(0).alias("at"))
+
+    def step(s: Column, op: Column) -> Column:
+        kind, value, at = F.get(op, F.lit(0)), F.get(op, F.lit(1)), s["at"]
+        short = F.pmod(s["last"] + F.when(kind == 0, -(value + 1)).otherwise(value + 1), period)
+        number = F.when(kind == 2, value).otherwise(short)
+        named = lambda e: (e["number"] == number) & (e["long"] == (kind == 2))
+        first = F.filter(s["list"], named)
+        behind = F.filter(F.slice(s["list"], at + 1, n), lambda e: ~named(e))
+        moved = F.slice(F.concat(F.slice(s["list"], F.lit(1), at), F.slice(first, 1, 1), behind), F.lit(1), n)
+        good = (kind <= 2) & (F.size(first) > 0) & (at < n)
+        return F.struct(F.when(good, moved).otherwise(s["list"]).alias("list"), F.when(kind < 2, short).otherwise(s["last"]).alias("last"), (at + 1).alias("at"))
+
+    return F.aggregate(operations, state, step, lambda s: s["list"])
+
+
+def active(entries: Column, n: Column) -> Column:
+    """A list of n entries: its last one is repeated where it is shorter; an empty list stays empty."""
+    filled = F.concat(entries, F.array_repeat(F.element_at(entries, -1), F.greatest(n - F.size(entries), F.lit(0)).cast("int")))
+    return F.when(F.size(entries) == 0, entries).otherwise(F.slice(filled, F.lit(1), n.cast("int")))
+
+
+def field_number(frame_num: Column, bottom: Column, own: Column) -> Column:
+    """A field's number in the lists of a field of parity own: odd for the same parity."""
+    return 2 * frame_num + F.when(bottom == own, 1).otherwise(0)
+
+
+def alternating(frames: Column, bottom: Column) -> Column:
+    """The fields of an ordered list of frames, structs of frame_num, top and bottom (whether the field is there): array of (frame_num, bottom).
+
+    Fields of the own and of the other parity take turns, each list in the frames' order and without the fields that are
+    missing; where one is at its end, the rest of the other follows.
+    """
+    of = lambda low: F.transform(F.filter(frames, lambda f: F.when(low, f["bottom"]).otherwise(f["top"])), lambda f: F.struct(f["frame_num"].alias("frame_num"), low.alias("bottom")))
+    same, other = of(bottom), of(~bottom)
+    n = F.least(F.size(same), F.size(other))
+    turns = F.flatten(F.zip_with(F.slice(same, F.lit(1), n), F.slice(other, F.lit(1), n), lambda a, b: F.array(a, b)))
+    return F.concat(turns, F.slice(same, n + 1, F.size(same)), F.slice(other, n + 1, F.size(other)))
+
+
+def field_lists(frames: Column, poc: Column, bottom: Column) -> dict[str, Column]:
+    """Lists p, l0 and l1 of a field from the frames it may refer to, structs of number, frame_num, poc, top and bottom.
+
+    p goes by falling number (without wraps), l0 and l1 by distance of order count before and after; each then alternates
+    parities, and an l1 of two or more that equals l0 has its first two changed over.
+    """
+    by = lambda key: F.array_sort(F.transform(frames, lambda f: F.struct(f[key].alias("key"), f["frame_num"].alias("frame_num"), f["top"].alias("top"), f["bottom"].alias("bottom"))))
+    past, future = F.reverse(F.filter(by("poc"), lambda f: f["key"] <= poc)), F.filter(by("poc"), lambda f: f["key"] > poc)
+    l0, l1 = alternating(F.concat(past, future), bottom), alternating(F.concat(future, past), bottom)
+    return {"p": alternating(F.reverse(by("number")), bottom), "l0": l0, "l1": pictures.swapped_if_equal(l1, l0)}
+
+
 def same_parity_first(fields: Column, bottom: Column) -> Column:
     """Fields of a list, structs of frame_num and bottom: where just two neighbours share a number, that of the picture's own parity comes first."""
     numbers = F.transform(fields, lambda x: x["frame_num"])

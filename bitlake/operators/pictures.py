@@ -102,3 +102,26 @@ def order_count_plain(number: Column, ref: Column) -> Column:
 def order_count(poc_type: Column, by_low_part: Column, number: Column, ref: Column, offsets: list[int], not_ref: int) -> Column:
     """Picture order counts by the stream's type: 0 from the coded low part, 1 by a cycle of offsets, 2 in coding order."""
     return F.when(poc_type == 0, by_low_part).when(poc_type == 1, order_count_cycle(number, ref, offsets, not_ref)).otherwise(order_count_plain(number, ref))
+
+
+def with_held_frames(fields: DataFrame, most: int = 4) -> DataFrame:
+    """Field pictures (stream_id, group_no, frame_no, seq, bottom, ref, number, frame_num, poc, second) with `held`: the frames that each may refer to.
+
+    These are the last `most` frames of the group before the field's that have a reference field, with number, frame_num,
+    poc (the smaller one of its reference fields) and whether top and bottom are references; a second field's own first one, if a reference,
+    is the newest of them. A group's frames are numbered as references, and a frame looks back over `most` numbers.
+    """
+    by = ["stream_id", "group_no", "frame_no"]
+    is_ref = lambda c: F.coalesce(F.bool_or(F.col("ref") & c), F.lit(False))
+    frames = fields.groupBy(*by).agg(F.min("number").alias("number"), F.min("frame_num").alias("frame_num"), F.min(F.when(F.col("ref"), F.col("poc"))).alias("poc"), is_ref(~F.col("bottom")).alias("top"), is_ref(F.col("bottom")).alias("bottom"))
+    kept = F.col("top") | F.col("bottom")
+    group = Window.partitionBy("stream_id", "group_no")
+    ranked = frames.withColumn("_at", F.coalesce(F.sum(kept.cast("long")).over(group.orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    frame = F.struct("number", "frame_num", "poc", "top", "bottom")
+    ranked = ranked.withColumn("_held", F.collect_list(F.when(kept, frame)).over(group.orderBy("_at").rangeBetween(-most, -1)))
+    looked = fields.alias("f").join(ranked.select(*by, "_held").alias("h"), F.struct(*(f"f.{b}" for b in by)) == F.struct(*(f"h.{b}" for b in by))).select("f.*", "_held")
+    first = Window.partitionBy(*by).orderBy("seq")
+    own = F.when(F.col("second"), F.lag(F.when(F.col("ref"), F.struct("number", "frame_num", "poc", (~F.col("bottom")).alias("top"), "bottom"))).over(first))
+    looked = looked.withColumn("_own", own)
+    held = F.when(F.col("_own").isNull(), F.col("_held")).otherwise(F.concat(F.slice("_held", F.greatest(F.size("_held") - most + 2, F.lit(1)), F.greatest(F.size("_held"), F.lit(1))), F.array("_own")))
+    return looked.withColumn("held", held).drop("_held", "_own")
