@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitlake.functions.codec import clip, six_tap, temporal_scale
+from bitlake.functions.codec import six_tap, temporal_scale
+from bitlake.functions.either import absolute, choose, clip, entry, greatest, quotient, scaled_down, scaled_up, shift
 
 # Scaling of a coefficient by quality modulo 6: both places even, both odd, else.
 SCALES = [[10, 16, 13], [11, 18, 14], [13, 20, 16], [14, 23, 18], [16, 25, 20], [18, 29, 23]]
@@ -17,15 +18,13 @@ def power(k: Column) -> Column:
 
 def scale_of(qp: Column, x: int, y: int) -> Column:
     kind = 0 if x % 2 == y % 2 == 0 else 1 if x % 2 == y % 2 == 1 else 2
-    return F.element_at(F.array(*(F.lit(row[kind]) for row in SCALES)), (qp % 6 + 1).cast("int")).cast("long")
+    return entry([row[kind] for row in SCALES], qp % 6)
 
 
 def dequantised(level: Column, qp: Column, x: int, y: int) -> Column:
     """A level of a 4x4 block at (x, y) under the flat matrix of sixteens, rounded where quality is under 24."""
-    scaled, octave = level * scale_of(qp, x, y) * 16, F.floor(qp / 6).cast("int")
-    up = scaled * power(F.greatest(octave - 4, F.lit(0)))
-    down = F.floor((scaled + power(F.greatest(3 - octave, F.lit(0)))) / power(F.greatest(4 - octave, F.lit(0)))).cast("long")
-    return F.when(octave >= 4, up).otherwise(down)
+    scaled, octave = level * scale_of(qp, x, y) * 16, quotient(qp, 6)
+    return choose(octave >= 4, scaled_up(scaled, greatest(octave - 4, 0)), scaled_down(scaled, greatest(4 - octave, 1)))
 
 
 def dequantised_chroma_dc(value: Column, qp: Column) -> Column:
@@ -33,7 +32,7 @@ def dequantised_chroma_dc(value: Column, qp: Column) -> Column:
 
 
 def butterfly(a: Column, b: Column, c: Column, d: Column) -> list[Column]:
-    even, odd, half, whole = a + c, a - c, F.shiftright(b, 1) - d, b + F.shiftright(d, 1)
+    even, odd, half, whole = a + c, a - c, shift(b, 1) - d, b + shift(d, 1)
     return [even + whole, odd + half, odd - half, even - whole]
 
 
@@ -53,7 +52,7 @@ def hadamard4(block: list[Column]) -> list[Column]:
 
 def second_half(block: list[Column]) -> list[Column]:
     """The columns' half of the inverse 4x4 transform, rounded to residuals."""
-    return [F.shiftright(v + 32, 6) for v in flipped(by_rows(flipped(block), butterfly))]
+    return [shift(v + 32, 6) for v in flipped(by_rows(flipped(block), butterfly))]
 
 
 def quarter_sample(taps: list[Column]) -> Column:
@@ -72,10 +71,10 @@ def plane(above: list[Column], left: list[Column], corner: Column, x: int, y: in
 
 def strong_filter(p3: Column, p2: Column, p1: Column, p0: Column, q0: Column, q1: Column, alpha: int, beta: int) -> list[Column]:
     """(p0, p1, p2) after the filter of strength 4; without a smooth side only p0 changes."""
-    smooth = (F.abs(p2 - p0) < beta) & (F.abs(p0 - q0) < (alpha >> 2) + 2)
-    changed = [F.shiftright(p2 + 2 * (p1 + p0 + q0) + q1 + 4, 3), F.shiftright(p2 + p1 + p0 + q0 + 2, 2), F.shiftright(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4, 3)]
-    plain = [F.shiftright(2 * p1 + p0 + q1 + 2, 2), p1, p2]
-    return [F.when(smooth, a).otherwise(b) for a, b in zip(changed, plain, strict=True)]
+    smooth = (absolute(p2 - p0) < beta) & (absolute(p0 - q0) < (alpha >> 2) + 2)
+    changed = [shift(p2 + 2 * (p1 + p0 + q0) + q1 + 4, 3), shift(p2 + p1 + p0 + q0 + 2, 2), shift(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4, 3)]
+    plain = [shift(2 * p1 + p0 + q1 + 2, 2), p1, p2]
+    return [choose(smooth, a, b) for a, b in zip(changed, plain, strict=True)]
 
 
 def edge_strength(intra: Column, outer: Column, coded: Column, other_picture: Column, dx: Column, dy: Column) -> Column:

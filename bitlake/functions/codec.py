@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from bitlake.functions.either import clip, shift
+
 # Chroma quality by luma quality from 30 up.
 CHROMA_QP = [29, 30, 31, 32, 32, 33, 34, 34, 35, 35, 36, 36, 37, 37, 37, 38, 38, 38, 39, 39, 39, 39]
 
 
-def clip(v: Column, lo: int, hi: int) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), v))
-
-
 def ue_code(v: Column) -> Column:
     """The Exp-Golomb code of a number as a bit string."""
     digits = F.bin(v + 1)
@@ -71,7 +69,7 @@ def weighted_bi(a: Column, b: Column, denom: int, w0: Column, w1: Column, offset
 def six_tap(taps: list[Column]) -> Column:
     """The half-sample value between the third and the fourth of six neighbours."""
     s = taps
-    return clip(F.shiftright(s[0] - 5 * s[1] + 20 * s[2] + 20 * s[3] - 5 * s[4] + s[5] + 16, 5), 0, 255)
+    return clip(shift(s[0] - 5 * s[1] + 20 * s[2] + 20 * s[3] - 5 * s[4] + s[5] + 16, 5), 0, 255)
 
 
 def bilinear(a: Column, b: Column, c: Column, d: Column, x: Column, y: Column) -> Column:

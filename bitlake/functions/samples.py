@@ -1,25 +1,25 @@
-"""Column expressions over samples: all spatial modes, all quarter places, the 8x8 transform and scaling, both sides of an edge."""
+"""Kernels over samples, of Columns or NumPy arrays: all spatial modes, all quarter places, the 8x8 transform and scaling, both sides of an edge."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitlake.functions.blocks import SCALES, power, strong_filter
-from bitlake.functions.codec import clip, six_tap
+from bitlake.functions.blocks import SCALES, strong_filter
+from bitlake.functions.codec import six_tap
+from bitlake.functions.either import absolute, choose, clip, entry, greatest, number, quotient, scaled_down, scaled_up, shift
 
 # Scaling of an 8x8 coefficient by quality modulo 6: by the six kinds of places in order of 8x8 kind.
 SCALES_8X8 = [[20, 18, 32, 19, 25, 24], [22, 19, 35, 21, 28, 26], [26, 23, 42, 24, 33, 31], [28, 25, 45, 26, 35, 33], [32, 28, 51, 30, 40, 38], [36, 32, 58, 34, 46, 43]]
-# The two samples whose mean is the value at each quarter place (across, down): whole samples are 0, half ones across,
-# down and both are h, v and m; a sign is the next row or column.
+# The two samples whose mean is the value at each quarter place (across, down): half ones across, down and both are h, v and m.
 QUARTERS = {
-    (1, 0): "0 h", (3, 0): "h 0>", (0, 1): "0 v", (0, 3): "v 0v", (2, 1): "h m", (2, 3): "m hv", (1, 2): "v m", (3, 2): "m v>",
-    (1, 1): "h v", (3, 1): "h v>", (1, 3): "v hv", (3, 3): "v> hv",
+    (1, 0): ("whole", "h"), (3, 0): ("h", "whole right"), (0, 1): ("whole", "v"), (0, 3): ("v", "whole below"), (2, 1): ("h", "m"), (2, 3): ("m", "h below"),
+    (1, 2): ("v", "m"), (3, 2): ("m", "v right"), (1, 1): ("h", "v"), (3, 1): ("h", "v right"), (1, 3): ("v", "h below"), (3, 3): ("v right", "h below"),
 }
 
 
-def rounded(total: Column, shift: int) -> Column:
-    return F.shiftright(total + (1 << shift - 1), shift)
+def rounded(total: Column, places: int) -> Column:
+    return shift(total + (1 << places - 1), places)
 
 
 # Spatial prediction. A block's neighbours are one line: left ones upwards at -n to -1, the corner at 0, upper ones from 1.
@@ -98,10 +98,10 @@ def fractional(patch: list[Column], x: int, y: int) -> Column:
     row = lambda r: patch[6 * r : 6 * r + 6]
     column = lambda c: patch[c::6]
     raw = lambda s: s[0] - 5 * s[1] + 20 * s[2] + 20 * s[3] - 5 * s[4] + s[5]
-    made = {"0": patch[14], "0>": patch[15], "0v": patch[20], "h": six_tap(row(2)), "hv": six_tap(row(3)), "v": six_tap(column(2)), "v>": six_tap(column(3)), "m": clip(rounded(raw([raw(row(r)) for r in range(6)]), 10), 0, 255)}
+    made = {"whole": patch[14], "whole right": patch[15], "whole below": patch[20], "h": six_tap(row(2)), "h below": six_tap(row(3)), "v": six_tap(column(2)), "v right": six_tap(column(3)), "m": clip(rounded(raw([raw(row(r)) for r in range(6)]), 10), 0, 255)}
     if x % 2 == y % 2 == 0:
-        return made[{(0, 0): "0", (2, 0): "h", (0, 2): "v", (2, 2): "m"}[x, y]]
-    a, b = QUARTERS[x, y].split()
+        return made[{(0, 0): "whole", (2, 0): "h", (0, 2): "v", (2, 2): "m"}[x, y]]
+    a, b = QUARTERS[x, y]
     return rounded(made[a] + made[b], 1)
 
 
@@ -112,12 +112,11 @@ def weighted_implicit(a: Column, b: Column, w0: Column, w1: Column) -> Column:
 # Scaling by matrices, and the 8x8 transform.
 
 
-def scaled(level: Column, qp: Column, scales: list[int], weight: Column, shift: int) -> Column:
-    """A level times its scale and weight, shifted by quality / 6 - shift; rounded where that is to the right."""
-    octave = F.floor(qp / 6).cast("int")
-    v = level * F.get(F.array(*map(F.lit, scales)), (qp % 6).cast("int")).cast("long") * weight
-    right = F.greatest(shift - octave, F.lit(1))
-    return F.when(octave >= shift, v * power(F.greatest(octave - shift, F.lit(0)))).otherwise(F.floor((v + power(right - 1)) / power(right)).cast("long"))
+def scaled(level: Column, qp: Column, scales: list[int], weight: Column, places: int) -> Column:
+    """A level times its scale and weight, shifted by quality / 6 - places; rounded where that is to the right."""
+    octave = quotient(qp, 6)
+    v = level * entry(scales, qp % 6) * weight
+    return choose(octave >= places, scaled_up(v, greatest(octave - places, 0)), scaled_down(v, greatest(places - octave, 1)))
 
 
 def scaled4(level: Column, qp: Column, x: int, y: int, weight: Column) -> Column:
@@ -150,8 +149,8 @@ def scaled8(level: Column, qp: Column, x: int, y: int, weight: Column) -> Column
 
 def line8(v: list[Column]) -> list[Column]:
     """One line of the inverse 8x8 transform: the even half is the 4-point one's kind, the odd half mixes quarters."""
-    half = lambda c: F.shiftright(c, 1)
-    quarter = lambda c: F.shiftright(c, 2)
+    half = lambda c: shift(c, 1)
+    quarter = lambda c: shift(c, 2)
     s, d, e, f = v[0] + v[4], v[0] - v[4], half(v[2]) - v[6], v[2] + half(v[6])
     even = [s + f, d + e, d - e, s - f]
     o = [v[5] - v[3] - v[7] - half(v[7]), v[1] + v[7] - v[3] - half(v[3]), v[7] - v[1] + v[5] + half(v[5]), v[3] + v[5] + v[1] + half(v[1])]
@@ -172,11 +171,11 @@ def across(block: list[Column], n: int) -> list[Column]:
 
 def normal_filter(p: list[Column], q: list[Column], tc0: int, beta: int) -> list[Column]:
     """(p0, p1, q0, q1) after the filter of strengths 1 to 3, from three samples of each side."""
-    flat = [F.abs(side[2] - side[0]) < beta for side in (p, q)]
-    tc = F.lit(tc0) + flat[0].cast("int") + flat[1].cast("int")
-    move = F.greatest(-tc, F.least(tc, rounded((q[0] - p[0]) * 4 + (p[1] - q[1]), 3)))
+    flat = [absolute(side[2] - side[0]) < beta for side in (p, q)]
+    tc = number(flat[0]) + number(flat[1]) + tc0
+    move = clip(rounded((q[0] - p[0]) * 4 + (p[1] - q[1]), 3), -tc, tc)
     mid = rounded(p[0] + q[0], 1)
-    second = [F.when(f, side[1] + clip(F.shiftright(side[2] + mid, 1) - side[1], -tc0, tc0)).otherwise(side[1]) for f, side in zip(flat, (p, q), strict=True)]
+    second = [choose(f, side[1] + clip(shift(side[2] + mid, 1) - side[1], -tc0, tc0), side[1]) for f, side in zip(flat, (p, q), strict=True)]
     return [clip(p[0] + move, 0, 255), second[0], clip(q[0] - move, 0, 255), second[1]]
 
 

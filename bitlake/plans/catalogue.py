@@ -168,6 +168,6 @@ for _name, _width in WHOLE.items():
     QUERIES[f"whole_{_name}"] = of_groups(_width, _makers[_name])
     SQL[f"whole_{_name}"] = groups_sql(_width) + _sql[_name].replace("SELECT doc_id,", "SELECT doc_id, group_no,")
 for _name, _make in sample_queries.MAKERS.items():
-    QUERIES[_name] = of_groups(sample_queries.WIDTHS[_name], _make)
-QUERIES |= sample_queries.QUERIES | sample_queries.inverses(groups) | stream_queries.QUERIES | assembly_queries.QUERIES
+    QUERIES[_name] = sample_queries.of_arrays(sample_queries.WIDTHS[_name], _make)
+QUERIES |= sample_queries.QUERIES | stream_queries.QUERIES | assembly_queries.QUERIES
 SQL |= sample_queries.sql(groups_sql) | stream_queries.sql(PICS) | assembly_queries.SQL

@@ -5,76 +5,127 @@ The SQL is written from the formulas of single samples, by coordinates, not from
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitlake.functions import blocks, motion, samples
 
 #: By each query over groups of bytes, the bytes that a group has.
-WIDTHS = {"intra4_modes": 13, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4}
+WIDTHS = {"intra4_modes": 13, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4, "inverse4_both": 16, "inverse8_both": 64, "whole_dequantise": 16}
 
 
-def text(values: list[Column]) -> Column:
-    return F.array_join(F.array(*(v.cast("long") for v in values)).cast("array<string>"), " ")
+#: Groups of one batch of arrays.
+GROUPS = 16_384
 
 
-def line(s: tuple[Column, ...], n: int) -> samples.Line:
-    return samples.Line(list(s[: 2 * n]), list(s[2 * n : 3 * n]), s[3 * n])
+def line(s: list, n: int) -> samples.Line:
+    return samples.Line(s[: 2 * n], s[2 * n : 3 * n], s[3 * n])
 
 
 def modes(n: int, filtered: bool):
-    def make(*s: Column) -> list[Column]:
+    def make(s: list) -> dict:
         used = line(s, n).filtered() if filtered else line(s, n)
-        return [text(samples.predicted(m, used, n)).alias(f"m{m}") for m in range(9)]
+        return {f"m{m}": samples.predicted(m, used, n) for m in range(9)}
 
     return make
 
 
-def modes16(*s: Column) -> list[Column]:
-    above, left, corner = list(s[:16]), list(s[16:32]), s[32]
-    means = [samples.average(a, b).cast("long").alias(f"dc{i}") for i, (a, b) in enumerate(((above, left), (above, None), (None, left), (None, None)))]
-    return [*means, text(samples.plane16(above, left, corner)).alias("plane")]
-
+def modes16(s: list) -> dict:
+    above, left, corner = s[:16], s[16:32], s[32]
+    means = {f"dc{i}": samples.average(a, b) for i, (a, b) in enumerate(((above, left), (above, None), (None, left)))}
+    return means | {"dc3": np.full_like(corner, 128), "plane": samples.plane16(above, left, corner)}
 
-def wide(s: tuple[Column, ...]) -> list[Column]:
-    return [v.cast("long") for v in s]
 
-
-def inverse8(*s: Column) -> list[Column]:
-    """Both passes, each from its own levels, so that no expression holds the other's."""
-    v = [x - 128 for x in wide(s)]
-    rows = samples.by_lines(v, 8, samples.line8)
+def inverse8(s: list) -> dict:
+    """Both passes, each from its own levels."""
+    v = [x - 128 for x in s]
     down = samples.across(samples.by_lines(samples.across([64 * x for x in v], 8), 8, samples.line8), 8)
-    return [text(rows).alias("rows"), text([F.shiftright(x + 32, 6) for x in down]).alias("columns")]
+    return {"rows": samples.by_lines(v, 8, samples.line8), "columns": [samples.rounded(x, 6) for x in down]}
 
 
-def matrix_scaling(*s: Column) -> list[Column]:
-    v, qp = wide(s), s[0] % 52
+def matrix_scaling(v: list) -> dict:
+    qp = v[0] % 52
     four = [samples.scaled4(v[i] - 128, qp, i % 4, i // 4, v[15 - i] % 64 + 1) for i in range(16)]
-    return [text(four).alias("levels"), text([samples.scaled_chroma_dc(v[i] - 128, qp, v[1] % 64 + 1) for i in range(4)]).alias("chroma")]
+    return {"levels": four, "chroma": [samples.scaled_chroma_dc(v[i] - 128, qp, v[1] % 64 + 1) for i in range(4)]}
 
 
-def edge_both_sides(*s: Column) -> list[Column]:
-    p, q = list(s[3::-1]), list(s[4:])
-    return [text(samples.normal_filter(p[:3], q[:3], 4, 40)).alias("normal"), text(samples.strong_filter_both(p, q, 60, 40)).alias("strong")]
+def edge_both_sides(s: list) -> dict:
+    p, q = s[3::-1], s[4:]
+    return {"normal": samples.normal_filter(p[:3], q[:3], 4, 40), "strong": samples.strong_filter_both(p, q, 60, 40)}
 
 
-def edge_chroma(*s: Column) -> list[Column]:
+def edge_chroma(s: list) -> dict:
     p, q = [s[1], s[0]], [s[2], s[3]]
-    return [text(samples.normal_filter_chroma(p, q, 3)).alias("normal"), text(samples.strong_filter_chroma(p, q)).alias("strong")]
+    return {"normal": samples.normal_filter_chroma(p, q, 3), "strong": samples.strong_filter_chroma(p, q)}
+
 
+def inverse(n: int, use):
+    """The inverse transform of n x n blocks: the lines, then the columns of what they give."""
+
+    def make(s: list) -> dict:
+        lines = samples.across(samples.by_lines([v - 128 for v in s], n, use), n)
+        return {"residual": [samples.rounded(v, 6) for v in samples.across(samples.by_lines(lines, n, use), n)]}
+
+    return make
 
+
+#: By each query, what makes its columns of a group's samples: a list becomes a text of its numbers, one array a number.
 MAKERS = {
     "intra4_modes": modes(4, False), "intra8_modes": modes(8, True), "intra16_modes": modes16,
-    "quarter_places": lambda *s: [text([samples.fractional(list(s), x, y) for y in range(4) for x in range(4)]).alias("places")],
+    "quarter_places": lambda s: {"places": [samples.fractional(s, x, y) for y in range(4) for x in range(4)]},
     "inverse8": inverse8, "matrix_scaling": matrix_scaling,
-    "scaling8": lambda *s: [text([samples.scaled8(v - 128, s[0] % 52, i % 8, i // 8, wide(s)[63 - i] % 64 + 1) for i, v in enumerate(wide(s))]).alias("levels")],
-    "luma_dc": lambda *s: [text([samples.scaled_luma_dc(v - 128, s[0] % 52, wide(s)[1] % 64 + 1) for v in wide(s)]).alias("levels")],
+    "scaling8": lambda s: {"levels": [samples.scaled8(v - 128, s[0] % 52, i % 8, i // 8, s[63 - i] % 64 + 1) for i, v in enumerate(s)]},
+    "luma_dc": lambda s: {"levels": [samples.scaled_luma_dc(v - 128, s[0] % 52, s[1] % 64 + 1) for v in s]},
     "edge_both_sides": edge_both_sides, "edge_chroma": edge_chroma,
-    "implicit_samples": lambda *s: [samples.weighted_implicit(s[0], s[1], s[2] % 129 - 32, 64 - (s[2] % 129 - 32)).cast("long").alias("value")],
+    "implicit_samples": lambda s: {"value": samples.weighted_implicit(s[0], s[1], s[2] % 129 - 32, 64 - (s[2] % 129 - 32))},
+    "inverse4_both": inverse(4, lambda v: blocks.butterfly(*v)), "inverse8_both": inverse(8, samples.line8),
+    "whole_dequantise": lambda s: {f"d{i}": blocks.dequantised(v - 128, s[0] % 52, i % 4, i // 4) for i, v in enumerate(s)},
 }
 
 
+def of_arrays(width: int, make):
+    """A query of (doc_id, group_no, what make gives) over whole texts in groups of `width` bytes, as arrays; texts are padded by Q.
+
+    Null and empty texts have one group, of a null text's all values are null.
+    """
+
+    def cut(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([max(1, -(-len(t or b"") // width)) for t in texts])
+        whole = b"".join((t or b"").ljust(k * width, b"Q") for t, k in zip(texts, n.tolist(), strict=True))
+        return np.frombuffer(whole, np.uint8).reshape(-1, width), np.repeat(np.arange(len(texts)), n), np.concatenate([np.arange(k) for k in n])
+
+    def column(value, null: np.ndarray) -> pa.Array:
+        if not isinstance(value, list):
+            return pa.array(value.astype(np.int64), mask=null)
+        flat = pa.array(np.stack(value, axis=1).reshape(-1).astype(np.int64))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(null) + 1, dtype=np.int32) * len(value)), flat.cast(pa.string()))
+        return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), pc.binary_join(rows, " "))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            if not texts:
+                continue
+            bytes_, doc, group = cut(texts)
+            null = np.array([t is None for t in texts])[doc]
+            for at in range(0, len(doc), GROUPS):
+                own = slice(at, at + GROUPS)
+                made = make(list(np.ascontiguousarray(bytes_[own].T).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[own])), pa.array(group[own]), *(column(v, null[own]) for v in made.values())], names=["doc_id", "group_no", *made])
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+        columns = ", ".join(f"`{k}` {'string' if isinstance(v, list) else 'bigint'}" for k, v in make([np.zeros(1, np.int64)] * width).items())
+        return docs.mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, group_no bigint, {columns}")
+
+    return query
+
+
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Events of a user as blocks in rows of eight with vectors and references, and their left, upper and upper-right neighbours.
 
@@ -116,23 +167,6 @@ def spatial(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(spark, d).select("event_id", v["x"].alias("x"), v["y"].alias("y"), v["ref"].alias("ref"))
 
 
-def inverse(n: int, use, groups):
-    """The inverse transform of n x n blocks: the lines, then the columns of what they give, in two projections."""
-
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        s = [F.col(f"s{i + 1}").cast("long") - 128 for i in range(n * n)]
-        lines = groups(spark, d, n * n).select("doc_id", "group_no", *(v.alias(f"r{i}") for i, v in enumerate(samples.by_lines(s, n, use))))
-        r = samples.across([F.col(f"r{i}") for i in range(n * n)], n)
-        down = samples.across(samples.by_lines(r, n, use), n)
-        return lines.select("doc_id", "group_no", text([samples.rounded(v, 6) for v in down]).alias("residual"))
-
-    return query
-
-
-def inverses(groups) -> dict:
-    return {"inverse4_both": inverse(4, lambda v: blocks.butterfly(*v), groups), "inverse8_both": inverse(8, samples.line8, groups)}
-
-
 QUERIES = {"spatial_vectors": spatial, "vector_rules": vectors, "direct_vectors": direct, "motion_differs": differs}
 
 
