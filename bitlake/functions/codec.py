@@ -73,7 +73,7 @@ def six_tap(taps: list[Column]) -> Column:
 
 
 def bilinear(a: Column, b: Column, c: Column, d: Column, x: Column, y: Column) -> Column:
-    return F.shiftright((8 - x) * (8 - y) * a + x * (8 - y) * b + (8 - x) * y * c + x * y * d + 32, 6)
+    return shift((8 - x) * (8 - y) * a + x * (8 - y) * b + (8 - x) * y * c + x * y * d + 32, 6)
 
 
 def median(a: Column, b: Column, c: Column) -> Column:

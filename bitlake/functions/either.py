@@ -61,3 +61,8 @@ def number(flag: Value) -> Value:
 def entry(table: list[int], at: Value) -> Value:
     """The entry of a short table at a place, from 0."""
     return np.array(table)[at] if is_array(at) else F.get(F.array(*map(F.lit, table)), at.cast("int")).cast("long")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

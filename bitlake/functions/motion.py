@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bitlake.functions.blocks import least_reference
+from bitlake.functions.blocks import implicit_weights, least_reference
 from bitlake.functions.codec import median, temporal_scale
+from bitlake.functions.either import clip
 
 #: For the halves of a block: which neighbour decides alone if it has the block's reference.
 FIRST = {("16x8", 0): "b", ("16x8", 1): "a", ("8x16", 0): "a", ("8x16", 1): "c"}
@@ -74,3 +75,15 @@ def agrees(p: Column, q: Column) -> Column:
 def motion_differs(p0: Column, p1: Column, q0: Column, q1: Column) -> Column:
     """Whether the motion of two blocks with two lists differs: not alike in either order of the lists."""
     return ~((agrees(p0, q0) & agrees(p1, q1)) | (agrees(p0, q1) & agrees(p1, q0)))
+
+
+def implicit_matrix(l0: Column, l1: Column, poc: Column) -> Column:
+    """array<array<bigint>>: for each picture of l0 and each of l1, by order counts, the first one's weight; the second's is 64 less it."""
+    distance = lambda a, b: clip(a - b, -128, 127)
+    weight = lambda a, b: implicit_weights(distance(poc, a), F.when(a == b, 1).otherwise(distance(b, a)))[0]
+    return F.transform(l0, lambda a: F.transform(l1, lambda b: F.when(a == b, 32).otherwise(weight(a, b)).cast("long")))
+
+
+def direct_map(used: Column, l0: Column) -> Column:
+    """The place in list l0, from 0, of the picture that a co-located block uses, by order count; 0 where the list lacks it, and for an empty list."""
+    return F.greatest(F.coalesce(F.array_position(l0, used), F.lit(0)) - 1, F.lit(0))

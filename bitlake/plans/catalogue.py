@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bitlake.functions import codec
 from bitlake.operators import pictures
-from bitlake.plans import assembly_queries, block_queries, grid_queries, header_queries, sample_queries, stream_queries
+from bitlake.plans import assembly_queries, block_queries, grid_queries, header_queries, prediction_queries, sample_queries, stream_queries
 from bitlake.sources import framing
 
 
@@ -169,5 +169,5 @@ for _name, _width in WHOLE.items():
     SQL[f"whole_{_name}"] = groups_sql(_width) + _sql[_name].replace("SELECT doc_id,", "SELECT doc_id, group_no,")
 for _name, _make in sample_queries.MAKERS.items():
     QUERIES[_name] = sample_queries.of_arrays(sample_queries.WIDTHS[_name], _make)
-QUERIES |= sample_queries.QUERIES | stream_queries.QUERIES | assembly_queries.QUERIES | grid_queries.QUERIES
-SQL |= sample_queries.sql(groups_sql) | stream_queries.sql(PICS) | assembly_queries.SQL | grid_queries.SQL
+QUERIES |= sample_queries.QUERIES | stream_queries.QUERIES | assembly_queries.QUERIES | grid_queries.QUERIES | prediction_queries.QUERIES
+SQL |= sample_queries.sql(groups_sql) | stream_queries.sql(PICS) | assembly_queries.SQL | grid_queries.SQL | prediction_queries.sql(PICS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitlake.functions.codec import more_data, read_te, read_u, ue_code
+from bitlake.functions.either import let
 from bitlake.operators import parameters, pictures, runs
 from bitlake.sources import framing
 
@@ -18,11 +19,6 @@ def se_code(value: Column) -> Column:
     return ue_code(F.when(value > 0, 2 * value - 1).otherwise(-2 * value))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def bits(*parts: Column | str) -> Column:
     """The parts as bytes, with the stop bit and zeros up to a whole byte."""
     text = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("1"))

@@ -231,7 +231,7 @@ def _intra16_sql() -> str:
     return f", g AS (SELECT *, {grade(0)} h, {grade(16)} v FROM s) SELECT doc_id, group_no, (({up} + {side} + 16) >> 5)::BIGINT dc0, (({up} + 8) >> 4)::BIGINT dc1, (({side} + 8) >> 4)::BIGINT dc2, 128::BIGINT dc3, {plane} plane FROM g"
 
 
-def _quarter_sql() -> str:
+def quarter_places_sql() -> str:
     s = lambda x, y: f"s{6 * (y + 2) + x + 3}"
     raw = lambda v: f"({v[0]} - 5 * {v[1]} + 20 * {v[2]} + 20 * {v[3]} - 5 * {v[4]} + {v[5]})"
     h = lambda y: _clip(f"({raw([s(x, y) for x in range(-2, 4)])} + 16) >> 5")
@@ -325,7 +325,7 @@ def sql(groups_sql) -> dict[str, str]:
         "intra4_modes": f" SELECT doc_id, group_no, {', '.join(_mode_sql(4, direct4, lambda i: f's{i + 9}', 's13'))} FROM s",
         "intra8_modes": _filtered_sql() + f" SELECT doc_id, group_no, {', '.join(_mode_sql(8, lambda i: f'u{i}', lambda i: f'l{i}', 'c'))} FROM f",
         "intra16_modes": _intra16_sql(),
-        "quarter_places": _quarter_sql(),
+        "quarter_places": quarter_places_sql(),
         "inverse8": _inverse8_sql(),
         "matrix_scaling": _four_sql(),
         "scaling8": _eight_sql(),
