@@ -43,7 +43,6 @@ DISGUISED = re.compile(r"[a-zà-ÿ]+[01345789@$!€][\w@$!€]*|[01345789@$€][
 SPACED = re.compile(r"\b\w(?:[.\-_*]\w){2,}\b")
 WORDS = re.compile(r"[^\W\d_]+")
 MAX_LABELLED = 50_000
-MAX_WORDS = 2_000
 
 
 def fold(text: str) -> str:
@@ -104,7 +103,7 @@ def _mined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         n = Counter()
         for text, y in zip(pdf["text"], pdf["y"], strict=True):
-            n.update((w, y) for w in {w for w in WORDS.findall(fold(text or "")) if 3 <= len(w) <= 40})
+            n.update((w, y) for w in {w for w in WORDS.findall(fold(text or ""))})
         if n:
             yield pd.DataFrame([(w, y, k) for (w, y), k in n.items()], columns=["word", "y", "n"])
 
@@ -131,7 +130,7 @@ def fit(labelled: DataFrame, general: list[str] = LEXICON, least: float = 10.0)
     odds = F.log((F.col("a") + 0.1) / F.lit(pos + 1.0)) - F.log((F.col("b") + 0.1) / F.lit(neg + 1.0))
     known = list(weights)
     found = counts.withColumn("g2", ratio).withColumn("odds", odds).where(((F.col("g2") >= least) & (F.col("odds") >= 2)) | F.col("word").isin(known))
-    for r in found.orderBy(F.desc("g2"), "word").limit(MAX_WORDS).collect():
+    for r in found.orderBy(F.desc("g2"), "word").collect():
         weights[r["word"]] = min(6.0, r["odds"]) if r["word"] not in known else max(0.5, min(6.0, r["odds"])) if r["a"] + r["b"] >= 5 else 3.0
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
