@@ -42,26 +42,27 @@ def with_neighbours(blocks: DataFrame, picture: list[str], asked: dict[str, tupl
     names = blocks.columns
     kinds = dict(blocks.dtypes)
     steps = {f"_{k}_{axis}": (d if isinstance(d, Column) else F.lit(d)).cast("int") for k, pair in asked.items() for axis, d in zip("xy", pair, strict=True)}
-    tile = lambda c, d: F.floor((F.col(c) + d) / SIDE)
+    tile = lambda c, d: F.greatest(F.floor((F.col(c) + d) / SIDE), F.lit(0))  # no block lies left of or above 0
     spread = lambda c: F.explode(F.array_distinct(F.array(tile(c, -REACH), tile(c, 0), tile(c, REACH))))
     rows = blocks.withColumns(steps).withColumn("_tx", spread("x")).withColumn("_ty", spread("y"))
     one = ", ".join(f"`{v}`: {kinds[v]}" for v in values)
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), *(f"`{k}` struct<{one}>" for k in asked)])
-    edge = SIDE + 2 * REACH
+    edge, wanted = SIDE + 2 * REACH, list(asked)
+    side, reach = SIDE, REACH
 
     def look(table: pa.Table) -> pa.Table:
         get = lambda n: table.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
-        x, y = get("x") - get("_tx") * SIDE + REACH, get("y") - get("_ty") * SIDE + REACH
+        x, y = get("x") - get("_tx") * side + reach, get("y") - get("_ty") * side + reach
         at = np.full((edge, edge), -1)
         at[y, x] = np.arange(len(x))
-        own = np.flatnonzero((x >= REACH) & (x < edge - REACH) & (y >= REACH) & (y < edge - REACH))
+        own = np.flatnonzero((x >= reach) & (x < edge - reach) & (y >= reach) & (y < edge - reach))
         columns = [table.column(n).take(pa.array(own)) for n in names]
-        for k in asked:
+        for k in wanted:
             found = at[y[own] + get(f"_{k}_y")[own], x[own] + get(f"_{k}_x")[own]]
             index = pa.array(found, mask=found < 0)
             fields = [table.column(v).combine_chunks().take(index) for v in values]
             columns.append(pa.StructArray.from_arrays([f.combine_chunks() if isinstance(f, pa.ChunkedArray) else f for f in fields], names=values, mask=pa.array(found < 0)))
-        return pa.table(columns, names=[*names, *asked])
+        return pa.table(columns, names=[*names, *wanted])
 
     return rows.groupBy(*picture, "_tx", "_ty").applyInArrow(look, schema)
 
