@@ -87,3 +87,8 @@ def implicit_matrix(l0: Column, l1: Column, poc: Column) -> Column:
 def direct_map(used: Column, l0: Column) -> Column:
     """The place in list l0, from 0, of the picture that a co-located block uses, by order count; 0 where the list lacks it, and for an empty list."""
     return F.greatest(F.coalesce(F.array_position(l0, used), F.lit(0)) - 1, F.lit(0))
+
+
+def listed(entries: Column, index: Column) -> Column:
+    """The entry of a list at an index, beyond its ends the first or the last one; null for an empty list."""
+    return F.get(entries, F.greatest(F.least(index, F.size(entries) - 1), F.lit(0)).cast("int"))

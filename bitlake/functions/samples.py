@@ -79,6 +79,36 @@ def predicted(mode: int, line: Line, n: int) -> list[Column]:
     return [value(x, y) for y in range(n) for x in range(n)]
 
 
+def filled(above: list[Column], left: list[Column], corner: Column, n: int, has: dict[str, Column]) -> Line:
+    """A block's line where sides may be missing (has: above, left, corner, right): 128 for them, the last upper sample for missing upper-right ones."""
+    right = [choose(has["right"], v, above[n - 1]) for v in above[n:]]
+    return Line([choose(has["above"], v, 128) for v in above[:n] + right], [choose(has["left"], v, 128) for v in left], choose(has["corner"], corner, 128))
+
+
+def filled_filtered(above: list[Column], left: list[Column], corner: Column, n: int, has: dict[str, Column]) -> Line:
+    """The filtered line of an 8x8 block where sides may be missing: without the corner a side's first sample counts for it, missing sides stay 128."""
+    plain = filled(above, left, corner, n, has)
+    of = lambda first: Line(plain.above, plain.left, choose(has["corner"], corner, first)).filtered()
+    upper, lower = of(plain.above[0]), of(plain.left[0])
+    return Line([choose(has["above"], v, 128) for v in upper.above], [choose(has["left"], v, 128) for v in lower.left], upper.at[0])
+
+
+def mean_of_sides(above: list[Column], left: list[Column], has: dict[str, Column]) -> Column:
+    """The mean of those of two sides that are there; 128 without any."""
+    one = choose(has["above"], average(above, None), choose(has["left"], average(None, left), 128))
+    return choose(has["above"] & has["left"], average(above, left), one)
+
+
+def chroma_means(above: list[Column], left: list[Column], has: dict[str, Column]) -> list[Column]:
+    """The means of the four quarters of an 8x8 chroma block: upper left, upper right, lower left, lower right.
+
+    Beside the diagonal a quarter takes the side next to it alone, if that is there, else the other one.
+    """
+    a, b, c, d = above[:4], above[4:], left[:4], left[4:]
+    first = lambda side, other, name: choose(has[name], average(side, None), choose(has["above" if name == "left" else "left"], average(other, None), 128))
+    return [mean_of_sides(a, c, has), first(b, c, "above"), first(d, a, "left"), mean_of_sides(b, d, has)]
+
+
 def plane16(above: list[Column], left: list[Column], corner: Column) -> list[Column]:
     """The plane prediction of a 16x16 block."""
 

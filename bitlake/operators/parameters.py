@@ -112,6 +112,25 @@ def information(sps: str = "sps") -> dict[str, Column]:
     return found | {name: c(name) for name in ("profile", "chroma_format", "depth_luma", "depth_chroma", "max_refs", "full_range", "primaries", "transfer", "matrix", "chroma_location", "max_reorder")}
 
 
+def size_error(sps: str = "sps", most: int = 16_384) -> Column:
+    """Why a sequence set's shown size cannot be used, null where it can: a side is 0 or over `most`."""
+    found = information(sps)
+    outside = lambda c: (c < 1) | (c > most)
+    return F.when(outside(found["width"]) | outside(found["height"]), "dimensions out of range")
+
+
+def stream_rates(sets: DataFrame, id_col: str = "stream_id") -> DataFrame:
+    """(stream id, sps_id, rate_num, rate_den, frame_rate) of rows of sequence_sets: one row for each stream with a set.
+
+    Of each number's last set, the rate of the lowest number that has one; null where none has. A null stream is a stream.
+    """
+    found = information()
+    last = sets.where("sps is not null").groupBy(id_col, F.col("sps.sps_id").alias("sps_id")).agg(F.max_by("sps", "unit_no").alias("sps"))
+    rated = last.select(id_col, F.struct("sps_id", *(found[k].alias(k) for k in ("rate_num", "rate_den", "frame_rate"))).alias("r"))
+    chosen = rated.groupBy(id_col).agg(F.min_by("r", F.when(F.col("r.rate_num").isNotNull(), F.col("r.sps_id"))).alias("r"))
+    return chosen.select(id_col, "r.*")
+
+
 def with_scaling(pps: DataFrame, flat: int = 16) -> DataFrame:
     """Adds `matrices`, the eight lists that hold for a picture set with its sequence set: its own, else the sequence's, else the rule's.
 

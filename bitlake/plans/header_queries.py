@@ -90,6 +90,15 @@ def sequence_sets(*names: str):
     return query
 
 
+def stream_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by brand as streams of many sets, of which each number's last one counts; and whether their sizes are usable, up to 400."""
+    units = sequence_units(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("stream_id"), "p_brand"), "stream_id")
+    sets = parameters.sequence_sets(units.select("p_brand", F.col("stream_id").alias("unit_no"), "unit_type", "payload"), "p_brand")
+    rates = parameters.stream_rates(sets, "p_brand")
+    bad = sets.groupBy("p_brand").agg(F.count(parameters.size_error(most=400)).alias("bad"))
+    return rates.join(bad, "p_brand").select("p_brand", *(F.when(F.col("rate_num").isNotNull(), F.col("sps_id")).alias("sps_id"), "rate_num", "rate_den", "frame_rate"), "bad")
+
+
 def picture_units(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier as a stream of a sequence set with a list and a picture set whose lists are left out, given, or absent."""
     k = F.col("s_suppkey")
@@ -181,13 +190,14 @@ QUERIES = {
     "avcc_configuration": configurations,
     "sps_dims": sequence_sets("sps_id", "level", "coded_width", "coded_height", "width", "height", "depth_luma", "max_refs", "progressive"),
     "sps_frame_rate": sequence_sets("rate_num", "rate_den", "frame_rate", "full_range", "primaries", "transfer", "matrix", "max_reorder"),
+    "stream_rates": stream_rates,
     "pps_fields": picture_sets,
     "slice_headers": slice_headers,
     "sei_messages": side_messages,
     "te_decode": truncated_codes,
 }
 
-_PART = """WITH p AS (SELECT p_partkey k, p_size::BIGINT z FROM part),
+_PART = """WITH p AS (SELECT p_partkey k, p_size::BIGINT z, p_brand FROM part),
 f AS (SELECT *, CASE WHEN k % 3 = 0 THEN k % 4 ELSE 1 END chroma, k % 2 = 0 frames, k % 5 = 0 cropped, k % 4 = 0 timed FROM p),
 s AS (SELECT *, 16 * z cw, 16 * (z % 20 + 1) * CASE WHEN frames THEN 1 ELSE 2 END ch FROM f)"""
 _DIGITS = "WITH t AS (SELECT doc_id, translate(regexp_replace(text, '[^a-z ]', '', 'g'), ' etaoinrshldcumfpgwybvkxjqz', '000013222222222222222222222') y FROM documents)"
@@ -212,6 +222,11 @@ SELECT s_suppkey, CASE WHEN error IS NULL THEN k % 4 + 1 END length_size, CASE W
         "sps_frame_rate": _PART + """, r AS (SELECT *, timed AND z % 10 > 0 AND k % 60000 > 0 rated FROM s)
 SELECT k p_partkey, CASE WHEN rated THEN k % 60000 END rate_num, CASE WHEN rated THEN 2 * (z % 10) END rate_den, CASE WHEN rated THEN (k % 60000)::DOUBLE / (2 * (z % 10)) END frame_rate,
   timed::BIGINT full_range, CASE WHEN timed THEN z % 10 ELSE 2 END primaries, CASE WHEN timed THEN z % 18 ELSE 2 END transfer, CASE WHEN timed THEN z % 9 ELSE 2 END matrix, CASE WHEN timed THEN z % 5 END max_reorder FROM r""",
+        "stream_rates": _PART + """, w AS (SELECT *, timed AND z % 10 > 0 AND k % 60000 > 0 rated, cw - CASE WHEN cropped THEN (z % 4 + z % 3) * CASE WHEN chroma IN (0, 3) THEN 1 ELSE 2 END ELSE 0 END w,
+  ch - CASE WHEN cropped THEN (1 + z % 2) * CASE WHEN chroma = 1 THEN 2 ELSE 1 END * CASE WHEN frames THEN 1 ELSE 2 END ELSE 0 END h FROM s),
+l AS (SELECT *, row_number() OVER (PARTITION BY p_brand, k % 32 ORDER BY k DESC) newest FROM w), r AS (SELECT p_brand, k, z, row_number() OVER (PARTITION BY p_brand ORDER BY k % 32) no FROM l WHERE newest = 1 AND rated),
+b AS (SELECT p_brand, count(*) FILTER (w < 1 OR w > 400 OR h < 1 OR h > 400) bad FROM w GROUP BY 1)
+SELECT b.p_brand, k % 32 sps_id, k % 60000 rate_num, 2 * (z % 10) rate_den, (k % 60000)::DOUBLE / (2 * (z % 10)) frame_rate, bad FROM b LEFT JOIN r ON r.p_brand = b.p_brand AND no = 1""",
         "pps_fields": """WITH s AS (SELECT s_suppkey k FROM supplier)
 SELECT k s_suppkey, k % 4 pps_id, 3::BIGINT sps_id, (k % 2 = 0)::BIGINT arithmetic, k % 5 + 1 refs_l0, k % 3 + 1 refs_l1, 2::BIGINT weighted_bi, 22 + k % 9 init_qp, k % 25 - 12 chroma_offset, (k % 3 = 0)::BIGINT transform_8x8,
   CASE WHEN k % 3 < 2 THEN k % 5 - 2 ELSE k % 25 - 12 END second_chroma_offset,

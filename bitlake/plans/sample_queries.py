@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bitlake.functions import blocks, motion, samples
 
 #: By each query over groups of bytes, the bytes that a group has.
-WIDTHS = {"intra4_modes": 13, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4, "inverse4_both": 16, "inverse8_both": 64, "whole_dequantise": 16}
+WIDTHS = {"intra4_modes": 13, "intra4_available": 14, "intra8_available": 26, "chroma_means": 17, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4, "inverse4_both": 16, "inverse8_both": 64, "whole_dequantise": 16}
 
 
 #: Groups of one batch of arrays.
@@ -74,9 +74,28 @@ def inverse(n: int, use):
     return make
 
 
+def sides(flags: np.ndarray) -> dict:
+    """Which sides of a block are there, by the bits of a byte."""
+    return {k: flags >> i & 1 == 0 for i, k in enumerate(("above", "left", "right", "corner"))}
+
+
+def modes_available(n: int, filtered: bool):
+    """The modes that need no corner, where sides may be missing."""
+
+    def make(s: list) -> dict:
+        above, left, corner, has = s[: 2 * n], s[2 * n : 3 * n], s[3 * n], sides(s[-1])
+        used = (samples.filled_filtered if filtered else samples.filled)(above, left, corner, n, has)
+        mean = [samples.mean_of_sides(used.above[:n], used.left, has)] * (n * n)
+        return {f"m{m}": mean if m == 2 else samples.predicted(m, used, n) for m in (0, 1, 2, 3, 7, 8)}
+
+    return make
+
+
 #: By each query, what makes its columns of a group's samples: a list becomes a text of its numbers, one array a number.
 MAKERS = {
     "intra4_modes": modes(4, False), "intra8_modes": modes(8, True), "intra16_modes": modes16,
+    "intra4_available": modes_available(4, False), "intra8_available": modes_available(8, True),
+    "chroma_means": lambda s: {"means": samples.chroma_means(s[:8], s[8:16], sides(s[16]))},
     "quarter_places": lambda s: {"places": [samples.fractional(s, x, y) for y in range(4) for x in range(4)]},
     "inverse8": inverse8, "matrix_scaling": matrix_scaling,
     "scaling8": lambda s: {"levels": [samples.scaled8(v - 128, s[0] % 52, i % 8, i // 8, s[63 - i] % 64 + 1) for i, v in enumerate(s)]},
@@ -215,6 +234,32 @@ def _mode_sql(n: int, up, side, corner: str) -> list[str]:
     return [_join([f(x, y) for y in range(n) for x in range(n)]) + f" m{m}" for m, f in enumerate(each)]
 
 
+def _available_sql(n: int, filtered: bool) -> str:
+    """The modes without a corner where the last byte's bits name missing sides."""
+    k = 3 * n + 1
+    raw = [f"CASE WHEN a THEN s{i + 1} ELSE 128 END" for i in range(n)] + [f"CASE WHEN NOT a THEN 128 WHEN r THEN s{n + i + 1} ELSE s{n} END" for i in range(n)] + [f"CASE WHEN l THEN s{2 * n + i + 1} ELSE 128 END" for i in range(n)]
+    names = [f"u{i}" for i in range(2 * n)] + [f"l{i}" for i in range(n)]
+    ctes = f", has AS (SELECT *, s{k + 1} % 2 = 0 a, s{k + 1} // 2 % 2 = 0 l, s{k + 1} // 4 % 2 = 0 r, s{k + 1} // 8 % 2 = 0 k FROM s), e AS (SELECT doc_id, group_no, a, l, k, s{k} corner, {', '.join(f'{v} {x}' for v, x in zip(raw, names, strict=True))} FROM has)"
+    if filtered:
+        side = lambda p, n, first: [f"(({first} + 2 * {p}0 + {p}1 + 2) >> 2)"] + [f"(({p}{i - 1} + 2 * {p}{i} + {p}{i + 1} + 2) >> 2)" for i in range(1, n - 1)] + [f"(({p}{n - 2} + 3 * {p}{n - 1} + 2) >> 2)"]
+        up, low = side("u", 2 * n, "CASE WHEN k THEN corner ELSE u0 END"), side("l", n, "CASE WHEN k THEN corner ELSE l0 END")
+        values = [f"CASE WHEN a THEN {v} ELSE 128 END u{i}" for i, v in enumerate(up)] + [f"CASE WHEN l THEN {v} ELSE 128 END l{i}" for i, v in enumerate(low)]
+        ctes += f", f AS (SELECT doc_id, group_no, a, l, {', '.join(values)} FROM e)"
+    total = lambda p: " + ".join(f"{p}{i}" for i in range(n))
+    bits = n.bit_length()
+    mean = f"CASE WHEN a AND l THEN ({total('u')} + {total('l')} + {n}) >> {bits} WHEN a THEN ({total('u')} + {n // 2}) >> {bits - 1} WHEN l THEN ({total('l')} + {n // 2}) >> {bits - 1} ELSE 128 END"
+    found = {m: v for m, v in enumerate(_mode_sql(n, lambda i: f"u{i}", lambda i: f"l{i}", "0")) if m in (0, 1, 3, 7, 8)} | {2: _join([mean] * (n * n)) + " m2"}
+    return f"{ctes} SELECT doc_id, group_no, {', '.join(found[m] for m in sorted(found))} FROM {'f' if filtered else 'e'}"
+
+
+def _chroma_means_sql() -> str:
+    four = lambda i: f"(s{i} + s{i + 1} + s{i + 2} + s{i + 3})"
+    one = lambda i: f"({four(i)} + 2) >> 2"
+    both = lambda i, j: f"CASE WHEN a AND l THEN ({four(i)} + {four(j)} + 4) >> 3 WHEN a THEN {one(i)} WHEN l THEN {one(j)} ELSE 128 END"
+    beside = [f"CASE WHEN a THEN {one(5)} WHEN l THEN {one(9)} ELSE 128 END", f"CASE WHEN l THEN {one(13)} WHEN a THEN {one(1)} ELSE 128 END"]
+    return f", has AS (SELECT *, s17 % 2 = 0 a, s17 // 2 % 2 = 0 l FROM s) SELECT doc_id, group_no, {_join([both(1, 9), *beside, both(5, 13)])} means FROM has"
+
+
 def _filtered_sql() -> str:
     """Common table f: the smoothed neighbours of an 8x8 block, u0 to u15, l0 to l7 and c."""
     a, b = (lambda i: f"s{i + 1}"), (lambda i: f"s{i + 17}")
@@ -323,6 +368,7 @@ def sql(groups_sql) -> dict[str, str]:
     alike = lambda p, q: f"CASE WHEN {p}r < 0 AND {q}r < 0 THEN true WHEN {p}r < 0 OR {q}r < 0 THEN false ELSE {p}r = {q}r AND abs({p}x - {q}x) < 4 AND abs({p}y - {q}y) < 4 END"
     body = {
         "intra4_modes": f" SELECT doc_id, group_no, {', '.join(_mode_sql(4, direct4, lambda i: f's{i + 9}', 's13'))} FROM s",
+        "intra4_available": _available_sql(4, False), "intra8_available": _available_sql(8, True), "chroma_means": _chroma_means_sql(),
         "intra8_modes": _filtered_sql() + f" SELECT doc_id, group_no, {', '.join(_mode_sql(8, lambda i: f'u{i}', lambda i: f'l{i}', 'c'))} FROM f",
         "intra16_modes": _intra16_sql(),
         "quarter_places": quarter_places_sql(),
