@@ -92,3 +92,27 @@ def direct_map(used: Column, l0: Column) -> Column:
 def listed(entries: Column, index: Column) -> Column:
     """The entry of a list at an index, beyond its ends the first or the last one; null for an empty list."""
     return F.get(entries, F.greatest(F.least(index, F.size(entries) - 1), F.lit(0)).cast("int"))
+
+
+def spatial_direct(first: tuple[Column, Column, Column], second: tuple[Column, Column, Column], rests: Column) -> tuple[Column, Column]:
+    """Structs (x, y, ref) of both lists of a spatially direct block from its macroblock's neighbours a, b and c in each list.
+
+    A list takes the neighbours' least reference and its predicted vector, and is not used (ref -1, no motion) without any; where
+    neither list has one, both are the first reference without motion. rests: the co-located block does, and vectors to a first reference are none.
+    """
+    none = F.lit(-1).cast("long")
+    least = [least_reference(*(F.coalesce(v["ref"], none) for v in side)) for side in (first, second)]
+    neither = (least[0] < 0) & (least[1] < 0)
+
+    def of(side: tuple[Column, Column, Column], ref: Column) -> Column:
+        moved = predicted_vector(*side, ref)
+        still = neither | (ref < 0) | ((ref == 0) & rests)
+        return F.struct(*(F.when(still, 0).otherwise(moved[k]).cast("long").alias(k) for k in ("x", "y")), F.when(neither, 0).otherwise(ref).cast("long").alias("ref"))
+
+    return of(first, least[0]), of(second, least[1])
+
+
+def colocated_rests(use0: Column, use1: Column, intra: Column) -> Column:
+    """Whether a co-located block rests: not intra, and by its first list, or its second where it has no first, within a quarter sample of none in the first reference."""
+    use = F.when(use0["ref"] >= 0, use0).otherwise(use1)
+    return F.coalesce(~intra & resting(use), F.lit(False))

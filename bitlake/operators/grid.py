@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from bitlake.functions.codec import CHROMA_QP
 from bitlake.functions.either import clip, entry, shift
-from bitlake.functions.motion import motion_differs
+from bitlake.functions.motion import colocated_rests, motion_differs, spatial_direct
 
 #: Blocks of a tile across and down, and the farthest neighbour that is asked for, in blocks.
 SIDE, REACH = 64, 4
@@ -34,17 +34,17 @@ def place(address: Column, block: Column, width: Column) -> tuple[Column, Column
     return (address % width) * 4 + bit(0) + 2 * bit(2), F.floor(address / width) * 4 + bit(1) + 2 * bit(3)
 
 
-def with_neighbours(blocks: DataFrame, picture: list[str], asked: dict[str, tuple[Column | int, Column | int]], values: list[str]) -> DataFrame:
+def with_neighbours(blocks: DataFrame, picture: list[str], asked: dict[str, tuple[Column | int, Column | int]], values: list[str], only: Column | None = None) -> DataFrame:
     """blocks (picture, x, y, ...) with a struct of `values` for each of asked: that of the block so far across and down, null where there is none.
 
-    Distances are at most REACH. Rows of one place of a picture are not told apart: one of them is the neighbour. Null pictures are one picture.
+    With only, just the blocks for which it holds are rows; all are neighbours. Distances are at most REACH. Rows of one place of a picture are not told apart: one of them is the neighbour. Null pictures are one picture.
     """
     names = blocks.columns
     kinds = dict(blocks.dtypes)
     steps = {f"_{k}_{axis}": (d if isinstance(d, Column) else F.lit(d)).cast("int") for k, pair in asked.items() for axis, d in zip("xy", pair, strict=True)}
     tile = lambda c, d: F.greatest(F.floor((F.col(c) + d) / SIDE), F.lit(0))  # no block lies left of or above 0
     spread = lambda c: F.explode(F.array_distinct(F.array(tile(c, -REACH), tile(c, 0), tile(c, REACH))))
-    rows = blocks.withColumns(steps).withColumn("_tx", spread("x")).withColumn("_ty", spread("y"))
+    rows = blocks.withColumns(steps).withColumn("_own", F.lit(True) if only is None else F.coalesce(only, F.lit(False))).withColumn("_tx", spread("x")).withColumn("_ty", spread("y"))
     one = ", ".join(f"`{v}`: {kinds[v]}" for v in values)
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), *(f"`{k}` struct<{one}>" for k in asked)])
     edge, wanted = SIDE + 2 * REACH, list(asked)
@@ -55,7 +55,7 @@ def with_neighbours(blocks: DataFrame, picture: list[str], asked: dict[str, tupl
         x, y = get("x") - get("_tx") * side + reach, get("y") - get("_ty") * side + reach
         at = np.full((edge, edge), -1)
         at[y, x] = np.arange(len(x))
-        own = np.flatnonzero((x >= reach) & (x < edge - reach) & (y >= reach) & (y < edge - reach))
+        own = np.flatnonzero((get("_own") > 0) & (x >= reach) & (x < edge - reach) & (y >= reach) & (y < edge - reach))
         columns = [table.column(n).take(pa.array(own)) for n in names]
         for k in wanted:
             found = at[y[own] + get(f"_{k}_y")[own], x[own] + get(f"_{k}_x")[own]]
@@ -73,7 +73,7 @@ def available(neighbour: Column) -> Column:
     return F.when((neighbour["slice"] == F.col("slice")) & earlier, neighbour)
 
 
-def coded_neighbours(blocks: DataFrame, picture: list[str], values: list[str], wide: Column | int = 1) -> DataFrame:
+def coded_neighbours(blocks: DataFrame, picture: list[str], values: list[str], wide: Column | int = 1, only: Column | None = None) -> DataFrame:
     """blocks (picture, address, block, slice, width, ...) with x, y and left, above, above_right and above_left, null where not available.
 
     Each is a struct of address, block, slice and values. above_right is that of a part `wide` blocks wide; c is the one that vectors are
@@ -81,7 +81,7 @@ def coded_neighbours(blocks: DataFrame, picture: list[str], values: list[str], w
     """
     x, y = place(F.col("address"), F.col("block"), F.col("width"))
     asked = {"left": (-1, 0), "above": (0, -1), "above_right": (wide, -1), "above_left": (-1, -1)}
-    found = with_neighbours(blocks.withColumns({"x": x, "y": y}), picture, asked, ["address", "block", "slice", *values])
+    found = with_neighbours(blocks.withColumns({"x": x, "y": y}), picture, asked, ["address", "block", "slice", *values], only)
     return found.withColumns({k: available(F.col(k)) for k in asked}).withColumn("c", F.coalesce("above_right", "above_left"))
 
 
@@ -124,3 +124,25 @@ def edges(blocks: DataFrame, picture: list[str], chroma_offset: int = 0) -> Data
     found = {k: v for k, v in thresholds(luma, c("strength"), c("alpha_offset"), c("beta_offset")).items()}
     found |= {f"chroma_{k}": v for k, v in thresholds(chroma, c("strength"), c("alpha_offset"), c("beta_offset")).items()}
     return rows.select(*picture, "x", "y", c("e.across").alias("across"), "strength", *(v.alias(k) for k, v in found.items()))
+
+
+def direct_blocks(blocks: DataFrame, stream: list[str], picture: str, colocated: DataFrame) -> DataFrame:
+    """blocks with direct0 and direct1, structs (x, y, ref) of both lists of spatially direct prediction.
+
+    Vectors come from the neighbours of the macroblock's first block, as wide as the macroblock; colocated gives for (stream, picture) the
+    picture `other` whose blocks may rest, at the corner block of each quarter. Blocks hold intra, use0 and use1 besides what
+    coded_neighbours needs. Without a co-located block nothing rests.
+    """
+    c, keys = F.col, [*stream, picture, "address"]
+    found = coded_neighbours(blocks, [*stream, picture], ["use0", "use1"], 4, c("block") == 0)
+    sides = F.struct(*(c(f"{k}.{u}").alias(f"{u}_{k}") for u in ("use0", "use1") for k in ("left", "above", "c")))
+    base = found.select(F.struct(*keys).alias("_key"), sides.alias("_n"))
+    corner = F.element_at(F.array(*map(F.lit, (0, 5, 10, 15))), (F.floor(c("block") / 4) + 1).cast("int")).cast("long")
+    led = colocated.select(F.struct(*stream, picture).alias("_p"), c("other").cast("long").alias("_other"))
+    rows = blocks.withColumn("_p", F.struct(*stream, picture)).join(led, "_p", "left").drop("_p")
+    place_of = lambda other, block: F.struct(*stream, other.cast("long").alias("p"), c("address").cast("long").alias("a"), block.cast("long").alias("b"))
+    held = blocks.select(place_of(c(picture), c("block")).alias("_at"), colocated_rests(c("use0"), c("use1"), c("intra")).alias("_rests"))
+    rows = rows.withColumn("_at", place_of(c("_other"), corner)).join(held, "_at", "left").withColumn("_key", F.struct(*keys)).join(base, "_key")
+    side = lambda u: tuple(c(f"_n.{u}_{k}") for k in ("left", "above", "c"))
+    first, second = spatial_direct(side("use0"), side("use1"), F.coalesce("_rests", F.lit(False)))
+    return rows.select(*blocks.columns, first.alias("direct0"), second.alias("direct1"))

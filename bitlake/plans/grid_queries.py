@@ -37,7 +37,15 @@ def block_edges(spark: SparkSession, d: str) -> DataFrame:
     return grid.edges(rows, ["l_suppkey", "picture"], 2).select(*(F.col(n).cast("long").alias(n) if n != "across" else F.col(n) for n in ("l_suppkey", "picture", "x", "y", "across", "strength", "alpha", "beta", "tc0", "chroma_alpha", "chroma_beta")))
 
 
-QUERIES = {"block_neighbours": block_neighbours, "block_edges": block_edges}
+def direct_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Each block as if it were spatially direct, with the picture before as the co-located one."""
+    rows = blocks_of_items(spark, d).withColumn("intra", F.col("address") % 5 == 3)
+    before = rows.select("l_suppkey", "picture").distinct().withColumn("other", F.col("picture") - 1)
+    made = grid.direct_blocks(rows, ["l_suppkey"], "picture", before)
+    return made.select("l_suppkey", "place", *(F.col(f"direct{i}.{k}").alias(f"{k}{i}") for i in (0, 1) for k in ("x", "y", "ref")))
+
+
+QUERIES = {"direct_blocks": direct_blocks, "block_neighbours": block_neighbours, "block_edges": block_edges}
 
 _BLOCKS = """WITH a AS (SELECT l_suppkey k, l_partkey p, l_quantity::BIGINT q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 place, 1 + l_suppkey % 9 width FROM lineitem),
 b AS (SELECT *, place // (width * 48) picture, place % (width * 48) // 16 address, place % 16 blk FROM a),
@@ -55,7 +63,13 @@ _TABLE = {
 }
 _AT = lambda table, q, off: f"(CASE WHEN {q} + {off} < 16 THEN 0 ELSE ({_TABLE[table]})[least(51, {q} + {off}) - 15] END)::BIGINT"
 _CHROMA = lambda q: f"CASE WHEN least(51, {q} + 2) < 30 THEN least(51, {q} + 2) ELSE [29,30,31,32,32,33,34,34,35,35,36,36,37,37,37,38,38,38,39,39,39,39][least(51, {q} + 2) - 29] END"
+_PICK = lambda v, i: f"CASE WHEN sa{i}::INT + sb{i}::INT + sc{i}::INT = 1 THEN CASE WHEN sa{i} THEN a{v}{i} WHEN sb{i} THEN b{v}{i} ELSE c{v}{i} END WHEN br{i} IS NULL AND cr{i} IS NULL AND ar{i} IS NOT NULL THEN a{v}{i} ELSE list_sort([coalesce(a{v}{i}, 0), coalesce(b{v}{i}, 0), coalesce(c{v}{i}, 0)])[2] END"
 SQL = {
+    "direct_blocks": _BLOCKS + """, g0 AS (SELECT * FROM g WHERE blk = 0), n AS (SELECT g.k, g.picture, g.address, """ + ", ".join(f"{'CASE WHEN c.k IS NULL THEN d.' + v + ' ELSE c.' + v + ' END' if s == 'c' else s + '.' + v} {s}{v}" for s in "abc" for v in ("x0", "y0", "r0", "x1", "y1", "r1")) + " FROM g0 g" + "".join(_NEAR.format(*v) for v in (("a", -1, 0), ("b", 0, -1), ("c", 4, -1), ("d", -1, -1))) + """),
+m AS (SELECT *, """ + ", ".join(f"coalesce(list_min([v FOR v IN [ar{i}, br{i}, cr{i}] IF v >= 0]), -1) m{i}" for i in (0, 1)) + " FROM n), s AS (SELECT *, " + ", ".join(f"coalesce({s}r{i} = m{i}, false) s{s}{i}" for s in "abc" for i in (0, 1)) + """, m0 < 0 AND m1 < 0 neither FROM m),
+t AS (SELECT g.k, g.place, s.* EXCLUDE (k), coalesce(o.address % 5 <> 3 AND CASE WHEN o.r0 >= 0 THEN o.r0 = 0 AND abs(o.x0) <= 1 AND abs(o.y0) <= 1 ELSE o.r1 = 0 AND abs(o.x1) <= 1 AND abs(o.y1) <= 1 END, false) rests
+  FROM g JOIN s ON s.k = g.k AND s.picture = g.picture AND s.address = g.address LEFT JOIN g o ON o.k = g.k AND o.picture = g.picture - 1 AND o.address = g.address AND o.blk = [0, 5, 10, 15][g.blk // 4 + 1])
+SELECT k l_suppkey, place, """ + ", ".join(f"CASE WHEN neither OR m{i} < 0 OR (m{i} = 0 AND rests) THEN 0 ELSE {_PICK(v, i)} END::BIGINT {v}{i}" for i in (0, 1) for v in "xy") + ", CASE WHEN neither THEN 0 ELSE m0 END::BIGINT ref0, CASE WHEN neither THEN 0 ELSE m1 END::BIGINT ref1 FROM t",
     "block_neighbours": _BLOCKS + """, j AS (SELECT g.*, a.place pa, a.mode ma, a.n na, {'x': a.x0, 'y': a.y0, 'r': a.r0} va, b.place pb, b.mode mb, b.n nb, {'x': b.x0, 'y': b.y0, 'r': b.r0} vb, c.place pc, d.place pd,
   CASE WHEN c.k IS NULL THEN {'x': d.x0, 'y': d.y0, 'r': d.r0} ELSE {'x': c.x0, 'y': c.y0, 'r': c.r0} END vc FROM g""" + "".join(_NEAR.format(*v) for v in (("a", -1, 0), ("b", 0, -1), ("c", 1, -1), ("d", -1, -1))) + """),
 s AS (SELECT *, coalesce(va.r = r0, false) sa, coalesce(vb.r = r0, false) sb, coalesce(vc.r = r0, false) sc, va.r IS NOT NULL ha, vb.r IS NULL AND vc.r IS NULL lone FROM j)
