@@ -50,18 +50,22 @@ def gathered(headers: DataFrame, id_col: str = "stream_id") -> DataFrame:
     return made.select(id_col, "seq", "unit_no", "slices", "types", "intra", "h.*").withColumn("ref", F.col("ref_idc") > 0).drop("first_mb", "slice_type", "ref_idc")
 
 
-def with_epochs(pics: DataFrame, id_col: str = "stream_id") -> DataFrame:
+def with_epochs(pics: DataFrame, id_col: str = "stream_id", compat: bool = False) -> DataFrame:
     """Adds reset, epoch, group_no and opening.
 
     reset: the picture is a reference whose marking has operation 5, after which low part, number and list begin anew. epoch
     counts refresh pictures up to a picture and resets before it: within an epoch order counts and numbers go on. group_no
     counts both up to the picture: a group's pictures are shown together. opening is the low part that the epoch's first picture compares with.
+    With compat a reset begins no group, and the low part after it compares with 0.
     """
     reset = F.col("ref") & ~F.col("idr") & F.exists(F.coalesce("marking", F.array().cast("array<array<bigint>>")), lambda m: m[0] == 5)
     rows = pics.withColumn("reset", F.coalesce(reset, F.lit(False)))
     event = (F.col("idr") | F.col("reset")).cast("long")
     left = F.when(F.col("reset"), F.when(F.col("field"), 0).otherwise(F.greatest(-F.col("delta_bottom"), F.lit(0)))).when(F.col("idr"), 0).cast("long")
     rows = runs.before(rows, [id_col], "seq", {"epoch": ("sum", event), "opening": ("last", left)})
+    if compat:
+        rows = runs.before(rows.withColumn("opening", F.lit(0).cast("long")), [id_col], "seq", {"group_no": ("sum", F.col("idr").cast("long"))})
+        return rows.withColumns({"group_no": F.col("group_no") + F.col("idr").cast("long"), "epoch": F.col("epoch") + F.col("idr").cast("long")})
     return rows.withColumns({"group_no": F.col("epoch") + event, "epoch": F.col("epoch") + F.col("idr").cast("long"), "opening": F.coalesce("opening", F.lit(0))})
 
 
@@ -75,24 +79,25 @@ def cycle_count(number: Column) -> Column:
     return F.when(absolute > 0, whole + part).otherwise(0) + F.when(F.col("ref"), 0).otherwise(F.col("offset_not_ref"))
 
 
-def with_order_counts(pics: DataFrame, id_col: str = "stream_id") -> DataFrame:
+def with_order_counts(pics: DataFrame, id_col: str = "stream_id", compat: bool = False) -> DataFrame:
     """Adds with_epochs' columns, number (frame_num without wraps), poc, and shown_poc, which is 0 after a reset.
 
     Each picture's type, periods and offsets are columns. A refresh picture's order count is 0. Of a frame, the smaller count of both
-    fields holds; a field has its own.
+    fields holds; a field has its own. By default the standard's rules hold; with compat those of a plain decoder: types 1 and 2 go by frame_num
+    itself, however often it wraps, and a picture with a reset keeps its order count and its place among the others.
     """
     c, by = F.col, [id_col, "epoch"]
-    rows = with_epochs(pics, id_col)
+    rows = with_epochs(pics, id_col, compat)
     rows = runs.before(rows, by, "seq", {"_num": ("last", c("frame_num")), "_lsb": ("last", F.when(c("ref"), F.when(c("idr"), 0).otherwise(c("poc_lsb"))))})
     last, now, period = F.coalesce("_lsb", "opening"), c("poc_lsb"), c("lsb_period")
     step = F.when(c("idr"), 0).when((now < last) & (last - now >= period / 2), period).when((now > last) & (now - last > period / 2), -period).otherwise(0)
     rows = rows.withColumns({"_wrap": F.coalesce(c("_num") > c("frame_num"), F.lit(False)).cast("long"), "_step": step})
     rows = runs.before(rows, by, "seq", {"_wraps": ("sum", c("_wrap")), "_msb": ("sum", F.when(c("ref"), c("_step")))})
-    rows = rows.withColumn("number", (c("_wraps") + c("_wrap")) * c("period") + c("frame_num"))
+    rows = rows.withColumn("number", c("frame_num") if compat else (c("_wraps") + c("_wrap")) * c("period") + c("frame_num"))
     top = F.when(c("poc_type") == 0, c("_msb") + c("_step") + c("poc_lsb")).when(c("poc_type") == 1, cycle_count(c("number")) + c("delta_0")).otherwise(2 * c("number") - F.when(c("ref"), 0).otherwise(1))
     down = F.when(c("poc_type") == 0, c("delta_bottom")).when(c("poc_type") == 1, c("offset_bottom") + c("delta_1")).otherwise(0)
     poc = F.when(c("idr"), 0).when(~c("field"), F.least(top, top + down)).when(c("bottom"), top + down).otherwise(top).cast("long")
-    rows = rows.withColumn("poc", poc).withColumn("shown_poc", F.when(c("reset"), 0).otherwise(c("poc")).cast("long"))
+    rows = rows.withColumn("poc", poc).withColumn("shown_poc", F.when(c("reset") & F.lit(not compat), 0).otherwise(c("poc")).cast("long"))
     return rows.drop("_num", "_lsb", "_wrap", "_step", "_wraps", "_msb", "opening")
 
 

@@ -113,6 +113,14 @@ def test_order_counts(spark):
     assert counted(spark, plain)[0] == [0, 1, 2, 32]
 
 
+def test_plain_rules(spark):
+    """With compat numbers wrap, a reset keeps its count and its group, and the low part after it begins at 0."""
+    rows = [pic(0, idr=True), pic(1, num=1, lsb=6), pic(2, num=2, lsb=12, down=-5, marks=[(5, 0, 0)]), pic(3, num=1, lsb=2)]
+    rows += [pic(0, idr=True, kind=2, stream=2), pic(1, num=15, kind=2, stream=2), pic(2, num=3, kind=2, stream=2)]
+    got = assembly.with_order_counts(spark.createDataFrame(rows, PIC), compat=True).orderBy("stream_id", "seq").collect()
+    assert [(r.poc, r.shown_poc, r.group_no) for r in got] == [(0, 0, 1), (6, 6, 1), (7, 7, 1), (2, 2, 1), (0, 0, 1), (30, 30, 1), (6, 6, 1)]
+
+
 def test_frames_and_display(spark):
     f = dict(field=True)
     rows = [pic(0, idr=True, **f), pic(1, num=0, lsb=1, bottom=True, **f), pic(2, num=1, lsb=8, **f), pic(3, num=1, lsb=9, bottom=True, **f), pic(4, num=2, lsb=4, ref=False, bottom=True, **f), pic(5, num=2, lsb=6), pic(6, num=3, lsb=10, **f), pic(7, num=4, lsb=12, **f)]
