@@ -12,7 +12,7 @@ from bitlake.operators import grid
 def blocks_of_items(spark: SparkSession, d: str) -> DataFrame:
     """A supplier's items in order as blocks of pictures 1 to 9 macroblocks wide and three high, with slices that end anywhere in a row."""
     c, k = F.col, F.col("l_suppkey")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", c("l_quantity").cast("long").alias("q"), (F.row_number().over(w) - 1).cast("long").alias("place"))
     rows = rows.withColumn("width", 1 + k % 9).withColumn("in", c("place") % (c("width") * 48))
     rows = rows.withColumns({"picture": F.floor(c("place") / (c("width") * 48)), "address": F.floor(c("in") / 16), "block": c("in") % 16})
@@ -47,7 +47,7 @@ def direct_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"direct_blocks": direct_blocks, "block_neighbours": block_neighbours, "block_edges": block_edges}
 
-_BLOCKS = """WITH a AS (SELECT l_suppkey k, l_partkey p, l_quantity::BIGINT q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 place, 1 + l_suppkey % 9 width FROM lineitem),
+_BLOCKS = """WITH a AS (SELECT l_suppkey k, l_partkey p, l_quantity::BIGINT q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 place, 1 + l_suppkey % 9 width FROM lineitem),
 b AS (SELECT *, place // (width * 48) picture, place % (width * 48) // 16 address, place % 16 blk FROM a),
 g AS (SELECT *, address % width * 4 + [0, 1, 0, 1, 2, 3, 2, 3, 0, 1, 0, 1, 2, 3, 2, 3][blk + 1] x, address // width * 4 + [0, 0, 1, 1, 0, 0, 1, 1, 2, 2, 3, 3, 2, 2, 3, 3][blk + 1] y, address // (2 + k % 4) slice, p % 9 mode, q % 17 n,
   p % 7 - 3 x0, q % 5 * 2 - 4 y0, p % 4 - 1 r0, q % 6 - 2 x1, p % 3 y1, q % 3 - 1 r1 FROM b)"""

@@ -102,11 +102,11 @@ def _sparse(n: int, pairs: int, places: int) -> str:
     at = [f"(CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + {' + '.join(runs(m) for m in range(j + 1))} + {j})" for j in range(pairs)]
     pairs_ = ", ".join(f"{{'at': {a}, 'level': (k * {j + 3} + p) % 41 - 20}}" for j, a in enumerate(at))
     v = f"(level * ({_SCALE[n]})[q % 6 + 1] * (6 + (s * 3 + p % 8) % 40))"
-    return f"""e{n} AS (SELECT k, p, o, ln, q, unnest([{pairs_}]) e FROM a),
-c{n} AS (SELECT k, p, o, ln, q, e.level AS level, CASE WHEN p % 2 = 1 THEN ({_FIELD[n]})[e.at + 1] ELSE ({_DIAGONAL[n]})[e.at + 1] END place FROM e{n} WHERE e.at < {n * n}),
+    return f"""e{n} AS (SELECT rn, k, p, o, ln, q, unnest([{pairs_}]) e FROM a),
+c{n} AS (SELECT rn, k, p, o, ln, q, e.level AS level, CASE WHEN p % 2 = 1 THEN ({_FIELD[n]})[e.at + 1] ELSE ({_DIAGONAL[n]})[e.at + 1] END place FROM e{n} WHERE e.at < {n * n}),
 d{n} AS (SELECT *, place % {n} x, place // {n} y, list_position({_DIAGONAL[n]}, place) - 1 s FROM c{n}),
-v{n} AS (SELECT k, p, o, ln, list({{'place': place, 'v': CASE WHEN level = 0 THEN 0 WHEN q // 6 >= {places} THEN {v} * (1 << (q // 6 - {places})) ELSE ({v} + (1 << ({places} - 1 - q // 6))) >> ({places} - q // 6) END}}) m FROM d{n} GROUP BY ALL),
-b{n} AS (SELECT k, p, o, ln, array_to_string([coalesce(([e.v FOR e IN m IF e.place = i])[1], 0) FOR i IN range({n * n})], ' ') t FROM v{n})"""
+v{n} AS (SELECT rn, k, p, o, ln, list({{'place': place, 'v': CASE WHEN level = 0 THEN 0 WHEN q // 6 >= {places} THEN {v} * (1 << (q // 6 - {places})) ELSE ({v} + (1 << ({places} - 1 - q // 6))) >> ({places} - q // 6) END}}) m FROM d{n} GROUP BY ALL),
+b{n} AS (SELECT rn, k, p, o, ln, array_to_string([coalesce(([e.v FOR e IN m IF e.place = i])[1], 0) FOR i IN range({n * n})], ' ') t FROM v{n})"""
 
 
 def _prediction() -> str:
@@ -133,7 +133,7 @@ y AS (SELECT *, list_concat(past, future) l0, list_concat(future, past) m FROM x
     scale = lambda tb, td: f"({tb} * (CASE WHEN {td} < 0 THEN -((16384 + abs({td}) // 2) // abs({td})) ELSE (16384 + {td} // 2) // {td} END) + 32)"
     td, tb = cut("b - a"), cut("poc - a")
     return {
-        "run_level_blocks": f"WITH a AS (SELECT l_suppkey k, l_partkey p, l_orderkey o, l_linenumber ln, l_quantity::BIGINT q FROM lineitem), {_sparse(4, 4, 4)}, {_sparse(8, 6, 6)} SELECT o l_orderkey, ln l_linenumber, p l_partkey, k l_suppkey, b4.t four, b8.t eight FROM b4 JOIN b8 USING (k, p, o, ln)",
+        "run_level_blocks": f"WITH a AS (SELECT row_number() OVER () rn, l_suppkey k, l_partkey p, l_orderkey o, l_linenumber ln, l_quantity::BIGINT q FROM lineitem), {_sparse(4, 4, 4)}, {_sparse(8, 6, 6)} SELECT b4.o l_orderkey, b4.ln l_linenumber, b4.p l_partkey, b4.k l_suppkey, b4.t four, b8.t eight FROM b4 JOIN b8 USING (rn)",
         "block_prediction": _prediction(),
         "implicit_matrix": lists + f""", w AS (SELECT stream_id, seq, poc, l0, l1, [[CASE WHEN a = b OR (({scale(tb, td)}) >> 8) NOT BETWEEN -64 AND 128 THEN 32 ELSE 64 - (({scale(tb, td)}) >> 8) END FOR b IN l1] FOR a IN l0] m FROM l)
 SELECT stream_id, seq, array_to_string([array_to_string(z, ' ') FOR z IN m], '/') weights FROM w""",
