@@ -164,19 +164,19 @@ def slice_head(payload: Column) -> tuple[Column, Column, Column]:
     return read_ue(bits), read_ue(behind(bits)), read_ue(behind(behind(bits)))
 
 
-def slice_headers(units: DataFrame, id_col: str = "stream_id") -> DataFrame:
+def slice_headers(units: DataFrame, id_col: str = "stream_id", whole: bool = False) -> DataFrame:
     """(stream id, unit_no, ref_idc, unit_type, sps, pps, header, qp, error) of the units of types 1 and 5.
 
     A slice's picture set is the last one of its number before the slice, and its sequence set the last one of that set's number
     before the slice. Both are bound by as-of joins, so that a set may change any number of times. A header that does not end within
-    HEADER_BYTES is an error of its own.
+    HEADER_BYTES is an error of its own. whole: streams are short (runs.short).
     """
     sps = sequence_sets(units, id_col).select(id_col, "unit_no", F.col("sps.sps_id").alias("_sps_id"), "sps").where("sps is not null")
     pps = picture_sets(units, id_col).select(id_col, "unit_no", F.col("pps.pps_id").alias("_pps_id"), "pps").where("pps is not null")
     payload = F.coalesce(F.col("payload"), F.lit(b""))
     slices = units.where("unit_type in (1, 5)").select(id_col, "unit_no", "ref_idc", "unit_type", F.substring(payload, 1, HEADER_BYTES).alias("payload"), (F.octet_length(payload) > HEADER_BYTES).alias("_cut"))
-    bound_slices = runs.held(slices.withColumn("_pps_id", slice_head(F.col("payload"))[2]), pps, [id_col, "_pps_id"], "unit_no", "pps")
-    held = runs.held(bound_slices.withColumn("_sps_id", F.col("pps.sps_id")), sps, [id_col, "_sps_id"], "unit_no", "sps")
+    bound_slices = runs.held(slices.withColumn("_pps_id", slice_head(F.col("payload"))[2]), pps, [id_col, "_pps_id"], "unit_no", "pps", whole=whole)
+    held = runs.held(bound_slices.withColumn("_sps_id", F.col("pps.sps_id")), sps, [id_col, "_sps_id"], "unit_no", "sps", whole=whole)
     for name, used in USED.items():  # what a header's syntax depends on; whole sets would be made dictionaries of in each row
         held = held.withColumn(f"_{name}", F.when(F.col(name).isNotNull(), F.struct(*(F.col(f"{name}.{n}").alias(n) for n in used))))
 

@@ -39,8 +39,8 @@ def sized(data: Column) -> Column:
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """Texts as streams of the bytes 0 to 3, from their small letters and spaces by frequency."""
-    kept = F.translate(F.regexp_replace("text", "[^a-z ]", ""), " etaoinrshldcumfpgwybvkxjqz", "000013222222222222222222222")
-    return table(spark, d, "documents").select("doc_id", F.unhex(F.regexp_replace(kept, "(.)", "0$1")).alias("data"))
+    kept = F.translate(F.regexp_replace("text", "[^a-z ]+", ""), " etaoinrshldcumfpgwybvkxjqz", "ppppqsrrrrrrrrrrrrrrrrrrrrr")
+    return table(spark, d, "documents").select("doc_id", F.unhex(F.translate(F.hex(F.encode(kept, "UTF-8")), "7", "0")).alias("data"))  # p to s are 70 to 73
 
 
 def escapes(spark: SparkSession, d: str) -> DataFrame:
@@ -133,19 +133,18 @@ def slice_units(spark: SparkSession, d: str) -> DataFrame:
     filters = F.concat(ue_code(seq % 3), F.when(seq % 3 != 1, F.concat(se_code(seq % 5 - 2), se_code(F.lit(1)))).otherwise(""))
     head = [ue_code(F.lit(0)), ue_code(kind), ue_code(k % 4), fixed(F.col("frame_num"), 4), F.when(F.col("idr"), ue_code(seq % 11)).otherwise(""), fixed(lsb, 4)]
     payload = bits(*head, F.when(is_b, "1").otherwise(""), F.when(p_or_b, F.concat(refs, change)).otherwise(""), marks, se_code(seq % 7 - 3), filters, "10110")
-    row = lambda no, ref, type_, data: [k, no.cast("long").alias("unit_no"), ref.cast("int").alias("ref_idc"), type_.cast("int").alias("unit_type"), data.alias("payload")]
-    slices = pics.select(*row(seq + F.when(seq >= 24, 3).otherwise(2), F.col("ref").cast("int"), F.when(F.col("idr"), 5).otherwise(1), payload))
+    row = lambda no, ref, type_, data: F.struct(no.cast("long").alias("unit_no"), ref.cast("int").alias("ref_idc"), type_.cast("int").alias("unit_type"), data.alias("payload"))
+    one = row(seq + F.when(seq >= 24, 3).otherwise(2), F.col("ref").cast("int"), F.when(F.col("idr"), 5).otherwise(1), payload)
     sps = bits(fixed(F.lit(66), 8), 16 * "0", ue_code(F.lit(0)), ue_code(F.lit(0)), ue_code(F.lit(0)), ue_code(F.lit(0)), ue_code(F.lit(4)), "0", ue_code(F.lit(9)), ue_code(F.lit(9)), "1100")
     pps = lambda qp: bits(ue_code(k % 4), ue_code(F.lit(0)), "00", ue_code(F.lit(0)), ue_code(F.lit(1)), ue_code(F.lit(1)), "000", se_code(qp), se_code(F.lit(0)), se_code(F.lit(0)), "100")
     sets = [(F.lit(0), F.lit(3), F.lit(7), sps), (F.lit(1), F.lit(3), F.lit(8), pps(k % 10 - 5)), (F.lit(26), F.lit(3), F.lit(8), pps(k % 7 + 1))]
-    streams = pics.select("stream_id").distinct()
-    for one in sets:
-        slices = slices.unionAll(streams.select(*row(*one)))
-    return slices
+    firsts = F.when(seq == 0, F.array(*(row(*x) for x in sets)))  # with each stream's first picture, so that events are read once
+    return pics.select(k, F.inline(F.concat(F.array(one), F.coalesce(firsts, F.array().cast("array<struct<unit_no: bigint, ref_idc: int, unit_type: int, payload: binary>>")))))
 
 
 def slice_headers(spark: SparkSession, d: str) -> DataFrame:
-    s = parameters.slice_headers(slice_units(spark, d))
+    whole = runs.short(table(spark, d, "events"), ["user_id"], runs.RUN - 3)  # a unit for each, and three sets
+    s = parameters.slice_headers(slice_units(spark, d), whole=whole)
     seq = F.col("unit_no") - F.when(F.col("unit_no") > 26, 3).otherwise(2)
     own = [F.col(f"header.{n}").cast("long").alias(n) for n in ("frame_num", "idr_pic_id", "poc_lsb", "refs_l0", "refs_l1", "filter_off", "alpha_offset")]
     joined = lambda c: F.array_join(F.transform(f"header.{c}", lambda x: F.array_join(x.cast("array<string>"), ":")), " ").alias(c)
