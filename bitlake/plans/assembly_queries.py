@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitlake.functions.codec import ue_code
-from bitlake.operators import assembly, marking, parameters, pictures
+from bitlake.operators import assembly, marking, parameters, pictures, runs
 from bitlake.operators.shared import new_folder, written
 from bitlake.plans.header_queries import bits, fixed, se_code, symbols
 from bitlake.sources import ranges
@@ -99,16 +99,20 @@ def read_back(spark: SparkSession, d: str) -> DataFrame:
     return written(found, "units")  # three passes follow over its sets and slices
 
 
-def assembled(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.with_order_counts(assembly.gathered(parameters.slice_headers(read_back(spark, d))))
+def assembled(spark: SparkSession, d: str) -> tuple[DataFrame, bool]:
+    """The pictures, and whether their streams are short."""
+    units = read_back(spark, d)
+    whole = runs.short(units, ["stream_id"])
+    return assembly.with_order_counts(assembly.gathered(parameters.slice_headers(units, whole=whole), whole=whole), whole=whole), whole
 
 
 def bytes_to_display(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.display_order(assembled(spark, d)).select("stream_id", "seq", "slices", "group_no", "poc", "shown")
+    pics, whole = assembled(spark, d)
+    return assembly.display_order(pics, whole=whole).select("stream_id", "seq", "slices", "group_no", "poc", "shown")
 
 
 def poc_epochs(spark: SparkSession, d: str) -> DataFrame:
-    return assembled(spark, d).select("stream_id", "seq", "epoch", "number", "poc", "shown_poc", F.array_join("types", "").alias("types"))
+    return assembled(spark, d)[0].select("stream_id", "seq", "epoch", "number", "poc", "shown_poc", F.array_join("types", "").alias("types"))
 
 
 def fields(spark: SparkSession, d: str) -> DataFrame:

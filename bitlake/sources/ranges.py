@@ -1,4 +1,4 @@
-"""Files of start-code streams read by byte ranges, each a task, and written from units.
+"""Files of start-code streams read by byte ranges, many small ones in a task, and written from units.
 
 A range owns the units whose start code begins in it. It looks for start codes from any byte on, since one can't overlap another,
 and reads on beyond its end until its last unit's is found: the seam between two ranges is the second one's first start code, and no
@@ -23,6 +23,10 @@ from bitlake.sources.framing import fault, unescape
 FORMAT = "byte_stream_units"
 #: Bytes of a range by default, of one read, of a batch of rows, and of a unit at most; a longer one is an error.
 RANGE, CHUNK, BATCH, LONGEST = 64 << 20, 1 << 20, 4 << 20, 1 << 30
+#: What a row costs besides its payload, in bytes.
+ROW = 256
+#: What opening a range costs, in bytes, the most that a task takes, and the tasks that a read has at least where there are as many ranges.
+OPENING, TASK, TASKS = 64 << 10, 32 << 20, 64
 CODE = b"\0\0\1"
 SCHEMA = "path string, offset bigint, ref_idc int, unit_type int, payload binary, error string"
 ARROW = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("ref_idc", pa.int32()), ("unit_type", pa.int32()), ("payload", pa.binary()), ("error", pa.string())])
@@ -75,11 +79,24 @@ def units_in(file, size: int, start: int, stop: int, chunk: int = CHUNK, longest
 
 
 @dataclass
-class Span(InputPartition):
-    path: str
-    start: int
-    stop: int
-    size: int
+class Spans(InputPartition):
+    """A task's ranges: (path below the root, start, stop, size of the file) each."""
+
+    ranges: list[tuple[str, int, int, int]]
+
+
+def packed(ranges: list[tuple[str, int, int, int]]) -> list[Spans]:
+    """The ranges in order, as tasks of about equal cost, so that many small files or ranges don't make as many tasks."""
+    cost = lambda r: r[2] - r[1] + OPENING
+    most = min(TASK, sum(map(cost, ranges)) // TASKS)
+    tasks, held = [], 0
+    for r in ranges:
+        if not tasks or held + cost(r) > most:
+            tasks.append(Spans([]))
+            held = 0
+        tasks[-1].ranges.append(r)
+        held += cost(r)
+    return tasks
 
 
 class UnitReader(DataSourceReader):
@@ -88,29 +105,30 @@ class UnitReader(DataSourceReader):
         wanted = options.get("unit_types", "")
         self.types = {int(t) for t in wanted.split(",")} if wanted else None
 
-    def partitions(self) -> list[Span]:
+    def partitions(self) -> list[Spans]:
         store, root = opened(self.place)
         info = store.get_file_info(root)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True))
         good = [f for f in files if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))]
-        spans = [Span(f.path, at, min(at + self.range, f.size), f.size) for f in sorted(good, key=lambda f: f.path) for at in range(0, f.size, self.range)]
-        return spans or [Span("", 0, 0, 0)]
+        head = len(root.rstrip("/")) + 1
+        ranges = [(f.path[head:], at, min(at + self.range, f.size), f.size) for f in sorted(good, key=lambda f: f.path) for at in range(0, f.size, self.range)]
+        return packed(ranges) or [Spans([])]
 
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        if not span.size:
-            return
+    def read(self, spans: Spans) -> Iterator[pa.RecordBatch]:
+        store, root = opened(self.place)
         rows, held = [], 0
-        with opened(self.place)[0].open_input_file(span.path) as file:
-            chunk = max(4096, min(CHUNK, span.stop - span.start + 2))
-            for offset, unit in units_in(file, span.size, span.start, span.stop, chunk):
-                reason = f"unit of over {LONGEST} bytes" if unit is None else fault(unit)
-                if self.types is not None and (reason or unit[0] & 31 not in self.types):
-                    continue
-                rows.append((span.path, offset, None, None, unit, reason) if reason else (span.path, offset, (unit[0] >> 5) & 3, unit[0] & 31, unescape(unit[1:]), None))
-                held += len(unit or b"")
-                if held >= BATCH:
-                    yield batch_of(rows)
-                    rows, held = [], 0
+        for name, start, stop, size in spans.ranges:
+            path = f"{root.rstrip('/')}/{name}" if name else root
+            with store.open_input_file(path) as file:
+                for offset, unit in units_in(file, size, start, stop, max(4096, min(CHUNK, stop - start + 2))):
+                    reason = f"unit of over {LONGEST} bytes" if unit is None else fault(unit)
+                    if self.types is not None and (reason or unit[0] & 31 not in self.types):
+                        continue
+                    rows.append((path, offset, None, None, unit, reason) if reason else (path, offset, (unit[0] >> 5) & 3, unit[0] & 31, unescape(unit[1:]), None))
+                    held += len(unit or b"") + ROW
+                    if held >= BATCH:
+                        yield batch_of(rows)
+                        rows, held = [], 0
         if rows:
             yield batch_of(rows)
 
