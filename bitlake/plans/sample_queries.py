@@ -19,8 +19,8 @@ from bitlake.functions import blocks, motion, samples
 WIDTHS = {"intra4_modes": 13, "intra4_available": 14, "intra8_available": 26, "chroma_means": 17, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4, "inverse4_both": 16, "inverse8_both": 64, "whole_dequantise": 16}
 
 
-#: Groups of one batch of arrays.
-GROUPS = 16_384
+#: Groups of one batch of arrays at most, and numbers, made ones and samples.
+GROUPS, NUMBERS = 16_384, 1 << 20
 
 
 def line(s: list, n: int) -> samples.Line:
@@ -113,10 +113,32 @@ def of_arrays(width: int, make):
     Null and empty texts have one group, of a null text's all values are null.
     """
 
-    def cut(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.array([max(1, -(-len(t or b"") // width)) for t in texts])
-        whole = b"".join((t or b"").ljust(k * width, b"Q") for t, k in zip(texts, n.tolist(), strict=True))
-        return np.frombuffer(whole, np.uint8).reshape(-1, width), np.repeat(np.arange(len(texts)), n), np.concatenate([np.arange(k) for k in n])
+    made_of_none = make([np.zeros(1, np.int64)] * width)
+    most = max(1, min(GROUPS, NUMBERS // (width + sum(len(v) if isinstance(v, list) else 1 for v in made_of_none.values()))))
+
+    def cut(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes, places of texts, group numbers and whether the text is null, of at most `most` groups at once; long texts go on in the next."""
+        parts, at, first, room = [], [], [], most
+
+        def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            n = np.array([len(p) // width for p, _ in parts])
+            group = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            return np.frombuffer(b"".join(p for p, _ in parts), np.uint8).reshape(-1, width), np.repeat(at, n), group, np.repeat([null for _, null in parts], n)
+
+        for i, one in enumerate(texts):
+            text = one.as_py()
+            n, begun = max(1, -(-len(text or b"") // width)), 0
+            while begun < n:
+                take = min(room, n - begun)
+                parts.append(((text or b"")[begun * width : (begun + take) * width].ljust(take * width, b"Q"), text is None))
+                at.append(i)
+                first.append(begun)
+                begun, room = begun + take, room - take
+                if not room:
+                    yield whole()
+                    parts, at, first, room = [], [], [], most
+        if parts:
+            yield whole()
 
     def column(value, null: np.ndarray) -> pa.Array:
         if not isinstance(value, list):
@@ -127,19 +149,14 @@ def of_arrays(width: int, make):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            if not texts:
-                continue
-            bytes_, doc, group = cut(texts)
-            null = np.array([t is None for t in texts])[doc]
-            for at in range(0, len(doc), GROUPS):
-                own = slice(at, at + GROUPS)
-                made = make(list(np.ascontiguousarray(bytes_[own].T).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[own])), pa.array(group[own]), *(column(v, null[own]) for v in made.values())], names=["doc_id", "group_no", *made])
+            ids = batch.column(0)
+            for bytes_, doc, group, null in cut(batch.column(1)):
+                made = make(list(np.ascontiguousarray(bytes_.T).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(group), *(column(v, null) for v in made.values())], names=["doc_id", "group_no", *made])
 
     def query(spark: SparkSession, d: str) -> DataFrame:
         docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-        columns = ", ".join(f"`{k}` {'string' if isinstance(v, list) else 'bigint'}" for k, v in make([np.zeros(1, np.int64)] * width).items())
+        columns = ", ".join(f"`{k}` {'string' if isinstance(v, list) else 'bigint'}" for k, v in made_of_none.items())
         return docs.mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, group_no bigint, {columns}")
 
     return query

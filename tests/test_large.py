@@ -4,7 +4,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bitlake.operators import pictures, runs
-from bitlake.sources import ranges
+from bitlake.plans import sample_queries
+from bitlake.sources import framing, ranges
 
 
 def test_short_parts_are_one_window(spark):
@@ -27,3 +28,24 @@ def test_small_ranges_share_tasks():
     tasks = ranges.packed(many)
     assert [r for t in tasks for r in t.ranges] == many and len(tasks) < 250
     assert len(ranges.packed([("a", i, i + 1, 64) for i in range(64)])) == 64 and ranges.packed([]) == []
+
+
+def test_units_leave_in_bounded_batches(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: seen.append(f) or self)
+    framing.units(spark.createDataFrame([(1, b"")], "k long, data binary"), "k", "data")
+    one = pa.RecordBatch.from_pydict({"k": pa.array([1, 2], pa.int64()), "data": pa.array([b"\0\0\1\x41" * 50_000, None], pa.binary())})
+    sizes = [b.num_rows for b in seen[0](iter([one]))]
+    assert sum(sizes) == 50_000 and max(sizes) <= framing.ROWS
+
+
+def test_groups_of_long_texts_go_on_in_the_next_batch(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: seen.append(f) or self)
+    sample_queries.of_arrays(4, sample_queries.MAKERS["edge_chroma"])(spark, "/root/testdata/sf0.001")
+    one = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "data": pa.array([b"abcd" * 40_000 + b"x", None, b""], pa.binary())})
+    made = list(seen[0](iter([one])))
+    rows = [r for b in made for r in b.to_pylist()]
+    assert max(b.num_rows for b in made) <= sample_queries.GROUPS
+    assert [(r["doc_id"], r["group_no"]) for r in rows] == [(1, i) for i in range(40_001)] + [(2, 0), (3, 0)]
+    assert rows[-2]["normal"] is None and rows[-1]["normal"] is not None
