@@ -7,9 +7,11 @@ and no task holds a picture.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitlake.functions.codec import CHROMA_QP
@@ -50,21 +52,51 @@ def with_neighbours(blocks: DataFrame, picture: list[str], asked: dict[str, tupl
     edge, wanted = SIDE + 2 * REACH, list(asked)
     side, reach = SIDE, REACH
 
-    def look(table: pa.Table) -> pa.Table:
-        get = lambda n: table.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
+    def look(batch: pa.RecordBatch, tile: np.ndarray) -> pa.RecordBatch:
+        """The neighbours within whole tiles, numbered by tile: places of all tiles are one ascending list of codes, which is searched."""
+        get = lambda n: batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64)
         x, y = get("x") - get("_tx") * side + reach, get("y") - get("_ty") * side + reach
-        at = np.full((edge, edge), -1)
-        at[y, x] = np.arange(len(x))
+        code = (tile * edge + y) * edge + x
+        order = np.argsort(code, kind="stable")
+        ascending = code[order]
         own = np.flatnonzero((get("_own") > 0) & (x >= reach) & (x < edge - reach) & (y >= reach) & (y < edge - reach))
-        columns = [table.column(n).take(pa.array(own)) for n in names]
+        columns = [batch.column(n).take(pa.array(own)) for n in names]
         for k in wanted:
-            found = at[y[own] + get(f"_{k}_y")[own], x[own] + get(f"_{k}_x")[own]]
-            index = pa.array(found, mask=found < 0)
-            fields = [table.column(v).combine_chunks().take(index) for v in values]
-            columns.append(pa.StructArray.from_arrays([f.combine_chunks() if isinstance(f, pa.ChunkedArray) else f for f in fields], names=values, mask=pa.array(found < 0)))
-        return pa.table(columns, names=[*names, *wanted])
-
-    return rows.groupBy(*picture, "_tx", "_ty").applyInArrow(look, schema)
+            sought = code[own] + get(f"_{k}_y")[own] * edge + get(f"_{k}_x")[own]
+            near = np.searchsorted(ascending, sought, "right") - 1  # of rows of one place, the last
+            missing = (near < 0) | (ascending[near] != sought)
+            index = pa.array(order[near], mask=missing)
+            columns.append(pa.StructArray.from_arrays([batch.column(v).take(index) for v in values], names=values, mask=pa.array(missing)))
+        return pa.RecordBatch.from_arrays(columns, names=[*names, *wanted])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many tiles at once; the last one of a batch waits for its rows in the next."""
+        left: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = batch.column("_new").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            if not len(starts):
+                left.append(batch)
+                continue
+            done = [*left, batch.slice(0, starts[-1])]
+            left = [batch.slice(starts[-1])]
+            if whole := joined(done):
+                yield look(*whole)
+        if whole := joined(left):
+            yield look(*whole)
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray] | None:
+        parts = [p for p in parts if p.num_rows]
+        if not parts:
+            return None
+        one = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return one, np.cumsum(one.column("_new").to_numpy(zero_copy_only=False))
+
+    keys = [*picture, "_tx", "_ty"]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("y", "x")) == 1  # leaves each tile's rows together, in one task
+    return rows.withColumn("_new", first.cast("long")).mapInArrow(each, schema)
 
 
 def available(neighbour: Column) -> Column:

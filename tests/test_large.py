@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from bitlake.operators import pictures, runs
+from bitlake.operators import grid, pictures, runs
 from bitlake.plans import sample_queries
 from bitlake.sources import framing, ranges
 
@@ -49,3 +49,11 @@ def test_groups_of_long_texts_go_on_in_the_next_batch(spark, monkeypatch):
     assert max(b.num_rows for b in made) <= sample_queries.GROUPS
     assert [(r["doc_id"], r["group_no"]) for r in rows] == [(1, i) for i in range(40_001)] + [(2, 0), (3, 0)]
     assert rows[-2]["normal"] is None and rows[-1]["normal"] is not None
+
+
+def test_many_tiles_share_a_call(spark):
+    blocks = spark.range(40_000).select((F.col("id") / 8).cast("long").alias("p"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") % 8 / 4).alias("y"), F.col("id").alias("v"))
+    found = grid.with_neighbours(blocks, ["p"], {"left": (-1, 0), "above": (0, -1)}, ["v"])
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    bad = found.where(~F.col("left.v").eqNullSafe(F.when(F.col("x") > 0, F.col("v") - 1)) | ~F.col("above.v").eqNullSafe(F.when(F.col("y") > 0, F.col("v") - 4)))
+    assert found.count() == 40_000 and bad.isEmpty()
