@@ -1,8 +1,8 @@
-"""Prediction of blocks from reference planes by vectors: a join of blocks to tiles of planes.
+"""Prediction of blocks from reference planes by vectors: a join of blocks to strips of planes.
 
-Planes are rows of their lines. A tile is SIDE x SIDE places with a border of HALO samples of what lies around it, the plane's edge
-going on beyond the plane. Where a vector leads decides the one tile that holds all samples that the block needs; the clamp
-at the plane's edge is in that key, so that vectors may lead anywhere.
+Planes are rows of their lines. A strip is SIDE lines with HALO lines above and below them. Where a vector leads decides the one strip that holds
+all lines that the block needs; the clamp at the plane's edge is in that key, so that vectors may lead anywhere. Of a strip
+only the few samples around the place leave the join.
 """
 
 from __future__ import annotations
@@ -18,36 +18,22 @@ from bitlake.functions import samples
 from bitlake.functions.codec import bilinear
 
 SIDE, HALO = 32, 8
-EDGE = SIDE + 2 * HALO
+#: Lines and columns of samples that a block is made from.
+PATCH = 9
 
 
 def tiles(lines: DataFrame, plane: str = "plane") -> DataFrame:
-    """(plane, ty, tx, width, height, data) from (plane, y, line): y from 0, all lines of a plane of one length.
+    """(_key, first, lines, width, height) from (plane, y, line): y counts a plane's lines from 0, all of one length.
 
-    Tiles also cover HALO samples around the plane, where clamped vectors lead. Lines meet by strips of SIDE of them; a strip is at most
-    EDGE lines. Planes without a line have no tiles; null lines must not occur.
+    _key is plane and strip; a strip is at most SIDE + 2 * HALO lines, in order, from line `first` on. width and height are those of the strip's own lines, and
+    height counts from the plane's first line on, so that the plane's are their greatest. Strips also lie HALO lines
+    around the plane, where clamped vectors lead. Planes without a line have no strips; null lines must not occur.
     """
-    rows = lines.select(plane, "y", "line")
-    sizes = rows.groupBy(plane).agg((F.max("y") + 1).alias("height"), F.max(F.octet_length("line")).alias("width"))
-    strip = F.explode(F.sequence(F.floor((F.col("y") - HALO) / SIDE), F.floor((F.col("y") + HALO) / SIDE)))
-    kind = dict(lines.dtypes)[plane]
-    strips = rows.withColumn("ty", strip).join(sizes.withColumnRenamed(plane, "_p"), F.col(plane).eqNullSafe(F.col("_p"))).drop("_p")
-
-    def cut(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("y").to_numpy())
-        ys = table.column("y").to_numpy()[order]
-        ty, width, height = table.column("ty")[0].as_py(), table.column("width")[0].as_py(), table.column("height")[0].as_py()
-        data = table.column("line").to_pylist()
-        block = np.stack([np.frombuffer(data[i], np.uint8) for i in order])
-        wanted = np.clip(np.arange(ty * SIDE - HALO, ty * SIDE + SIDE + HALO), 0, height - 1)
-        block = block[np.searchsorted(ys, np.clip(wanted, ys[0], ys[-1]))]
-        columns = range(-1, (width + HALO) // SIDE + 1)
-        made = [block[:, np.clip(np.arange(tx * SIDE - HALO, tx * SIDE + SIDE + HALO), 0, width - 1)].tobytes() for tx in columns]
-        n = len(made)
-        own = table.column(plane).slice(0, 1).combine_chunks().take(pa.array([0] * n))
-        return pa.table([own, pa.array([ty] * n, pa.int64()), pa.array(list(columns), pa.int64()), pa.array([width] * n, pa.int64()), pa.array([height] * n, pa.int64()), pa.array(made, pa.binary())], names=[plane, "ty", "tx", "width", "height", "data"])
-
-    return strips.groupBy(plane, "ty").applyInArrow(cut, f"`{plane}` {kind}, ty bigint, tx bigint, width bigint, height bigint, data binary")
+    y = F.col("y").cast("long")
+    strip = F.explode(F.sequence(F.floor((y - HALO) / SIDE), F.floor((y + HALO) / SIDE)))
+    rows = lines.select(plane, y.alias("y"), "line", strip.alias("ty"))
+    held = rows.groupBy(F.struct(plane, "ty").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("_held"), F.max(F.octet_length("line")).alias("width"), (F.max("y") + 1).alias("height"))
+    return held.select("_key", F.get("_held", F.lit(0))["y"].alias("first"), F.col("_held.line").alias("lines"), "width", "height")
 
 
 def touched(at: Column, vector: Column, unit: int, size: Column) -> Column:
@@ -58,38 +44,43 @@ def touched(at: Column, vector: Column, unit: int, size: Column) -> Column:
 def predicted(blocks: DataFrame, planes: DataFrame, plane: str = "plane", chroma: bool = False) -> DataFrame:
     """blocks (plane, x, y, mvx, mvy, ...) with `block`, the 4x4 samples (chroma: 2x2) in row order as binary that the vector leads to.
 
-    planes are tiles; x and y are the block's first sample, vectors are in quarters of a luma sample or eighths of a chroma one.
-    Blocks whose plane has no tiles are left out. Null planes meet null planes.
+    planes are strips; x and y are the block's first sample, vectors are in quarters of a luma sample or eighths of a chroma one.
+    Blocks whose plane has no strips are left out. Null planes meet null planes.
     """
     unit, side = (8, 2) if chroma else (4, 4)
     names = [n for n in blocks.columns if n != "block"]
     kinds = dict(blocks.dtypes)
-    sizes = planes.groupBy(plane).agg(F.first("width").alias("_w"), F.first("height").alias("_h")).withColumnRenamed(plane, "_p")
-    rows = blocks.select(*names).join(sizes, F.col(plane).eqNullSafe(F.col("_p"))).drop("_p")
-    rows = rows.withColumns({"_x": touched(F.col("x"), F.col("mvx"), unit, F.col("_w")), "_y": touched(F.col("y"), F.col("mvy"), unit, F.col("_h"))})
-    rows = rows.withColumns({"_fx": F.pmod("mvx", F.lit(unit)).cast("long"), "_fy": F.pmod("mvy", F.lit(unit)).cast("long"), "_tx": F.floor(F.col("_x") / SIDE), "_ty": F.floor(F.col("_y") / SIDE)})
-    held = planes.select(F.struct(plane, "ty", "tx").alias("_key"), F.col("data").alias("_data"))
-    met = rows.withColumn("_key", F.struct(F.col(plane), F.col("_ty").alias("ty"), F.col("_tx").alias("tx"))).join(held, "_key")
-    used = ["_x", "_y", "_tx", "_ty", "_fx", "_fy"]
+    c = F.col
+    sizes = planes.groupBy(F.struct(c(f"_key.{plane}").alias(plane)).alias("_p")).agg(F.max("width").alias("_w"), F.max("height").alias("_h"))
+    rows = blocks.select(*names, F.struct(plane).alias("_p")).join(sizes, "_p").drop("_p")
+    rows = rows.withColumns({"_x": touched(c("x"), c("mvx"), unit, c("_w")), "_y": touched(c("y"), c("mvy"), unit, c("_h")), "_fx": F.pmod("mvx", F.lit(unit)).cast("long"), "_fy": F.pmod("mvy", F.lit(unit)).cast("long")})
+    rows = rows.withColumn("_key", F.struct(c(plane), F.floor(c("_y") / SIDE).alias("ty")))
+    last = F.size("lines") - 1
+    line = lambda i: F.get("lines", F.least(F.greatest(c("_y") - 2 + i - c("first"), F.lit(0)), last).cast("int"))
+    met = rows.join(planes.select("_key", "first", "lines"), "_key").withColumn("_from", F.greatest(F.least(c("_x") - 2, c("_w") - 1), F.lit(0)))
+    patch = F.concat(*(F.rpad(F.substring(line(i), (c("_from") + 1).cast("int"), F.lit(PATCH)), PATCH, F.lit(b"\0")) for i in range(PATCH)))
+    used = ["_x", "_w", "_from", "_fx", "_fy"]
     schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "block binary"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y, tx, ty, fx, fy = (batch.column(u).to_numpy() for u in used)
-            tile = np.frombuffer(b"".join(batch.column("_data").to_pylist()), np.uint8).reshape(-1, EDGE, EDGE)
-            x0, y0 = x - tx * SIDE + HALO, y - ty * SIDE + HALO
+            x, width, begun, fx, fy = (batch.column(u).to_numpy().astype(np.int64) for u in used)
+            held = np.frombuffer(b"".join(batch.column("_patch").to_pylist()), np.uint8).reshape(-1, PATCH, PATCH)
+            columns = np.clip(x[:, None] - 2 + np.arange(PATCH), 0, width[:, None] - 1) - begun[:, None]
+            held = np.take_along_axis(held, columns[:, None, :], axis=2).astype(np.int64)
             out = np.zeros((len(x), side * side), np.uint8)
             for a, b in {(int(p), int(q)) for p, q in zip(fx, fy, strict=True)}:
                 own = np.flatnonzero((fx == a) & (fy == b))
-                at = lambda dy, dx: tile[own, y0[own] + dy, x0[own] + dx].astype(np.int64)  # noqa: B023, E731
+                near = held[own]
+                at = lambda dy, dx: near[:, dy + 2, dx + 2]  # noqa: B023, E731
                 for i in range(side * side):
-                    r, c = divmod(i, side)
+                    r, k = divmod(i, side)
                     if chroma:
-                        out[own, i] = bilinear(at(r, c), at(r, c + 1), at(r + 1, c), at(r + 1, c + 1), a, b)
+                        out[own, i] = bilinear(at(r, k), at(r, k + 1), at(r + 1, k), at(r + 1, k + 1), a, b)
                     else:
-                        out[own, i] = samples.fractional([at(r + k - 2, c + j - 2) for k in range(6) for j in range(6)], a, b)
+                        out[own, i] = samples.fractional([at(r + p - 2, k + q - 2) for p in range(6) for q in range(6)], a, b)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([row.tobytes() for row in out], pa.binary())], names=[*names, "block"])
 
-    return met.select(*names, *used, "_data").mapInArrow(make, schema)
+    return met.select(*names, *used, patch.alias("_patch")).mapInArrow(make, schema)

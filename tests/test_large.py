@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from bitlake.operators import grid, pictures, runs
+from bitlake.operators import grid, pictures, prediction, runs
 from bitlake.plans import sample_queries
 from bitlake.sources import framing, ranges
 
@@ -57,3 +57,13 @@ def test_many_tiles_share_a_call(spark):
     assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
     bad = found.where(~F.col("left.v").eqNullSafe(F.when(F.col("x") > 0, F.col("v") - 1)) | ~F.col("above.v").eqNullSafe(F.when(F.col("y") > 0, F.col("v") - 4)))
     assert found.count() == 40_000 and bad.isEmpty()
+
+
+def test_only_samples_near_a_block_leave_its_strip(spark):
+    """Lines meet in Spark, without a Python call a strip, and of a wide strip only the places around a block go on."""
+    lines = spark.range(300).select(F.lit(1).alias("plane"), F.col("id").alias("y"), F.encode(F.repeat(F.lit("a"), 5000), "UTF-8").alias("line"))
+    blocks = spark.range(100).select(F.lit(1).alias("plane"), (F.col("id") * 40).alias("x"), (F.col("id") * 2).alias("y"), F.lit(3).alias("mvx"), F.lit(2).alias("mvy"))
+    found = prediction.predicted(blocks, prediction.tiles(lines))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan
+    assert [bytes(r.block) for r in found.collect()] == [b"a" * 16] * 100
