@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bitlake.functions.either import let
 from bitlake.operators import pictures
 
 #: (number, order count, long-term index or -1), oldest first.
@@ -162,23 +163,28 @@ def alternating(frames: Column, bottom: Column) -> Column:
     Fields of the own and of the other parity take turns, each list in the frames' order and without the fields that are
     missing; where one is at its end, the rest of the other follows.
     """
-    of = lambda low: F.transform(F.filter(frames, lambda f: F.when(low, f["bottom"]).otherwise(f["top"])), lambda f: F.struct(f["frame_num"].alias("frame_num"), low.alias("bottom")))
-    same, other = of(bottom), of(~bottom)
-    n = F.least(F.size(same), F.size(other))
-    turns = F.flatten(F.zip_with(F.slice(same, F.lit(1), n), F.slice(other, F.lit(1), n), lambda a, b: F.array(a, b)))
-    return F.concat(turns, F.slice(same, n + 1, F.size(same)), F.slice(other, n + 1, F.size(other)))
+    of = lambda all_, low: F.transform(F.filter(all_, lambda f: F.when(low, f["bottom"]).otherwise(f["top"])), lambda f: F.struct(f["frame_num"].alias("frame_num"), low.alias("bottom")))
 
+    def taken(t: Column) -> Column:
+        same, other = t["same"], t["other"]
+        n = F.least(F.size(same), F.size(other))
+        turns = F.flatten(F.zip_with(F.slice(same, F.lit(1), n), F.slice(other, F.lit(1), n), lambda a, b: F.array(a, b)))
+        return F.concat(turns, F.slice(same, n + 1, F.size(same)), F.slice(other, n + 1, F.size(other)))
 
-def field_lists(frames: Column, poc: Column, bottom: Column) -> dict[str, Column]:
-    """Lists p, l0 and l1 of a field from the frames it may refer to, structs of number, frame_num, poc, top and bottom.
+    return let(frames, lambda held: let(F.struct(of(held, bottom).alias("same"), of(held, ~bottom).alias("other")), taken))
+
+
+def field_lists(frames: Column, poc: Column, bottom: Column) -> Column:
+    """Lists p, l0 and l1, a struct, of a field from the frames it may refer to, structs of number, frame_num, poc, top and bottom.
 
     p goes by falling number (without wraps), l0 and l1 by distance of order count before and after; each then alternates
-    parities, and an l1 of two or more that equals l0 has its first two changed over.
+    parities, and an l1 of two or more that equals l0 has its first two changed over. Each step is computed once for a row.
     """
-    by = lambda key: F.array_sort(F.transform(frames, lambda f: F.struct(f[key].alias("key"), f["frame_num"].alias("frame_num"), f["top"].alias("top"), f["bottom"].alias("bottom"))))
-    past, future = F.reverse(F.filter(by("poc"), lambda f: f["key"] <= poc)), F.filter(by("poc"), lambda f: f["key"] > poc)
-    l0, l1 = alternating(F.concat(past, future), bottom), alternating(F.concat(future, past), bottom)
-    return {"p": alternating(F.reverse(by("number")), bottom), "l0": l0, "l1": pictures.swapped_if_equal(l1, l0)}
+    by = lambda key: F.sort_array(F.transform(frames, lambda f: F.struct(f[key].alias("key"), f["frame_num"].alias("frame_num"), f["top"].alias("top"), f["bottom"].alias("bottom"))))
+    sides = let(by("poc"), lambda s: F.struct(F.reverse(F.filter(s, lambda f: f["key"] <= poc)).alias("past"), F.filter(s, lambda f: f["key"] > poc).alias("future")))
+    lists = lambda s: F.struct(alternating(F.concat(s["past"], s["future"]), bottom).alias("l0"), alternating(F.concat(s["future"], s["past"]), bottom).alias("l1"))
+    p = alternating(F.reverse(by("number")), bottom)
+    return let(let(sides, lists), lambda t: F.struct(p.alias("p"), t["l0"].alias("l0"), pictures.swapped_if_equal(t["l1"], t["l0"]).alias("l1")))
 
 
 def same_parity_first(fields: Column, bottom: Column) -> Column:

@@ -132,7 +132,8 @@ def fields(spark: SparkSession, d: str) -> DataFrame:
 def field_lists(spark: SparkSession, d: str) -> DataFrame:
     held = pictures.with_held_frames(fields(spark, d))
     joined = lambda fs: F.array_join(F.transform(fs, lambda x: F.concat(x["frame_num"].cast("string"), F.when(x["bottom"], "b").otherwise("t"))), " ")
-    return held.select("stream_id", "seq", *(joined(v).alias(k) for k, v in marking.field_lists(F.col("held"), F.col("poc"), F.col("bottom")).items()))
+    lists = held.select("stream_id", "seq", marking.field_lists(F.col("held"), F.col("poc"), F.col("bottom")).alias("lists"))
+    return lists.select("stream_id", "seq", *(joined(F.col(f"lists.{k}")).alias(k) for k in ("p", "l0", "l1")))
 
 
 def marked_rows(spark: SparkSession, d: str) -> DataFrame:

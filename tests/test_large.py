@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bitlake.operators import grid, pictures, prediction, runs
-from bitlake.plans import sample_queries
+from bitlake.plans import assembly_queries, sample_queries
 from bitlake.sources import framing, ranges
 
 
@@ -67,3 +67,8 @@ def test_only_samples_near_a_block_leave_its_strip(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan
     assert [bytes(r.block) for r in found.collect()] == [b"a" * 16] * 100
+
+
+def test_field_lists_sort_each_order_once(spark):
+    plan = assembly_queries.field_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") + plan.count("array_sort(") == 2
