@@ -61,12 +61,18 @@ def quarter_sample(taps: list[Column]) -> Column:
 
 def plane(above: list[Column], left: list[Column], corner: Column, x: int, y: int) -> Column:
     """The plane prediction of an 8x8 chroma block at (x, y) from its eight upper and left neighbours."""
+    return planes(above, left, corner, [(x, y)])[0]
+
+
+def planes(above: list[Column], left: list[Column], corner: Column, points: list[tuple[int, int]]) -> list[Column]:
+    """The plane prediction at each of some places of a block; both slopes are the same for all."""
 
     def slope(side: list[Column]) -> Column:
         before = [side[2], side[1], side[0], corner]
-        return F.shiftright(34 * sum((side[4 + i] - before[i]) * (i + 1) for i in range(4)) + 32, 6)
+        return shift(34 * sum((side[4 + i] - before[i]) * (i + 1) for i in range(4)) + 32, 6)
 
-    return clip(F.shiftright(16 * (left[7] + above[7]) + slope(above) * (x - 3) + slope(left) * (y - 3) + 16, 5), 0, 255)
+    across, down = slope(above), slope(left)
+    return [clip(shift(16 * (left[7] + above[7]) + across * (x - 3) + down * (y - 3) + 16, 5), 0, 255) for x, y in points]
 
 
 def strong_filter(p3: Column, p2: Column, p1: Column, p0: Column, q0: Column, q1: Column, alpha: int, beta: int) -> list[Column]:

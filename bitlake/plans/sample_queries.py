@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bitlake.functions import blocks, motion, samples
 
 #: By each query over groups of bytes, the bytes that a group has.
-WIDTHS = {"intra4_modes": 13, "intra4_available": 14, "intra8_available": 26, "chroma_means": 17, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4, "inverse4_both": 16, "inverse8_both": 64, "whole_dequantise": 16}
+WIDTHS = {"intra4_modes": 13, "intra4_available": 14, "intra8_available": 26, "chroma_means": 17, "intra8_modes": 25, "intra16_modes": 33, "quarter_places": 36, "inverse8": 64, "matrix_scaling": 16, "scaling8": 64, "luma_dc": 16, "edge_both_sides": 8, "edge_chroma": 4, "implicit_samples": 4, "inverse4_both": 16, "inverse8_both": 64, "whole_dequantise": 16, "whole_intra_plane": 16}
 
 
 #: Groups of one batch of arrays at most, and numbers, made ones and samples.
@@ -103,6 +103,7 @@ MAKERS = {
     "edge_both_sides": edge_both_sides, "edge_chroma": edge_chroma,
     "implicit_samples": lambda s: {"value": samples.weighted_implicit(s[0], s[1], s[2] % 129 - 32, 64 - (s[2] % 129 - 32))},
     "inverse4_both": inverse(4, lambda v: blocks.butterfly(*v)), "inverse8_both": inverse(8, samples.line8),
+    "whole_intra_plane": lambda s: {f"v{i}": v for i, v in enumerate(blocks.planes(s[:8], s[8:16], s[7], [(x, y) for y in range(8) for x in range(8)]))},
     "whole_dequantise": lambda s: {f"d{i}": blocks.dequantised(v - 128, s[0] % 52, i % 4, i // 4) for i, v in enumerate(s)},
 }
 

@@ -1,10 +1,11 @@
 """What keeps work in proportion to the input: short parts, packed ranges, batches of bounded size."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from bitlake.operators import grid, pictures, prediction, runs
-from bitlake.plans import assembly_queries, sample_queries
+from bitlake.plans import assembly_queries, catalogue, sample_queries
 from bitlake.sources import framing, ranges
 
 
@@ -72,3 +73,14 @@ def test_only_samples_near_a_block_leave_its_strip(spark):
 def test_field_lists_sort_each_order_once(spark):
     plan = assembly_queries.field_lists(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sort_array(") + plan.count("array_sort(") == 2
+
+
+def test_whole_planes_are_arrays(spark):
+    """All 64 places of a block from slopes computed once, equal to the formula at each place."""
+    s = np.random.default_rng(3).integers(0, 256, (16, 500))
+    before = [[s[2 - i] if i < 3 else s[7] for i in range(4)], [s[10 - i] if i < 3 else s[7] for i in range(4)]]
+    slope = [34 * sum((i + 1) * (s[8 * k + 4 + i] - before[k][i]) for i in range(4)) + 32 >> 6 for k in (0, 1)]
+    made = sample_queries.MAKERS["whole_intra_plane"](list(s))
+    for i in range(64):
+        assert (made[f"v{i}"] == np.clip(16 * (s[15] + s[7]) + slope[0] * (i % 8 - 3) + slope[1] * (i // 8 - 3) + 16 >> 5, 0, 255)).all()
+    assert "MapInArrow" in catalogue.QUERIES["whole_intra_plane"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
