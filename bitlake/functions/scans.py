@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bitlake.functions.blocks import SCALES
-from bitlake.functions.either import choose, greatest, let, quotient, scaled_down, scaled_up
+from bitlake.functions.either import Value, choose, greatest, let, quotient, scaled_down, scaled_up
 from bitlake.functions.samples import SCALES_8X8, kind8
 
 # The places in row order, 4 or 8 a row, that the scan of field blocks goes through.
@@ -53,22 +54,49 @@ def in_row_order(levels: Column, n: int, field: Column) -> Column:
     return let(levels, lambda held: F.transform(order, lambda i: F.get(held, i)))
 
 
+def scale_table(n: int) -> list[list[int]]:
+    """By quality modulo 6, the scales of a block's places in row order."""
+    kind = lambda x, y: (0 if x % 2 == y % 2 == 0 else 1 if x % 2 == y % 2 == 1 else 2) if n == 4 else kind8(x, y)
+    return [[row[kind(i % n, i // n)] for i in range(n * n)] for row in (SCALES if n == 4 else SCALES_8X8)]
+
+
+def by_octave(v: Value, octave: Value, n: int) -> Value:
+    """A level times its scale and weight, shifted by quality / 6; rounded where that is to the right."""
+    places = 4 if n == 4 else 6
+    return choose(octave >= places, scaled_up(v, greatest(octave - places, 0)), scaled_down(v, greatest(places - octave, 1)))
+
+
 def scaled_block(levels: Column, qp: Column, matrix: Column, n: int, start: Column | int = 0) -> Column:
     """A block in row order, scaled by quality and a matrix of n * n weights, which are always in the frame's scan order.
 
     With start 1 the first level has been scaled already and stays.
     """
-    kind = lambda x, y: (0 if x % 2 == y % 2 == 0 else 1 if x % 2 == y % 2 == 1 else 2) if n == 4 else kind8(x, y)
-    table = [[row[kind(i % n, i // n)] for i in range(n * n)] for row in (SCALES if n == 4 else SCALES_8X8)]
-    scales = F.get(F.array(*(F.array(*map(F.lit, row)) for row in table)), (qp % 6).cast("int"))
+    scales = F.get(F.array(*(F.array(*map(F.lit, row)) for row in scale_table(n))), (qp % 6).cast("int"))
     weights = let(matrix, lambda m: F.transform(F.array(*map(F.lit, inverse_of(diagonal_scan(n)))), lambda i: F.get(m, i)))
-    places = 4 if n == 4 else 6
     first = F.lit(start) if isinstance(start, int) else start
 
     def value(level: Column, i: Column, t: Column) -> Column:
         v = level * F.get(t["scales"], i) * F.get(t["weights"], i)
-        made = choose(t["octave"] >= places, scaled_up(v, greatest(t["octave"] - places, 0)), scaled_down(v, greatest(places - t["octave"], 1)))
-        return F.when((level == 0) | (i < first), level).otherwise(made)
+        return F.when((level == 0) | (i < first), level).otherwise(by_octave(v, t["octave"], n))
 
     held = F.struct(levels.alias("levels"), scales.alias("scales"), weights.alias("weights"), quotient(qp, 6).alias("octave"))
     return let(held, lambda t: F.transform(t["levels"], lambda level, i: value(level, i, t)))
+
+
+def sparse_blocks(pairs: list[tuple[np.ndarray, np.ndarray]], n: int, start: np.ndarray, field: np.ndarray, qp: np.ndarray, matrices: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """What in_scan_order, in_row_order and scaled_block give, over arrays: a row of n * n scaled levels for each of many blocks.
+
+    pairs are runs and levels of all blocks, matrices rows of weights in the frame's scan order, of which each block has one (which). Only the
+    levels that are there are scaled.
+    """
+    orders = np.array([scan(n, False), scan(n, True)])
+    scales, weights = np.array(scale_table(n)), matrices[:, inverse_of(diagonal_scan(n))]
+    out, at = np.zeros((len(start), n * n), np.int64), start.astype(np.int64)
+    for run, level in pairs:
+        at = at + run
+        own = np.flatnonzero((at >= 0) & (at < n * n) & (level != 0))
+        place, quality = orders[field[own].astype(int), at[own]], qp[own]
+        made = by_octave(level[own] * scales[quality % 6, place] * weights[which[own], place], quality // 6, n)
+        out[own, place] = np.where(place < start[own], level[own], made)
+        at = at + 1
+    return out

@@ -1,9 +1,12 @@
 """What keeps work in proportion to the input: short parts, packed ranges, batches of bounded size."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from bitlake.functions import scans
 from bitlake.operators import grid, pictures, prediction, runs
 from bitlake.plans import assembly_queries, catalogue, sample_queries
 from bitlake.sources import framing, ranges
@@ -84,3 +87,24 @@ def test_whole_planes_are_arrays(spark):
     for i in range(64):
         assert (made[f"v{i}"] == np.clip(16 * (s[15] + s[7]) + slope[0] * (i % 8 - 3) + slope[1] * (i // 8 - 3) + 16 >> 5, 0, 255)).all()
     assert "MapInArrow" in catalogue.QUERIES["whole_intra_plane"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_level_blocks_are_arrays(spark, tmp_path):
+    """Blocks come in batches of arrays, as their SQL has them where part, supplier or quality are null, too."""
+    rows = [(1, 1, 7, 6, 30.0), (2, 1, 7, 6, None), (3, 2, None, 6, 30.0), (4, 1, 7, None, 1.0), (5, 1, 8, 9, 50.0)]
+    table = pa.table(list(zip(*rows, strict=True)), names=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"])
+    pq.write_table(table, tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    found = catalogue.QUERIES["run_level_blocks"](spark, str(tmp_path))
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(catalogue.SQL["run_level_blocks"]).fetchall())
+    rng = np.random.default_rng(5)
+    pairs = [(rng.integers(0, 9, 50), rng.integers(-20, 21, 50)) for _ in range(6)]
+    start, field, q, weights = rng.integers(0, 2, 50), rng.integers(0, 2, 50) == 1, rng.integers(0, 52, 50), rng.integers(1, 64, (3, 64))
+    made = scans.sparse_blocks(pairs, 8, start, field, q, weights, np.arange(50) % 3)
+    lists = [([{"run": int(r[i]), "level": int(v[i])} for r, v in pairs], int(start[i]), bool(field[i]), int(q[i]), weights[i % 3].tolist(), i) for i in range(50)]
+    df = spark.createDataFrame(lists, "pairs array<struct<run:bigint,level:bigint>>, start long, field boolean, q long, matrix array<bigint>, i long")
+    levels = scans.in_row_order(scans.in_scan_order(F.col("pairs"), 8, F.col("start")), 8, F.col("field"))
+    for r in df.select("i", scans.scaled_block(levels, F.col("q"), F.col("matrix"), 8, F.col("start")).alias("b")).collect():
+        assert r.b == made[r.i].tolist()
