@@ -22,6 +22,11 @@ SIDE, HALO = 32, 8
 PATCH = 9
 
 
+def strip_key(rows: DataFrame, plane: str, ty: Column) -> Column:
+    """A strip's key, of one type whatever may be null, so that a join by it takes strips as they lie."""
+    return F.struct(F.col(plane).alias(plane), ty.alias("ty")).cast(f"struct<`{plane}`:{dict(rows.dtypes)[plane]},ty:bigint>")
+
+
 def tiles(lines: DataFrame, plane: str = "plane") -> DataFrame:
     """(_key, first, lines, width, height) from (plane, y, line): y counts a plane's lines from 0, all of one length.
 
@@ -32,7 +37,7 @@ def tiles(lines: DataFrame, plane: str = "plane") -> DataFrame:
     y = F.col("y").cast("long")
     strip = F.explode(F.sequence(F.floor((y - HALO) / SIDE), F.floor((y + HALO) / SIDE)))
     rows = lines.select(plane, y.alias("y"), "line", strip.alias("ty"))
-    held = rows.groupBy(F.struct(plane, "ty").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("_held"), F.max(F.octet_length("line")).alias("width"), (F.max("y") + 1).alias("height"))
+    held = rows.groupBy(strip_key(rows, plane, F.col("ty")).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("y", "line"))).alias("_held"), F.max(F.octet_length("line")).alias("width"), (F.max("y") + 1).alias("height"))
     return held.select("_key", F.get("_held", F.lit(0))["y"].alias("first"), F.col("_held.line").alias("lines"), "width", "height")
 
 
@@ -54,7 +59,7 @@ def predicted(blocks: DataFrame, planes: DataFrame, plane: str = "plane", chroma
     sizes = planes.groupBy(F.struct(c(f"_key.{plane}").alias(plane)).alias("_p")).agg(F.max("width").alias("_w"), F.max("height").alias("_h"))
     rows = blocks.select(*names, F.struct(plane).alias("_p")).join(sizes, "_p").drop("_p")
     rows = rows.withColumns({"_x": touched(c("x"), c("mvx"), unit, c("_w")), "_y": touched(c("y"), c("mvy"), unit, c("_h")), "_fx": F.pmod("mvx", F.lit(unit)).cast("long"), "_fy": F.pmod("mvy", F.lit(unit)).cast("long")})
-    rows = rows.withColumn("_key", F.struct(c(plane), F.floor(c("_y") / SIDE).alias("ty")))
+    rows = rows.withColumn("_key", strip_key(rows, plane, F.floor(c("_y") / SIDE)))
     last = F.size("lines") - 1
     line = lambda i: F.get("lines", F.least(F.greatest(c("_y") - 2 + i - c("first"), F.lit(0)), last).cast("int"))
     met = rows.join(planes.select("_key", "first", "lines"), "_key").withColumn("_from", F.greatest(F.least(c("_x") - 2, c("_w") - 1), F.lit(0)))

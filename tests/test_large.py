@@ -71,6 +71,7 @@ def test_only_samples_near_a_block_leave_its_strip(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroups" not in plan
     assert [bytes(r.block) for r in found.collect()] == [b"a" * 16] * 100
+    assert "hashpartitioning(cast(" not in found._jdf.queryExecution().executedPlan().toString()  # strips are not shuffled again
 
 
 def test_field_lists_sort_each_order_once(spark):
