@@ -168,6 +168,7 @@ for _name, _width in WHOLE.items():
     QUERIES[f"whole_{_name}"] = of_groups(_width, _makers[_name])
     SQL[f"whole_{_name}"] = groups_sql(_width) + _sql[_name].replace("SELECT doc_id,", "SELECT doc_id, group_no,")
 for _name, _make in sample_queries.MAKERS.items():
-    QUERIES[_name] = sample_queries.of_arrays(sample_queries.WIDTHS[_name], _make)
+    _width, _ordered = sample_queries.WIDTHS[_name], sample_queries.ORDERED.get(_name)
+    QUERIES[_name] = sample_queries.in_order(_width, *_ordered) if _ordered else sample_queries.of_arrays(_width, _make)
 QUERIES |= sample_queries.QUERIES | stream_queries.QUERIES | assembly_queries.QUERIES | grid_queries.QUERIES | prediction_queries.QUERIES
 SQL |= sample_queries.sql(groups_sql) | stream_queries.sql(PICS) | assembly_queries.SQL | grid_queries.SQL | prediction_queries.sql(PICS)

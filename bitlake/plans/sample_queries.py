@@ -108,57 +108,118 @@ MAKERS = {
 }
 
 
+#: Groups of one range of ordered ones, about: so few that most columns are written as places in lists of their values; and ranges at most.
+RANGE, RANGES = 100_000, 8_192
+
+#: Of a 4x4 block's samples those that most modes read first: the upper four, the left ones, the corner, the upper-right ones.
+FIRST4 = [0, 1, 2, 3, 8, 9, 10, 11, 12, 4, 5, 6, 7]
+
+#: By each query whose rows go out in the order of what their values depend on: the bytes of this, of a group's samples, and what makes its columns of them.
+ORDERED = {
+    "intra4_modes": (lambda s: [s[i] for i in FIRST4], lambda b: MAKERS["intra4_modes"]([b[FIRST4.index(i)] for i in range(13)])),
+}
+
+
+def cut(texts: pa.Array, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, places of texts, group numbers and whether the text is null, of at most `most` groups at once; long texts go on in the next."""
+    parts, at, first, room = [], [], [], most
+
+    def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array([len(p) // width for p, _ in parts])
+        group = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        return np.frombuffer(b"".join(p for p, _ in parts), np.uint8).reshape(-1, width), np.repeat(at, n), group, np.repeat([null for _, null in parts], n)
+
+    for i, one in enumerate(texts):
+        text = one.as_py()
+        n, begun = max(1, -(-len(text or b"") // width)), 0
+        while begun < n:
+            take = min(room, n - begun)
+            parts.append(((text or b"")[begun * width : (begun + take) * width].ljust(take * width, b"Q"), text is None))
+            at.append(i)
+            first.append(begun)
+            begun, room = begun + take, room - take
+            if not room:
+                yield whole()
+                parts, at, first, room = [], [], [], most
+    if parts:
+        yield whole()
+
+
+def arrays(bytes_: np.ndarray) -> list:
+    return list(np.ascontiguousarray(bytes_.T).astype(np.int64))
+
+
+def column(value, null: np.ndarray) -> pa.Array:
+    if not isinstance(value, list):
+        return pa.array(value.astype(np.int64), mask=null)
+    flat = pa.array(np.stack(value, axis=1).reshape(-1).astype(np.int64))
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(null) + 1, dtype=np.int32) * len(value)), flat.cast(pa.string()))
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), pc.binary_join(rows, " "))
+
+
+def shape_of(made: dict, width: int) -> tuple[int, str]:
+    """The groups of one batch, and the columns' types, by what is made of a group."""
+    most = max(1, min(GROUPS, NUMBERS // (width + sum(len(v) if isinstance(v, list) else 1 for v in made.values()))))
+    return most, ", ".join(f"`{k}` {'string' if isinstance(v, list) else 'bigint'}" for k, v in made.items())
+
+
+def texts_of(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return docs, f"doc_id {dict(docs.dtypes)['doc_id']}, group_no bigint"
+
+
 def of_arrays(width: int, make):
     """A query of (doc_id, group_no, what make gives) over whole texts in groups of `width` bytes, as arrays; texts are padded by Q.
 
     Null and empty texts have one group, of a null text's all values are null.
     """
-
-    made_of_none = make([np.zeros(1, np.int64)] * width)
-    most = max(1, min(GROUPS, NUMBERS // (width + sum(len(v) if isinstance(v, list) else 1 for v in made_of_none.values()))))
-
-    def cut(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Bytes, places of texts, group numbers and whether the text is null, of at most `most` groups at once; long texts go on in the next."""
-        parts, at, first, room = [], [], [], most
-
-        def whole() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-            n = np.array([len(p) // width for p, _ in parts])
-            group = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            return np.frombuffer(b"".join(p for p, _ in parts), np.uint8).reshape(-1, width), np.repeat(at, n), group, np.repeat([null for _, null in parts], n)
-
-        for i, one in enumerate(texts):
-            text = one.as_py()
-            n, begun = max(1, -(-len(text or b"") // width)), 0
-            while begun < n:
-                take = min(room, n - begun)
-                parts.append(((text or b"")[begun * width : (begun + take) * width].ljust(take * width, b"Q"), text is None))
-                at.append(i)
-                first.append(begun)
-                begun, room = begun + take, room - take
-                if not room:
-                    yield whole()
-                    parts, at, first, room = [], [], [], most
-        if parts:
-            yield whole()
-
-    def column(value, null: np.ndarray) -> pa.Array:
-        if not isinstance(value, list):
-            return pa.array(value.astype(np.int64), mask=null)
-        flat = pa.array(np.stack(value, axis=1).reshape(-1).astype(np.int64))
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(null) + 1, dtype=np.int32) * len(value)), flat.cast(pa.string()))
-        return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), pc.binary_join(rows, " "))
+    most, columns = shape_of(make([np.zeros(1, np.int64)] * width), width)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for bytes_, doc, group, null in cut(batch.column(1)):
-                made = make(list(np.ascontiguousarray(bytes_.T).astype(np.int64)))
+            for bytes_, doc, group, null in cut(batch.column(1), width, most):
+                made = make(arrays(bytes_))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(group), *(column(v, null) for v in made.values())], names=["doc_id", "group_no", *made])
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-        columns = ", ".join(f"`{k}` {'string' if isinstance(v, list) else 'bigint'}" for k, v in made_of_none.items())
-        return docs.mapInArrow(each, f"doc_id {dict(docs.dtypes)['doc_id']}, group_no bigint, {columns}")
+        docs, keys = texts_of(spark, d)
+        return docs.mapInArrow(each, f"{keys}, {columns}")
+
+    return query
+
+
+def in_order(width: int, pack, make):
+    """The same query, its rows in the order of the bytes that pack gives and make reads, so that equal and similar values are written side by side.
+
+    Only these bytes are shuffled, and the values of equal ones that stand together are made once. The groups are counted at once, by the texts' lengths.
+    """
+    of_none = pack([np.zeros(1, np.int64)] * width)
+    size = len(of_none)
+    most, columns = shape_of(make(of_none), width)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for bytes_, doc, group, null in cut(batch.column(1), width, GROUPS):
+                used = np.stack(pack(arrays(bytes_)), axis=1).astype(np.uint8)
+                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(used), [None, pa.py_buffer(used.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(group), pc.if_else(pa.array(null), pa.scalar(None, pa.binary()), rows)], names=["doc_id", "group_no", "used"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, most) for whole in batches for i in range(0, whole.num_rows, most)):
+            null = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            used = np.frombuffer(b"".join(batch.column(2).fill_null(bytes(size)).to_pylist()), np.uint8).reshape(-1, size)
+            new = np.concatenate([[True], (used[1:] != used[:-1]).any(axis=1) | (null[1:] != null[:-1])])
+            made, at = make(arrays(used[new])), pa.array(np.cumsum(new) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(column(v, null[new]).take(at) for v in made.values())], names=["doc_id", "group_no", *made])
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        docs, keys = texts_of(spark, d)
+        groups = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("data"), F.lit(0)) / width)))).first()[0] or 0
+        order = ["used", "doc_id", "group_no"]
+        rows = docs.mapInArrow(packed, f"{keys}, used binary").repartitionByRange(min(RANGES, groups // RANGE + 1), *order).sortWithinPartitions(*order)
+        return rows.mapInArrow(each, f"{keys}, {columns}")
 
     return query
 
