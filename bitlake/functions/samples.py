@@ -109,15 +109,24 @@ def chroma_means(above: list[Column], left: list[Column], has: dict[str, Column]
     return [mean_of_sides(a, c, has), first(b, c, "above"), first(d, a, "left"), mean_of_sides(b, d, has)]
 
 
-def plane16(above: list[Column], left: list[Column], corner: Column) -> list[Column]:
-    """The plane prediction of a 16x16 block."""
+def slopes16(above: list[Column], left: list[Column], corner: Column) -> tuple[Column, Column]:
+    """What the plane of a 16x16 block gains for each sample across and down."""
 
     def slope(side: list[Column]) -> Column:
         whole = [corner, *side]
         return rounded(5 * sum((whole[9 + i] - whole[7 - i]) * (i + 1) for i in range(8)), 6)
 
-    across, down = slope(above), slope(left)
-    return [clip(rounded(16 * (above[15] + left[15]) + across * (x - 7) + down * (y - 7), 5), 0, 255) for y in range(16) for x in range(16)]
+    return slope(above), slope(left)
+
+
+def plane_of_slopes16(across: Column, down: Column, ends: Column) -> list[Column]:
+    """The plane by its slopes and the sum of both sides' last samples."""
+    return [clip(rounded(16 * ends + across * (x - 7) + down * (y - 7), 5), 0, 255) for y in range(16) for x in range(16)]
+
+
+def plane16(above: list[Column], left: list[Column], corner: Column) -> list[Column]:
+    """The plane prediction of a 16x16 block."""
+    return plane_of_slopes16(*slopes16(above, left, corner), above[15] + left[15])
 
 
 # Interpolation in a patch of 6x6 samples, of which the one in the third row and column is the whole sample's.

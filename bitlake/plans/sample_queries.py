@@ -35,10 +35,17 @@ def modes(n: int, filtered: bool):
     return make
 
 
-def modes16(s: list) -> dict:
+def shape16(s: list) -> list:
+    """As bytes, what all modes of a 16x16 block depend on: the plane's slopes and ends, high byte first, and the three means."""
     above, left, corner = s[:16], s[16:32], s[32]
-    means = {f"dc{i}": samples.average(a, b) for i, (a, b) in enumerate(((above, left), (above, None), (None, left)))}
-    return means | {"dc3": np.full_like(corner, 128), "plane": samples.plane16(above, left, corner)}
+    across, down = samples.slopes16(above, left, corner)
+    means = [samples.average(a, b) for a, b in ((above, left), (above, None), (None, left))]
+    return [b for v in (across + 1024, down + 1024, above[15] + left[15]) for b in (v >> 8, v & 255)] + means
+
+
+def modes_of_shape16(b: list) -> dict:
+    across, down, ends = (256 * b[i] + b[i + 1] for i in (0, 2, 4))
+    return {f"dc{i}": b[6 + i] for i in range(3)} | {"dc3": np.full_like(b[0], 128), "plane": samples.plane_of_slopes16(across - 1024, down - 1024, ends)}
 
 
 def inverse8(s: list) -> dict:
@@ -93,7 +100,7 @@ def modes_available(n: int, filtered: bool):
 
 #: By each query, what makes its columns of a group's samples: a list becomes a text of its numbers, one array a number.
 MAKERS = {
-    "intra4_modes": modes(4, False), "intra8_modes": modes(8, True), "intra16_modes": modes16,
+    "intra4_modes": modes(4, False), "intra8_modes": modes(8, True), "intra16_modes": lambda s: modes_of_shape16(shape16(s)),
     "intra4_available": modes_available(4, False), "intra8_available": modes_available(8, True),
     "chroma_means": lambda s: {"means": samples.chroma_means(s[:8], s[8:16], sides(s[16]))},
     "quarter_places": lambda s: {"places": [samples.fractional(s, x, y) for y in range(4) for x in range(4)]},
@@ -117,6 +124,7 @@ FIRST4 = [0, 1, 2, 3, 8, 9, 10, 11, 12, 4, 5, 6, 7]
 #: By each query whose rows go out in the order of what their values depend on: the bytes of this, of a group's samples, and what makes its columns of them.
 ORDERED = {
     "intra4_modes": (lambda s: [s[i] for i in FIRST4], lambda b: MAKERS["intra4_modes"]([b[FIRST4.index(i)] for i in range(13)])),
+    "intra16_modes": (shape16, modes_of_shape16),
 }
 
 
