@@ -80,6 +80,17 @@ def test_alike_groups_are_written_side_by_side(spark, tmp_path, name):
     assert con.sql("select (select count(*) from own) = (select count(*) from sql), not exists (from own except from sql)").fetchall() == [(True, True)]
 
 
+def test_8x8_blocks_of_equal_left_sides_stand_together(spark, tmp_path):
+    """What depends on the left samples and the corner alone changes from row to row about as seldom as it has different values."""
+    rng = np.random.default_rng(11)
+    groups = np.concatenate([rng.integers(97, 123, (3000, 16)), rng.integers(97, 123, (40, 9))[rng.integers(0, 40, 3000)]], axis=1).astype(np.uint8)
+    texts = [g.tobytes().decode() for g in groups.reshape(100, -1)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(100), pa.int64()), "text": texts}), tmp_path / "documents.parquet")
+    left = [r.m1 for r in catalogue.QUERIES["intra8_modes"](spark, str(tmp_path)).select("m1").collect()]
+    changes = 1 + sum(a != b for a, b in zip(left, left[1:], strict=False))
+    assert len(left) == 3000 and changes <= 40
+
+
 def test_many_tiles_share_a_call(spark):
     blocks = spark.range(40_000).select((F.col("id") / 8).cast("long").alias("p"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") % 8 / 4).alias("y"), F.col("id").alias("v"))
     found = grid.with_neighbours(blocks, ["p"], {"left": (-1, 0), "above": (0, -1)}, ["v"])
