@@ -86,18 +86,32 @@ def sides(flags: np.ndarray) -> dict:
     return {k: flags >> i & 1 == 0 for i, k in enumerate(("above", "left", "right", "corner"))}
 
 
-def modes_available(n: int, filtered: bool):
-    """The modes that need no corner, where sides may be missing."""
+def shape_available(n: int, filtered: bool):
+    """As bytes, what the modes that need no corner depend on where sides may be missing: which are, the left samples from the lowest up, the upper ones from the last."""
 
-    def make(s: list) -> dict:
+    def pack(s: list) -> list:
         above, left, corner, has = s[: 2 * n], s[2 * n : 3 * n], s[3 * n], sides(s[-1])
         used = (samples.filled_filtered if filtered else samples.filled)(above, left, corner, n, has)
+        return [s[-1] & 3, *used.left[::-1], *used.above[::-1]]
+
+    return pack
+
+
+def modes_of_shape_available(n: int):
+    def make(b: list) -> dict:
+        used, has = samples.Line(b[:n:-1], b[n:0:-1], None), sides(b[0])
         mean = [samples.mean_of_sides(used.above[:n], used.left, has)] * (n * n)
         return {f"m{m}": mean if m == 2 else samples.predicted(m, used, n) for m in (0, 1, 2, 3, 7, 8)}
 
     return make
 
 
+def modes_available(n: int, filtered: bool):
+    """The modes that need no corner, where sides may be missing."""
+    pack, make = shape_available(n, filtered), modes_of_shape_available(n)
+    return lambda s: make(pack(s))
+
+
 #: By each query, what makes its columns of a group's samples: a list becomes a text of its numbers, one array a number.
 MAKERS = {
     "intra4_modes": modes(4, False), "intra8_modes": modes(8, True), "intra16_modes": lambda s: modes_of_shape16(shape16(s)),
@@ -118,17 +132,21 @@ MAKERS = {
 #: Groups of one range of ordered ones, about: so few that most columns are written as places in lists of their values; and ranges at most.
 RANGE, RANGES = 100_000, 8_192
 
+#: The same where sides may be missing: Parquet decides by a file's first 20,000 rows whether it writes a column so.
+RANGE_AVAILABLE = 25_000
+
 #: Of a 4x4 block's samples those that most modes read first: the upper four, the left ones, the corner, the upper-right ones.
 FIRST4 = [0, 1, 2, 3, 8, 9, 10, 11, 12, 4, 5, 6, 7]
 
 #: Of an 8x8 block's samples the left ones from the lowest up first, on which most of five modes depends, then the corner and the upper ones.
 FIRST8 = [23, 22, 21, 20, 19, 18, 17, 16, 24, *range(16)]
 
-#: By each query whose rows go out in the order of what their values depend on: the bytes of this, of a group's samples, and what makes its columns of them.
+#: By each query whose rows go out in the order of what their values depend on: the bytes of this, of a group's samples, what makes its columns of them, and a range's groups if not RANGE.
 ORDERED = {
     "intra4_modes": (lambda s: [s[i] for i in FIRST4], lambda b: MAKERS["intra4_modes"]([b[FIRST4.index(i)] for i in range(13)])),
     "intra8_modes": (lambda s: [s[i] for i in FIRST8], lambda b: MAKERS["intra8_modes"]([b[FIRST8.index(i)] for i in range(25)])),
     "intra16_modes": (shape16, modes_of_shape16),
+    "intra8_available": (shape_available(8, True), modes_of_shape_available(8), RANGE_AVAILABLE),
 }
 
 
@@ -201,7 +219,7 @@ def of_arrays(width: int, make):
     return query
 
 
-def in_order(width: int, pack, make):
+def in_order(width: int, pack, make, size_of_range: int = RANGE):
     """The same query, its rows in the order of the bytes that pack gives and make reads, so that equal and similar values are written side by side.
 
     Only these bytes are shuffled, and the values of equal ones that stand together are made once. The groups are counted at once, by the texts' lengths.
@@ -230,7 +248,7 @@ def in_order(width: int, pack, make):
         docs, keys = texts_of(spark, d)
         groups = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("data"), F.lit(0)) / width)))).first()[0] or 0
         order = ["used", "doc_id", "group_no"]
-        rows = docs.mapInArrow(packed, f"{keys}, used binary").repartitionByRange(min(RANGES, groups // RANGE + 1), *order).sortWithinPartitions(*order)
+        rows = docs.mapInArrow(packed, f"{keys}, used binary").repartitionByRange(min(RANGES, groups // size_of_range + 1), *order).sortWithinPartitions(*order)
         return rows.mapInArrow(each, f"{keys}, {columns}")
 
     return query

@@ -91,6 +91,20 @@ def test_8x8_blocks_of_equal_left_sides_stand_together(spark, tmp_path):
     assert len(left) == 3000 and changes <= 40
 
 
+def test_8x8_blocks_of_the_same_missing_sides_stand_together(spark, tmp_path):
+    """Blocks that lack the same sides are one run, and where the upper ones are missing equal left ones are, too, whatever the unused samples are."""
+    rng = np.random.default_rng(13)
+    last = np.frombuffer(b"pqrs", np.uint8)[rng.integers(0, 4, 4000)]
+    left = rng.integers(97, 123, (40, 8))[rng.integers(0, 40, 4000)]
+    groups = np.concatenate([rng.integers(97, 123, (4000, 16)), left, np.full((4000, 1), 120), last[:, None]], axis=1).astype(np.uint8)
+    pq.write_table(pa.table({"doc_id": pa.array(range(100), pa.int64()), "text": [g.tobytes().decode() for g in groups.reshape(100, -1)]}), tmp_path / "documents.parquet")
+    rows = [(last[40 * r.doc_id + r.group_no], r.m1) for r in catalogue.QUERIES["intra8_available"](spark, str(tmp_path)).select("doc_id", "group_no", "m1").collect()]
+    runs_of = lambda v: 1 + sum(a != b for a, b in zip(v, v[1:], strict=False))
+    assert len(rows) == 4000 and runs_of([side for side, _ in rows]) == 4
+    assert runs_of([m1 for side, m1 in rows if side == ord("q")]) <= 40
+    assert runs_of([m1 for side, m1 in rows if side in b"rs"]) == 1
+
+
 def test_many_tiles_share_a_call(spark):
     blocks = spark.range(40_000).select((F.col("id") / 8).cast("long").alias("p"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") % 8 / 4).alias("y"), F.col("id").alias("v"))
     found = grid.with_neighbours(blocks, ["p"], {"left": (-1, 0), "above": (0, -1)}, ["v"])
