@@ -132,8 +132,8 @@ MAKERS = {
 #: Groups of one range of ordered ones, about: so few that most columns are written as places in lists of their values; and ranges at most.
 RANGE, RANGES = 100_000, 8_192
 
-#: The same where sides may be missing: Parquet decides by a file's first 20,000 rows whether it writes a column so.
-RANGE_AVAILABLE = 25_000
+#: The same where sides may be missing: Parquet decides by a file's first 20,000 rows whether it writes a column so; the driver gets a sample for each range.
+RANGE_AVAILABLE, RANGES_AVAILABLE = 25_000, 4_096
 
 #: Of a 4x4 block's samples those that most modes read first: the upper four, the left ones, the corner, the upper-right ones.
 FIRST4 = [0, 1, 2, 3, 8, 9, 10, 11, 12, 4, 5, 6, 7]
@@ -141,12 +141,12 @@ FIRST4 = [0, 1, 2, 3, 8, 9, 10, 11, 12, 4, 5, 6, 7]
 #: Of an 8x8 block's samples the left ones from the lowest up first, on which most of five modes depends, then the corner and the upper ones.
 FIRST8 = [23, 22, 21, 20, 19, 18, 17, 16, 24, *range(16)]
 
-#: By each query whose rows go out in the order of what their values depend on: the bytes of this, of a group's samples, what makes its columns of them, and a range's groups if not RANGE.
+#: By each query whose rows go out in the order of what their values depend on: the bytes of this, of a group's samples, what makes its columns of them, and a range's groups and the most ranges, if not RANGE and RANGES.
 ORDERED = {
     "intra4_modes": (lambda s: [s[i] for i in FIRST4], lambda b: MAKERS["intra4_modes"]([b[FIRST4.index(i)] for i in range(13)])),
     "intra8_modes": (lambda s: [s[i] for i in FIRST8], lambda b: MAKERS["intra8_modes"]([b[FIRST8.index(i)] for i in range(25)])),
     "intra16_modes": (shape16, modes_of_shape16),
-    "intra8_available": (shape_available(8, True), modes_of_shape_available(8), RANGE_AVAILABLE),
+    "intra8_available": (shape_available(8, True), modes_of_shape_available(8), RANGE_AVAILABLE, RANGES_AVAILABLE),
 }
 
 
@@ -179,10 +179,29 @@ def arrays(bytes_: np.ndarray) -> list:
     return list(np.ascontiguousarray(bytes_.T).astype(np.int64))
 
 
+#: The texts of all bytes, each with a space after it, as numbers of four characters of which those not used are 0; and a space.
+TEXTS, SPACE = np.array([f"{i} " for i in range(256)], "S4").view(np.uint32), 32
+
+
+def joined_bytes(values: np.ndarray, null: np.ndarray) -> pa.Array:
+    """The numbers of each row, all of them bytes, as a text with spaces between them."""
+    made = TEXTS[values].view(np.uint8)
+    last = made[:, -4:]
+    last[last == SPACE] = 0
+    used = made != 0
+    ends = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(np.count_nonzero(used, axis=1), out=ends[1:])
+    there = pa.array(~null).buffers()[1] if null.any() else None
+    return pa.StringArray.from_buffers(len(values), pa.py_buffer(ends), pa.py_buffer(made[used]), there)
+
+
 def column(value, null: np.ndarray) -> pa.Array:
     if not isinstance(value, list):
         return pa.array(value.astype(np.int64), mask=null)
-    flat = pa.array(np.stack(value, axis=1).reshape(-1).astype(np.int64))
+    values = np.stack(value, axis=1).astype(np.int64, copy=False)
+    if values.min() >= 0 and values.max() <= 255:
+        return joined_bytes(values.astype(np.uint8), null)
+    flat = pa.array(values.reshape(-1))
     rows = pa.ListArray.from_arrays(pa.array(np.arange(len(null) + 1, dtype=np.int32) * len(value)), flat.cast(pa.string()))
     return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), pc.binary_join(rows, " "))
 
@@ -219,7 +238,7 @@ def of_arrays(width: int, make):
     return query
 
 
-def in_order(width: int, pack, make, size_of_range: int = RANGE):
+def in_order(width: int, pack, make, size_of_range: int = RANGE, ranges: int = RANGES):
     """The same query, its rows in the order of the bytes that pack gives and make reads, so that equal and similar values are written side by side.
 
     Only these bytes are shuffled, and the values of equal ones that stand together are made once. The groups are counted at once, by the texts' lengths.
@@ -248,7 +267,7 @@ def in_order(width: int, pack, make, size_of_range: int = RANGE):
         docs, keys = texts_of(spark, d)
         groups = docs.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("data"), F.lit(0)) / width)))).first()[0] or 0
         order = ["used", "doc_id", "group_no"]
-        rows = docs.mapInArrow(packed, f"{keys}, used binary").repartitionByRange(min(RANGES, groups // size_of_range + 1), *order).sortWithinPartitions(*order)
+        rows = docs.mapInArrow(packed, f"{keys}, used binary").repartitionByRange(min(ranges, groups // size_of_range + 1), *order).sortWithinPartitions(*order)
         return rows.mapInArrow(each, f"{keys}, {columns}")
 
     return query

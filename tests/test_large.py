@@ -105,6 +105,20 @@ def test_8x8_blocks_of_the_same_missing_sides_stand_together(spark, tmp_path):
     assert runs_of([m1 for side, m1 in rows if side in b"rs"]) == 1
 
 
+def test_bytes_become_text_without_a_string_a_number(monkeypatch):
+    """Numbers that are all bytes are joined from a table, equal to the text of each; others are as before."""
+    rng = np.random.default_rng(17)
+    null = rng.integers(0, 5, 300) == 0
+    for least, most in ((0, 256), (-3, 256), (0, 257)):
+        values = rng.integers(least, most, (300, 64))
+        values[:2, 0], values[0, -1] = (least, most - 1), 0
+        want = [None if n else " ".join(map(str, v)) for v, n in zip(values.tolist(), null, strict=True)]
+        assert sample_queries.column(list(values.T), null).to_pylist() == want
+    monkeypatch.delattr(sample_queries.pc, "binary_join")
+    values = rng.integers(0, 256, (300, 64))
+    assert sample_queries.column(list(values.T), np.zeros(300, bool)).to_pylist() == [" ".join(map(str, v)) for v in values.tolist()]
+
+
 def test_many_tiles_share_a_call(spark):
     blocks = spark.range(40_000).select((F.col("id") / 8).cast("long").alias("p"), (F.col("id") % 4).alias("x"), F.floor(F.col("id") % 8 / 4).alias("y"), F.col("id").alias("v"))
     found = grid.with_neighbours(blocks, ["p"], {"left": (-1, 0), "above": (0, -1)}, ["v"])
